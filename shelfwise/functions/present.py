@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import strip
-from shelfwise.vocab import COUNTRY_OVERRIDES, RATING_FLOORS, STYLE_WORDS
+from shelfwise.session import small_table
+from shelfwise.vocab import (
+    COUNTRY_OVERRIDES, RATING_FLOORS, RED_VARIETIES, STYLE_WORDS, WHITE_VARIETIES,
+)
 
 _LETTER_RUNS = r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"
 
@@ -87,3 +90,17 @@ def present(df, words: dict = STYLE_WORDS):
         price_label(F.col("price")).alias("price_label"),
         match_label(F.col("similarity")).alias("match_label"),
     )
+
+
+def standard_varieties(spark):
+    """The filter dimension: each offered grape name and how it is shown."""
+    names = sorted(set(RED_VARIETIES) | set(WHITE_VARIETIES))
+    values = small_table(spark, "value string", [(name,) for name in names])
+    return values.select("value", title_case(F.col("value")).alias("display"))
+
+
+def flag_standard(df, column: str = "variety"):
+    """Add ``display`` and ``is_standard`` by the filter dimension."""
+    offered = F.broadcast(standard_varieties(df.sparkSession))
+    joined = df.join(offered, F.col(column) == F.col("value"), "left")
+    return joined.withColumn("is_standard", F.col("value").isNotNull()).drop("value")

@@ -9,12 +9,20 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.functions import let
+
 # The characters Python's \s and str.strip() treat as space.
 SPACE = (
     r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
+# Any run of it that is not already one plain space.
+_LOOSE_SPACE = (
+    SPACE + r"{2,}|[\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+
 # Character classes of the odd-character report and removal.
 NON_ASCII = r"[^\x{00}-\x{7F}]"
 CONTROL = r"[\x{00}-\x{1F}\x{7F}]"
@@ -44,7 +52,12 @@ REMOVED_CONTROL = (
     r"[\x{00}-\x{08}\x{0B}\x{0E}-\x{1F}\x{7F}\x{206A}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFC}]"
 )
 WIDE = r"[\x{3000}\x{FF01}-\x{FFEF}]"
-_PLAIN_ASCII_ONLY = r"[^\t\n\r\x{20}-\x{7E}]"
+# Only text with one of these can change in a repair; all other text is left alone.
+_MISREAD = rf"[\x{{C2}}-\x{{F4}}][\x{{80}}-\x{{BF}}{_CP1252}]"
+_UNTIDY = (
+    r"[\x{00}-\x{08}\x{0B}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{2BC}\x{2018}-\x{201F}\x{206A}-\x{206F}"
+    r"\x{3000}\x{FEFF}\x{FF01}-\x{FFEF}\x{FFF9}-\x{FFFC}" + "".join(LIGATURES) + "]"
+)
 
 
 def wide_pairs() -> list[tuple[str, str]]:
@@ -64,7 +77,12 @@ def strip(c: Column) -> Column:
 
 def collapse_space(c: Column) -> Column:
     """Runs of space, tabs and line breaks become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, _LOOSE_SPACE, " "))
+
+
+def where_found(c: Column, pattern: str, change) -> Column:
+    """``change`` applied to the values that hold ``pattern``; the others pass as they are."""
+    return let(c, lambda x: F.when(x.rlike(pattern), change(x)).otherwise(x))
 
 
 def repair_encoding(c: Column) -> Column:
@@ -74,33 +92,48 @@ def repair_encoding(c: Column) -> Column:
     bytes are valid UTF-8, so correct text comes back as it was.
     """
 
-    def line(x: Column) -> Column:
-        as_bytes = F.translate(x, _CP1252, _C1)
+    def line(x: Column, as_bytes: Column) -> Column:
         decoded = F.try_validate_utf8(F.encode(as_bytes, "ISO-8859-1").cast("string"))
-        return F.when(as_bytes.rlike(r"^[\x{00}-\x{FF}]*$"), F.coalesce(decoded, x)).otherwise(x)
+        one_byte = as_bytes.rlike(r"^[\x{00}-\x{FF}]*$")
+        return F.coalesce(F.when(one_byte, decoded), x)
 
-    lines = F.transform(F.split(c, "\n"), line)
-    return F.when(c.rlike(NON_ASCII), F.array_join(lines, "\n")).otherwise(c)
+    def lines(text: Column) -> Column:
+        repaired = F.transform(
+            F.split(text, "\n"), lambda x: let(F.translate(x, _CP1252, _C1), lambda b: line(x, b))
+        )
+        return F.array_join(repaired, "\n")
+
+    return where_found(c, _MISREAD, lines)
 
 
 def repair_typography(c: Column) -> Column:
     """Plain quotes, separate letters for ligatures, normal width, no control codes."""
-    out = F.translate(c, _C1, _CP1252)
-    for joined, letters in LIGATURES.items():
-        out = F.replace(out, F.lit(joined), F.lit(letters))
-    wide, normal = zip(*wide_pairs())
-    out = F.when(out.rlike(WIDE), F.translate(out, "".join(wide), "".join(normal))).otherwise(out)
-    out = F.regexp_replace(out, SINGLE_QUOTES, "'")
-    out = F.regexp_replace(out, DOUBLE_QUOTES, '"')
-    out = F.regexp_replace(out, TERMINAL_ESCAPE, "")
-    out = F.regexp_replace(out, REMOVED_CONTROL, "")
-    return F.when(c.rlike(_PLAIN_ASCII_ONLY), out).otherwise(c)
+
+    def separate(x: Column) -> Column:
+        for joined, letters in LIGATURES.items():
+            x = F.replace(x, F.lit(joined), F.lit(letters))
+        return x
+
+    wide, normal = ("".join(side) for side in zip(*wide_pairs()))
+
+    def repair(x: Column) -> Column:
+        x = where_found(x, r"[\x{80}-\x{9F}]", lambda y: F.translate(y, _C1, _CP1252))
+        x = where_found(x, f"[{''.join(LIGATURES)}]", separate)
+        x = where_found(x, WIDE, lambda y: F.translate(y, wide, normal))
+        x = F.regexp_replace(F.regexp_replace(x, SINGLE_QUOTES, "'"), DOUBLE_QUOTES, '"')
+        return F.regexp_replace(F.regexp_replace(x, TERMINAL_ESCAPE, ""), REMOVED_CONTROL, "")
+
+    return where_found(c, _UNTIDY, repair)
 
 
 def drop_unencodable(c: Column) -> Column:
     """Drop what has no UTF-8 form; valid text is unchanged."""
-    bad = F.try_validate_utf8(c).isNull() & c.isNotNull()
-    return F.when(bad, F.replace(F.make_valid_utf8(c), F.lit("�"), F.lit(""))).otherwise(c)
+    return let(
+        c,
+        lambda x: F.when(
+            F.is_valid_utf8(x), x
+        ).otherwise(F.replace(F.make_valid_utf8(x), F.lit("\uFFFD"), F.lit(""))),
+    )
 
 
 def nan_to_null(c: Column) -> Column:
