@@ -12,7 +12,7 @@ from shelfwise.vocab import COUNTRY_OVERRIDES, RED_VARIETIES, STYLE_WORDS, TEXT_
 
 @query("b1_collapse_space", f"SELECT doc_id, {q.collapse('text')} AS text FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.collapse_space(F.col("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", text.collapse_space("text").alias("text"))
 
 
 @query(
@@ -28,17 +28,17 @@ def _(spark, sf):
 def _(spark, sf):
     damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     docs = table(spark, sf, "documents").select("doc_id", damaged.alias("text"))
-    return docs.select("doc_id", text.repair_encoding(F.col("text")).alias("text"))
+    return docs.select("doc_id", text.repair_encoding("text").alias("text"))
 
 
 @query("b2_repair_typography", f"SELECT src_row, {q.repair_typography('description')} AS description FROM ({RAW_SQL})")
 def _(spark, sf):
-    return raw(spark, sf).select("src_row", text.repair_typography(F.col("description")).alias("description"))
+    return raw(spark, sf).select("src_row", text.repair_typography("description").alias("description"))
 
 
 @query("b3_drop_unencodable", "SELECT page_id, html FROM pages")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.drop_unencodable(F.col("html")).alias("html"))
+    return table(spark, sf, "pages").select("page_id", text.drop_unencodable("html").alias("html"))
 
 
 _STRINGS = ("country", "description", "designation", "title", "winery")

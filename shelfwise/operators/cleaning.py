@@ -10,17 +10,17 @@ from shelfwise.vocab import DEFAULT_VARIETY, TEXT_COLUMNS, UNKNOWN, UNUSED_COLUM
 
 
 def clean_text_columns(df: DataFrame, columns=TEXT_COLUMNS) -> DataFrame:
-    cleaned = df.withColumns({c: text.clean_text(F.col(c)) for c in columns})
+    cleaned = df.withColumns({c: text.clean_text(c) for c in columns})
     return nan_text_to_null(cleaned, [c for c in strings(df) if c not in columns])
 
 
 def nan_text_to_null(df: DataFrame, columns=None) -> DataFrame:
     columns = strings(df) if columns is None else columns
-    return df.withColumns({c: text.nan_to_null(F.col(c)) for c in columns})
+    return df.withColumns({c: text.nan_to_null(c) for c in columns})
 
 
 def remove_odd_characters(df: DataFrame, columns=TEXT_COLUMNS) -> DataFrame:
-    return df.withColumns({c: text.remove_odd_characters(F.col(c)) for c in columns})
+    return df.withColumns({c: text.remove_odd_characters(c) for c in columns})
 
 
 def drop_unused(df: DataFrame) -> DataFrame:
