@@ -11,7 +11,7 @@ from shelfwise.operators.encode import HashEncoder, ModelEncoder
 from shelfwise.operators.knn import nearest
 from shelfwise.operators.resolve import anchor_table
 from shelfwise.plans.recommend import with_vectors
-from shelfwise.session import small_table
+from shelfwise.session import small_table, spread
 
 ENCODER = HashEncoder(64)
 
@@ -22,7 +22,7 @@ VECTORS_SQL = "SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS embeddin
 
 def doc_items(spark, sf):
     """Every document with the vector of its whole text."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return ENCODER.encode(docs, "text", "embedding").select(
         F.col("doc_id").alias("item_id"), "lang", "source", "n_chars", "embedding"
     )
@@ -97,7 +97,7 @@ def _hash_model():
 
 @query("u1_model_encoder", _cells_sql(DOCS_SQL, "doc_id", "vec"))
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     encoded = ModelEncoder(_hash_model, 64).encode(docs, "text", "embedding")
     return _cells(encoded, "doc_id", "embedding")
 

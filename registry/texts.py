@@ -7,12 +7,13 @@ from registry import sqltext as q
 from registry.bindings import CAT_SQL, RAW_SQL, cat, raw, table
 from shelfwise.functions import present, text
 from shelfwise.operators import cleaning
+from shelfwise.session import spread
 from shelfwise.vocab import COUNTRY_OVERRIDES, RED_VARIETIES, STYLE_WORDS, TEXT_COLUMNS, WHITE_VARIETIES
 
 
 @query("b1_collapse_space", f"SELECT doc_id, {q.collapse('text')} AS text FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.collapse_space("text").alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", text.collapse_space("text").alias("text"))
 
 
 @query(
@@ -20,20 +21,20 @@ def _(spark, sf):
     f"SELECT src_row, points, price, {', '.join(f'{q.clean(c)} AS {c}' for c in TEXT_COLUMNS)} FROM ({RAW_SQL})",
 )
 def _(spark, sf):
-    return cleaning.clean_text_columns(raw(spark, sf))
+    return cleaning.clean_text_columns(spread(raw(spark, sf)))
 
 
 # Each text is first damaged the way a wrong decode damages it.
 @query("b2_repair_encoding", "SELECT doc_id, text FROM documents")
 def _(spark, sf):
     damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    docs = table(spark, sf, "documents").select("doc_id", damaged.alias("text"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", damaged.alias("text"))
     return docs.select("doc_id", text.repair_encoding("text").alias("text"))
 
 
 @query("b2_repair_typography", f"SELECT src_row, {q.repair_typography('description')} AS description FROM ({RAW_SQL})")
 def _(spark, sf):
-    return raw(spark, sf).select("src_row", text.repair_typography("description").alias("description"))
+    return spread(raw(spark, sf)).select("src_row", text.repair_typography("description").alias("description"))
 
 
 @query("b3_drop_unencodable", "SELECT page_id, html FROM pages")
@@ -57,7 +58,7 @@ def _(spark, sf):
     f"SELECT src_row, {', '.join(f'{q.remove_odd(c)} AS {c}' for c in TEXT_COLUMNS)} FROM ({RAW_SQL})",
 )
 def _(spark, sf):
-    return cleaning.remove_odd_characters(raw(spark, sf)).select("src_row", *TEXT_COLUMNS)
+    return cleaning.remove_odd_characters(spread(raw(spark, sf))).select("src_row", *TEXT_COLUMNS)
 
 
 _KEPT = (
@@ -176,7 +177,7 @@ def _(spark, sf):
 
 @query("s10_title_case", f"SELECT doc_id, {q.title_case('text')} AS text FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", present.title_case(F.col("text")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", present.title_case(F.col("text")).alias("text"))
 
 
 def _country_sql(c: str) -> str:
@@ -209,7 +210,7 @@ def _sentence_sql(c: str) -> str:
 @query("s12_sentence_case", f"SELECT doc_id, {_sentence_sql('lower(text)')} AS text FROM documents")
 def _(spark, sf):
     lowered = F.lower("text")
-    return table(spark, sf, "documents").select("doc_id", present.sentence_case(lowered).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", present.sentence_case(lowered).alias("text"))
 
 
 def _price_sql(c: str) -> str:

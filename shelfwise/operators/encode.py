@@ -28,7 +28,7 @@ class HashEncoder:
                 lambda d: (F.size(s) - F.size(F.array_remove(s, d.cast("long")))).cast("double"),
             ),
         )
-        return l2_normalize(counts)
+        return F.when(text.isNotNull(), l2_normalize(counts))
 
     def encode(self, df: DataFrame, text: str, out: str) -> DataFrame:
         return df.withColumn(out, self.column(F.col(text)))

@@ -80,8 +80,8 @@ def exact_quantiles(df: DataFrame, column: str, probs, buckets: int = 256) -> Da
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     )
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = values.agg(F.percentile_approx("v", steps).alias("cuts")).scalar()
+    steps = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
+    cuts = values.agg(F.expr(f"percentile_approx(v, array({steps}))").alias("cuts")).scalar()
     ranged = values.withColumn("cuts", cuts).select(
         "v", "n", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("bucket")
     )

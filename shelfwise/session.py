@@ -58,3 +58,12 @@ def small_table(spark: SparkSession, schema: T.StructType | str, rows) -> DataFr
     columns = {name: [row[i] for row in rows] for i, name in enumerate(schema.names)}
     df = spark.createDataFrame(pa.table(columns))
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it arrives in fewer partitions than there are cores.
+
+    For heavy work per row on a small input. A large input keeps its partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

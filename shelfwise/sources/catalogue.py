@@ -39,7 +39,11 @@ def typed(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header="true", escape='"', quote='"', emptyValue="").csv(path)
+    """Cells as they are, in files under ``path``; missing and empty cells are written empty."""
+    df.write.mode("overwrite").options(
+        header="true", escape='"', quote='"', emptyValue="",
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+    ).csv(path)
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
