@@ -13,7 +13,7 @@ from shelfwise.operators.resolve import (
     all_known_values, bounded_broadcast, parse_requests, resolve_items,
 )
 from shelfwise.schemas import FILTERS, REQUEST
-from shelfwise.session import small_table
+from shelfwise.session import checkpointed, small_table
 from shelfwise.vocab import (
     ANCHOR_THRESHOLD, BLEND_WEIGHT, DEFAULT_TOP_K, OVERFETCH_FACTOR, OVERFETCH_MIN,
 )
@@ -36,13 +36,17 @@ class Recommender:
     regex_titles: bool = True
 
     def recommend(self, requests: DataFrame) -> DataFrame:
-        """Ranked items per request: ``query_id, rank``, catalogue columns, ``similarity``."""
-        requests = complete_requests(requests)
-        found = requests.agg(F.count(F.lit(1)), F.max("top_k")).first()
+        """Ranked items per request: ``query_id, rank``, catalogue columns, ``similarity``.
+
+        The parsed and the resolved requests, one short row each, are written to
+        the shared folder, so that each scan of the catalogue happens once.
+        """
+        parsed = self.parse(requests)
+        found = parsed.agg(F.count(F.lit(1)), F.max("top_k")).first()
         n, top_k = found[0], found[1] or DEFAULT_TOP_K
         fetch = max(top_k * OVERFETCH_FACTOR, OVERFETCH_MIN)
 
-        queries = self.query_vectors(requests, n)
+        queries = self.query_vectors(parsed, n)
         scored = score_partitions(
             self.items, queries, (n, fetch), carry=("top_k", "drop_id", "then_by", "then_ascending")
         )
@@ -54,16 +58,21 @@ class Recommender:
             .select("query_id", "rank", *shown, "similarity")
         )
 
-    def query_vectors(self, requests: DataFrame, n: int | None = None) -> DataFrame:
-        """Each request as a vector with its filters and orders.
+    def parse(self, requests: DataFrame) -> DataFrame:
+        """Each request text taken apart; see ``resolve.parse_requests``."""
+        known = all_known_values(self.items) if self.known is None else self.known
+        return checkpointed(
+            parse_requests(complete_requests(requests), known, self.encoder, self.threshold)
+        )
+
+    def query_vectors(self, parsed: DataFrame, n: int | None = None) -> DataFrame:
+        """Each parsed request as a vector with its filters and orders.
 
         With a hard filter the whole pool is ordered at once. Without one the
         nearest items are fetched first, the named item among them, and the
         fetched ones are ordered afterwards.
         """
-        known = all_known_values(self.items) if self.known is None else self.known
-        parsed = parse_requests(requests, known, self.encoder, self.threshold)
-        resolved = resolve_items(self.items, parsed, self.regex_titles, n)
+        resolved = checkpointed(resolve_items(self.items, parsed, self.regex_titles, n))
         vectors = self.items.select(F.col("item_id").alias("exclude_id"), F.col("embedding").alias("_stored"))
         wanted = bounded_broadcast(resolved.select("exclude_id").where("exclude_id is not null").distinct(), n)
         stored = vectors.join(wanted, "exclude_id")
