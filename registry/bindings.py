@@ -8,6 +8,8 @@ engines read the same way.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.session import spread
+
 NBSP, ZWSP, BOM, BROKEN, QUOTE, LIGATURE, TAB = " ", "​", "﻿", "�", "’", "ﬁ", "\t"
 
 _ODD = f" a{NBSP}b{TAB}c {ZWSP} d{BROKEN}e{BOM}f It{QUOTE}s {LIGATURE}ne.  "
@@ -72,14 +74,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derived(spark: SparkSession, sf_dir: str, select: str, *names: str, **texts: str) -> DataFrame:
+def _derived(
+    spark: SparkSession, sf_dir: str, select: str, *names: str, wide: bool = False, **texts: str
+) -> DataFrame:
     tables = {n: table(spark, sf_dir, n) for n in names}
+    if wide:
+        tables[names[0]] = spread(tables[names[0]])
     marks = {n: "{" + n + "}" for n in names}
     return spark.sql(select.format(**marks, **texts), **tables)
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, RAW_SELECT, "part", "documents")
+def raw(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """The raw reviews; ``wide`` for work that is heavy per row."""
+    return _derived(spark, sf_dir, RAW_SELECT, "part", "documents", wide=wide)
 
 
 def cat(spark: SparkSession, sf_dir: str) -> DataFrame:

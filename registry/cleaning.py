@@ -8,7 +8,6 @@ from registry.bindings import RAW_SQL, cat, raw, table, CAT_SQL
 from shelfwise.operators import cleaning, dedup, filters, keys
 from shelfwise.plans.clean import clean_catalogue, clean_catalogue_exploratory
 from shelfwise.schemas import RAW
-from shelfwise.session import spread
 from shelfwise.vocab import TEXT_COLUMNS
 
 _RAW_COLUMNS = ", ".join(RAW.names)
@@ -213,9 +212,9 @@ CLEAN_SQL = _clean_sql(False)
 
 @query("p1_clean_catalogue", CLEAN_SQL)
 def _(spark, sf):
-    return clean_catalogue(spread(raw(spark, sf)))
+    return clean_catalogue(raw(spark, sf, wide=True))
 
 
 @query("p2_clean_catalogue_exploratory", _clean_sql(True))
 def _(spark, sf):
-    return clean_catalogue_exploratory(spread(raw(spark, sf)))
+    return clean_catalogue_exploratory(raw(spark, sf, wide=True))

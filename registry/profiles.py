@@ -9,7 +9,6 @@ from shelfwise.functions.text import BROKEN, CONTROL, NON_ASCII, ODD_SPACE
 from shelfwise.operators import profile
 from shelfwise.plans.clean import clean_catalogue
 from shelfwise.schemas import CLEAN, RAW
-from shelfwise.session import spread
 
 from registry.cleaning import CLEAN_SQL
 
@@ -35,7 +34,7 @@ def _(spark, sf):
 
 @query("e1_missing_report_after_clean", _missing_sql(CLEAN_SQL, CLEAN.names))
 def _(spark, sf):
-    return profile.missing_report(clean_catalogue(spread(raw(spark, sf))))
+    return profile.missing_report(clean_catalogue(raw(spark, sf, wide=True)))
 
 
 @query(

@@ -12,7 +12,7 @@ from shelfwise.plans.clean import clean_catalogue
 from shelfwise.plans.model import build_model, load_model
 from shelfwise.plans.recommend import Recommender
 from shelfwise.schemas import CLEAN, RAW
-from shelfwise.session import new_path, spread
+from shelfwise.session import new_path
 from shelfwise.sources import catalogue as files
 from shelfwise.streaming.serve import request_stream, serve
 from shelfwise.vocab import NULL_TOKENS
@@ -39,7 +39,7 @@ def _read_clean(name: str) -> str:
 @query("a2_a3_clean_csv_round_trip", f"SELECT {', '.join(_read_clean(c) for c in CLEAN.names)} FROM ({CLEAN_SQL})")
 def _(spark, sf):
     path = new_path(spark, "clean-csv")
-    files.write_csv(clean_catalogue(spread(raw(spark, sf))), path)
+    files.write_csv(clean_catalogue(raw(spark, sf, wide=True)), path)
     return files.read_clean_csv(spark, path)
 
 
@@ -114,7 +114,7 @@ _CORPUS = q.encoded(f"SELECT item_id, text_corpus AS text FROM ({CLEAN_SQL})", "
 )
 def _(spark, sf):
     directory = new_path(spark, "model")
-    build_model(clean_catalogue(spread(raw(spark, sf))), ENCODER, directory, "hashed-words")
+    build_model(clean_catalogue(raw(spark, sf, wide=True)), ENCODER, directory, "hashed-words")
     model = load_model(spark, directory)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
     kinds = model.known.agg(F.count(F.lit(1)).alias("kinds")).scalar()

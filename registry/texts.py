@@ -21,7 +21,7 @@ def _(spark, sf):
     f"SELECT src_row, points, price, {', '.join(f'{q.clean(c)} AS {c}' for c in TEXT_COLUMNS)} FROM ({RAW_SQL})",
 )
 def _(spark, sf):
-    return cleaning.clean_text_columns(spread(raw(spark, sf)))
+    return cleaning.clean_text_columns(raw(spark, sf, wide=True))
 
 
 # Each text is first damaged the way a wrong decode damages it.
@@ -34,7 +34,7 @@ def _(spark, sf):
 
 @query("b2_repair_typography", f"SELECT src_row, {q.repair_typography('description')} AS description FROM ({RAW_SQL})")
 def _(spark, sf):
-    return spread(raw(spark, sf)).select("src_row", text.repair_typography("description").alias("description"))
+    return raw(spark, sf, wide=True).select("src_row", text.repair_typography("description").alias("description"))
 
 
 @query("b3_drop_unencodable", "SELECT page_id, html FROM pages")
@@ -58,7 +58,7 @@ def _(spark, sf):
     f"SELECT src_row, {', '.join(f'{q.remove_odd(c)} AS {c}' for c in TEXT_COLUMNS)} FROM ({RAW_SQL})",
 )
 def _(spark, sf):
-    return cleaning.remove_odd_characters(spread(raw(spark, sf))).select("src_row", *TEXT_COLUMNS)
+    return cleaning.remove_odd_characters(raw(spark, sf, wide=True)).select("src_row", *TEXT_COLUMNS)
 
 
 _KEPT = (

@@ -9,6 +9,8 @@ from shelfwise.functions.text import strip
 from shelfwise.schemas import FILTERS
 from shelfwise.vocab import NO_FILTER_VALUES
 
+BROADCAST_ROWS = 200_000  # requests, ids or short results sent to every task
+
 
 def same_text(c: Column, wanted: Column) -> Column:
     return strip_lower(c) == F.lower(wanted)
@@ -96,7 +98,13 @@ def look_up(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(df.select("item_id", item), "item_id", "left")
 
 
-def first_with_title(df: DataFrame, titles: DataFrame) -> DataFrame:
-    """The first item that carries each of ``titles`` exactly."""
-    hits = df.select("title", "item_id").join(F.broadcast(titles.select("title").distinct()), "title")
-    return hits.groupBy("title").agg(F.min("item_id").alias("item_id"))
+def bounded_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
+    """Hint a broadcast only for a side known to be short."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+
+
+def first_with_title(df: DataFrame, titles: DataFrame, rows: int | None = None) -> DataFrame:
+    """The first item that carries each of ``titles`` exactly; ``rows`` is their number, if known."""
+    wanted = bounded_broadcast(titles.select("title").distinct(), rows)
+    firsts = df.select("title", "item_id").join(wanted, "title", "left_semi")
+    return firsts.groupBy("title").agg(F.min("item_id").alias("item_id"))

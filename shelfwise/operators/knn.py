@@ -118,7 +118,7 @@ def _one_pass(items: DataFrame, queries: DataFrame, carry, cosine: bool) -> Data
         value = F.col(name)
         return (strip_lower(value) if kind == "string" else value.cast(kind)).alias(name)
 
-    rows = items.where("embedding is not null").select(
+    rows = items.select(
         "item_id",
         "embedding",
         *[optional(name, kind) for name, kind in _ITEM_OPTIONAL.items()],
@@ -148,7 +148,7 @@ def _one_pass(items: DataFrame, queries: DataFrame, carry, cosine: bool) -> Data
             if best is None:
                 best = _Best(batch.column("queries").slice(0, 1).flatten(), cosine)
             if best.count:
-                best.take(batch)
+                best.take(batch.filter(pc.is_valid(batch.column("embedding"))))
         if best is not None and best.count:
             yield best.result(arrow_schema, passed)
 
@@ -183,6 +183,11 @@ class _Best:
         return vectors / np.where(lengths > 0, lengths, 1.0)
 
     def take(self, batch: pa.RecordBatch):
+        """Score the rows of a batch, all of which have a vector.
+
+        Rows without one are dropped by the caller and not by a filter in the
+        plan, which would compute an encoded vector twice.
+        """
         step = max(1, BLOCK_CELLS // self.count)
         for start in range(0, batch.num_rows, step):
             self._take_block(batch.slice(start, step))

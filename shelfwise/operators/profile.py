@@ -69,21 +69,29 @@ def distinct_values(df: DataFrame, column: str, keep_null: bool = True) -> DataF
     return (values if keep_null else values.where(F.col(column).isNotNull())).distinct()
 
 
-def exact_quantiles(df: DataFrame, column: str, probs, buckets: int = 256) -> DataFrame:
+def _count_reached(cuts: Column, v: Column, bits: int) -> Column:
+    """How many of the ``2**bits - 1`` ascending cuts are at most ``v``, by bisection."""
+    steps = F.expr("array(" + ", ".join(str(1 << b) for b in reversed(range(bits))) + ")")
+    return F.aggregate(
+        steps, F.lit(0), lambda n, step: F.when(F.get(cuts, n + step - 1) <= v, n + step).otherwise(n)
+    )
+
+
+def exact_quantiles(df: DataFrame, column: str, probs, bits: int = 10) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per probability.
 
     Equal values are counted before the shuffle. The distinct values are cut
-    into ranges of like size, and only the ranges that hold a wanted rank are
-    sorted, each in its own task.
+    into ``2**bits`` ranges of like size, and only the ranges that hold a wanted
+    rank are sorted, each in its own task.
     """
     values = (
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     )
-    steps = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    cuts = values.agg(F.expr(f"percentile_approx(v, array({steps}))").alias("cuts")).scalar()
+    shares = ", ".join(f"{i / 2**bits}D" for i in range(1, 2**bits))
+    cuts = values.agg(F.expr(f"percentile_approx(v, array({shares}))").alias("cuts")).scalar()
     ranged = values.withColumn("cuts", cuts).select(
-        "v", "n", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("bucket")
+        "v", "n", _count_reached(F.col("cuts"), F.col("v"), bits).alias("bucket")
     )
 
     sizes = ranged.groupBy("bucket").agg(F.sum("n").alias("size"))

@@ -1,5 +1,6 @@
 """From search text to items, known values and sort orders."""
 
+import math
 import re
 
 import pyarrow as pa
@@ -8,20 +9,16 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import parse
 from shelfwise.functions.vectors import inner_product
+from shelfwise.operators.filters import bounded_broadcast
 from shelfwise.operators.payload import on_first_row, packed
 from shelfwise.session import small_table
 from shelfwise.vocab import ANCHOR_THRESHOLD, ANCHORS
 
 GRAM = 3
-BROADCAST_ROWS = 200_000  # requests, ids or short results sent to every task
+PASS_PATTERNS = 4096  # patterns run in one pass over the titles
 REGEX_SIGNS = r"[\\^$.|?*+()\[\]{}]"
 
 
-def bounded_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
-    """Hint a broadcast only for a side known to be short."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
-
-
 def _grams(c: Column) -> Column:
     """All runs of one to three characters of the text, each once."""
     runs = [
@@ -122,7 +119,8 @@ def first_title_match(
     Identifiers are patterns unless ``regex`` is off; one that is no valid
     pattern is taken literally. Those without pattern signs, and all of them
     when ``regex`` is off, are found by an equi-join. The rest run as compiled
-    patterns over the titles, and need ``rows`` known to be short.
+    patterns over the titles, several thousand to a pass. ``rows`` is a bound on
+    the number of identifiers, counted here if not given.
     """
     titles = catalogue.where("title is not null").select("item_id", "title")
     wanted = wanted.select("identifier").where("identifier is not null").distinct()
@@ -131,7 +129,13 @@ def first_title_match(
 
     literal = bounded_broadcast(wanted.where(~is_pattern), rows)
     found = contains_join(titles, "title", literal, "identifier").select("identifier", "item_id")
-    found = found.unionAll(_pattern_matches(titles, wanted.where(is_pattern)))
+    patterns = wanted.where(is_pattern)
+    rows = patterns.count() if rows is None else rows
+    passes = 1 if rows <= PASS_PATTERNS else math.ceil(1.5 * rows / PASS_PATTERNS)
+    slot = F.pmod(F.xxhash64("identifier"), F.lit(passes))
+    for i in range(passes):
+        part = patterns.where(slot == i) if passes > 1 else patterns
+        found = found.unionAll(_pattern_matches(titles, part))
     return found.groupBy("identifier").agg(F.min("item_id").alias("item_id"))
 
 

@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.vectors import distance_to_similarity
-from shelfwise.operators.filters import first_with_title
+from shelfwise.operators.filters import bounded_broadcast, first_with_title
 from shelfwise.operators.knn import nearest
 from shelfwise.operators.profile import sample_rows
+from shelfwise.session import checkpointed
 
 # Columns of a similar-items table.
 SIMILAR_COLUMNS = ("title", "variety", "country", "points", "price", "description")
@@ -17,21 +18,30 @@ def neighbours_of_titles(items: DataFrame, titles: DataFrame, top_n: int = 5) ->
 
     ``titles`` has ``query_id`` and ``title``; a title nobody carries has no rows.
     """
-    named = titles.join(first_with_title(items, titles), "title")
+    n = titles.count()
+    named = titles.join(first_with_title(items, titles, n), "title")
     stored = items.select("item_id", F.col("embedding").alias("vector"))
-    queries = stored.join(F.broadcast(named), "item_id").select(
+    queries = stored.join(bounded_broadcast(named, n), "item_id").select(
         "query_id", "vector", F.lit(top_n + 1).alias("fetch")
     )
-    return nearest(items, queries, cosine=True)
+    return nearest(items, queries, size=(n, top_n + 1), cosine=True)
+
+
+def over_cores(df: DataFrame) -> DataFrame:
+    """A sorted and cut table, which arrives in one partition, over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def similar_items(
     catalogue: DataFrame, encoder, titles: DataFrame, top_n: int = 5, sample: int | None = 3000
 ) -> DataFrame:
-    """Sample, encode the descriptions, and list the neighbours of each title."""
-    rows = catalogue if sample is None else sample_rows(catalogue, sample)
+    """Sample, encode the descriptions, and list the neighbours of each title.
+
+    The encoded rows are read three times, so they are written to the shared folder.
+    """
+    rows = catalogue if sample is None else over_cores(sample_rows(catalogue, sample))
     filled = rows.withColumn("_text", F.coalesce("description", F.lit("")))
-    items = encoder.encode(filled, "_text", "embedding").drop("_text")
+    items = checkpointed(encoder.encode(filled, "_text", "embedding").drop("_text"))
     found = neighbours_of_titles(items, titles, top_n)
     similarity = distance_to_similarity(F.lit(1.0) - F.col("similarity"))
     shown = items.select("item_id", *SIMILAR_COLUMNS).join(found, "item_id")

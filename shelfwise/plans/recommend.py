@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.vectors import blend
-from shelfwise.operators.filters import any_filter, merge_filters, normalize_filters
-from shelfwise.operators.knn import score_partitions
-from shelfwise.operators.resolve import (
-    all_known_values, bounded_broadcast, parse_requests, resolve_items,
+from shelfwise.operators.filters import (
+    any_filter, bounded_broadcast, merge_filters, normalize_filters,
 )
+from shelfwise.operators.knn import score_partitions
+from shelfwise.operators.resolve import all_known_values, parse_requests, resolve_items
 from shelfwise.schemas import FILTERS, REQUEST
 from shelfwise.session import checkpointed, small_table
 from shelfwise.vocab import (

@@ -61,9 +61,9 @@ def small_table(spark: SparkSession, schema: T.StructType | str, rows) -> DataFr
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if it arrives in fewer partitions than there are cores.
+    """A plain scan over all cores, if it has fewer partitions than there are cores.
 
-    For heavy work per row on a small input. A large input keeps its partitions.
+    For heavy work per row on a small file. A large input keeps its partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -77,6 +77,7 @@ def main(sf_dir: str, prefixes):
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
+    print(sf_dir, con.execute("SELECT count(*) FROM part").fetchall()[0][0], "parts", flush=True)
     bad = 0
     for name, fn in queries.items():
         if prefixes and not any(name.startswith(p) for p in prefixes):

@@ -123,7 +123,7 @@ def test_quantiles_equal_the_direct_ones(spark):
     values = [float((i * 7919) % 1009) ** 1.5 for i in range(3000)] + [5.0] * 1500 + [None] * 10
     df = small_table(spark, "x double", [(v,) for v in values])
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
-    got = {r.prob: r.value for r in profile.exact_quantiles(df, "x", probs, buckets=16).collect()}
+    got = {r.prob: r.value for r in profile.exact_quantiles(df, "x", probs, bits=4).collect()}
     want = np.quantile([v for v in values if v is not None], probs)
     assert np.allclose([got[p] for p in probs], want)
 
