@@ -1,9 +1,12 @@
 """Data-quality reports and column profiles, each from combined partial counts."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import ODD_CLASSES
+from shelfwise.session import checkpointed, small_table
 
 
 def _long_form(df: DataFrame, rows: list[Column]) -> DataFrame:
@@ -69,61 +72,61 @@ def distinct_values(df: DataFrame, column: str, keep_null: bool = True) -> DataF
     return (values if keep_null else values.where(F.col(column).isNotNull())).distinct()
 
 
-def _count_reached(cuts: Column, v: Column, bits: int) -> Column:
+def _count_reached(cuts: list[float], v: Column) -> Column:
     """How many of the ``2**bits - 1`` ascending cuts are at most ``v``, by bisection."""
-    steps = F.expr("array(" + ", ".join(str(1 << b) for b in reversed(range(bits))) + ")")
+    sizes = []
+    while len(cuts) >> len(sizes):
+        sizes.insert(0, 1 << len(sizes))
+    array = F.expr("array(" + ", ".join(f"{c!r}D" for c in cuts) + ")")
+    steps = F.expr("array(" + ", ".join(map(str, sizes)) + ")")
     return F.aggregate(
-        steps, F.lit(0), lambda n, step: F.when(F.get(cuts, n + step - 1) <= v, n + step).otherwise(n)
+        steps, F.lit(0), lambda n, step: F.when(F.get(array, n + step - 1) <= v, n + step).otherwise(n)
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probs, bits: int = 10) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, probs, bits: int = 8) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per probability.
 
-    Equal values are counted before the shuffle. The distinct values are cut
-    into ``2**bits`` ranges of like size, and only the ranges that hold a wanted
-    rank are sorted, each in its own task.
+    Equal values are counted before the shuffle, and the counts are written to
+    the shared folder. They are cut into ``2**bits`` ranges of like size, and
+    only the ranges that hold a wanted rank are sorted, each in its own task.
+    The driver sees the cuts and the range sizes, ``2**bits`` numbers each.
     """
-    values = (
+    spark = df.sparkSession
+    values = checkpointed(
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     )
     shares = ", ".join(f"{i / 2**bits}D" for i in range(1, 2**bits))
-    cuts = values.agg(F.expr(f"percentile_approx(v, array({shares}))").alias("cuts")).scalar()
-    ranged = values.withColumn("cuts", cuts).select(
-        "v", "n", _count_reached(F.col("cuts"), F.col("v"), bits).alias("bucket")
-    )
-
-    sizes = ranged.groupBy("bucket").agg(F.sum("n").alias("size"))
-    running = Window.orderBy("bucket")
-    placed = sizes.select(
-        "bucket",
-        "size",
-        (F.sum("size").over(running.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
-        F.sum("size").over(Window.partitionBy()).alias("total"),
-    )
-    position = F.col("prob") * (F.col("total") - 1)
-    wanted = (
-        placed.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("position", position)
-        .withColumn("rank", F.explode(F.array(F.floor("position"), F.ceil("position"))))
-        .where("start <= rank and rank < start + size")
-        .select("bucket", "start", "prob", "position", "rank")
-        .distinct()
-    )
-
+    cuts = values.agg(F.expr(f"percentile_approx(v, array({shares}))")).first()[0]
+    result = "prob double, value double"
+    if cuts is None:
+        return small_table(spark, result, [(float(p), None) for p in probs])
+
+    ranged = values.withColumn("bucket", _count_reached(cuts, F.col("v")))
+    sizes = ranged.groupBy("bucket").agg(F.sum("n").alias("size")).orderBy("bucket").collect()
+    total = sum(row.size for row in sizes)
+    wanted, start = [], 0
+    for row in sizes:
+        for p in probs:
+            position = p * (total - 1)
+            for rank in {math.floor(position), math.ceil(position)}:
+                if start <= rank < start + row.size:
+                    wanted.append((row.bucket, start, float(p), position - math.floor(position), rank))
+        start += row.size
+
+    ranks = small_table(spark, "bucket int, start long, prob double, part double, rank long", wanted)
     in_order = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    summed = (
-        ranged.join(F.broadcast(wanted.select("bucket").distinct()), "bucket", "left_semi")
-        .withColumn("upto", F.sum("n").over(in_order))
+    summed = ranged.where(F.col("bucket").isin(sorted({w[0] for w in wanted}))).withColumn(
+        "upto", F.sum("n").over(in_order)
     )
-    picked = summed.join(F.broadcast(wanted), "bucket").where(
+    picked = summed.join(F.broadcast(ranks), "bucket").where(
         "start + upto - n <= rank and rank < start + upto"
     )
     low, high = F.min("v"), F.max("v")
-    return picked.groupBy("prob", "position").agg(
-        (low + (high - low) * (F.col("position") - F.floor("position"))).alias("value")
-    ).select("prob", "value")
+    return picked.groupBy("prob", "part").agg((low + (high - low) * F.col("part")).alias("value")).select(
+        "prob", "value"
+    )
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
