@@ -9,6 +9,8 @@ from shelfwise.functions.text import strip
 from shelfwise.schemas import FILTERS
 from shelfwise.vocab import NO_FILTER_VALUES
 
+ID_SPAN = "id_span"
+ITEMS_PER_SPAN = 1 << 18
 BROADCAST_ROWS = 200_000  # requests, ids or short results sent to every task
 
 
@@ -103,6 +105,24 @@ def bounded_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
+def with_id_span(df: DataFrame) -> DataFrame:
+    """Add the span of ids an item lies in, the partition column of stored items."""
+    return df.withColumn(ID_SPAN, F.floor(F.col("item_id") / ITEMS_PER_SPAN).cast("int"))
+
+
+def with_ids(items: DataFrame, wanted: DataFrame, rows: int | None = None) -> DataFrame:
+    """The items joined to a table of ``item_id``, ``rows`` of them at most, if known.
+
+    Where the items are stored by span, only the spans of wanted ids are read.
+    """
+    if ID_SPAN not in items.columns:
+        return items.join(bounded_broadcast(wanted, rows), "item_id")
+    # Ids start at 0. The comparison marks the short side as one worth pruning by.
+    spanned = with_id_span(wanted.where("item_id >= 0"))
+    joined = items.join(bounded_broadcast(spanned, rows), [ID_SPAN, "item_id"])
+    return joined.drop(ID_SPAN)
+
+
 def first_with_title(df: DataFrame, titles: DataFrame, rows: int | None = None) -> DataFrame:
     """The first item that carries each of ``titles`` exactly; ``rows`` is their number, if known."""
     wanted = bounded_broadcast(titles.select("title").distinct(), rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import parse
 from shelfwise.functions.vectors import inner_product
-from shelfwise.operators.filters import bounded_broadcast
+from shelfwise.operators.filters import bounded_broadcast, with_ids
 from shelfwise.operators.payload import on_first_row, packed
 from shelfwise.session import small_table
 from shelfwise.vocab import ANCHOR_THRESHOLD, ANCHORS
@@ -181,10 +181,8 @@ def resolve_items(
     catalogue: DataFrame, requests: DataFrame, regex: bool = True, rows: int | None = None
 ) -> DataFrame:
     """Add ``exclude_id``: the item each identifier names, by id or else by title."""
-    ids = bounded_broadcast(
-        requests.select(F.col("id_wanted").alias("item_id")).where("item_id is not null").distinct(), rows
-    )
-    by_id = catalogue.select("item_id").join(ids, "item_id").select(F.col("item_id").alias("_by_id"))
+    ids = requests.select(F.col("id_wanted").alias("item_id")).where("item_id is not null").distinct()
+    by_id = with_ids(catalogue, ids, rows).select(F.col("item_id").alias("_by_id"))
     by_title = first_title_match(catalogue, requests, regex, rows).withColumnRenamed("item_id", "_by_title")
     return (
         requests.join(bounded_broadcast(by_id, rows), F.col("id_wanted") == F.col("_by_id"), "left")

@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.operators.filters import ID_SPAN, with_id_span
 from shelfwise.operators.resolve import all_known_values
 from shelfwise.plans.recommend import Recommender
 from shelfwise.sources import catalogue as files
@@ -17,15 +18,17 @@ def encode_catalogue(catalogue: DataFrame, encoder, text: str = "text_corpus") -
 def build_model(catalogue: DataFrame, encoder, directory: str, model_name: str) -> None:
     """Write the catalogue, its vectors, both in one table, and the manifest.
 
-    The joint table is what a request batch scans. Each part is read back from
+    The joint table is what a request batch scans. It is stored by spans of ids,
+    so that looking up a few items reads a few spans. Each part is read back from
     what was written, so the texts are encoded once.
     """
     spark = catalogue.sparkSession
     files.write_catalogue(catalogue, f"{directory}/catalogue")
     stored = files.read_catalogue(spark, f"{directory}/catalogue")
     encoded = encoder.encode(stored, "text_corpus", "embedding")
-    joint = encoded.withColumn("embedding", encoded["embedding"].cast("array<float>"))
-    files.write_catalogue(joint, f"{directory}/items")
+    joint = with_id_span(encoded.withColumn("embedding", encoded["embedding"].cast("array<float>")))
+    by_span = joint.repartition(ID_SPAN).sortWithinPartitions("item_id")
+    by_span.write.mode("overwrite").partitionBy(ID_SPAN).parquet(f"{directory}/items")
     vectors = files.read_catalogue(spark, f"{directory}/items")
     files.write_vectors(vectors, f"{directory}/vectors")
     files.write_manifest(files.manifest(vectors, model_name), f"{directory}/manifest")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.vectors import blend
 from shelfwise.operators.filters import (
-    any_filter, bounded_broadcast, merge_filters, normalize_filters,
+    ID_SPAN, any_filter, bounded_broadcast, merge_filters, normalize_filters, with_ids,
 )
 from shelfwise.operators.knn import score_partitions
 from shelfwise.operators.resolve import all_known_values, parse_requests, resolve_items
@@ -42,8 +42,8 @@ class Recommender:
         the shared folder, so that each scan of the catalogue happens once.
         """
         parsed = self.parse(requests)
-        found = parsed.agg(F.count(F.lit(1)), F.max("top_k")).first()
-        n, top_k = found[0], found[1] or DEFAULT_TOP_K
+        n, top_k = parsed.agg(F.count(F.lit(1)), F.max("top_k")).first()
+        top_k = top_k or DEFAULT_TOP_K
         fetch = max(top_k * OVERFETCH_FACTOR, OVERFETCH_MIN)
 
         queries = self.query_vectors(parsed, n)
@@ -51,12 +51,9 @@ class Recommender:
             self.items, queries, (n, fetch), carry=("top_k", "drop_id", "then_by", "then_ascending")
         )
         ranked = rerank(scored)
-        shown = [c for c in self.items.columns if c != "embedding"]
-        short = bounded_broadcast(ranked, n * top_k)
-        return (
-            self.items.select(*shown).join(short, "item_id")
-            .select("query_id", "rank", *shown, "similarity")
-        )
+        shown = [c for c in self.items.columns if c not in ("embedding", ID_SPAN)]
+        found = with_ids(self.items.drop("embedding"), ranked, n * top_k)
+        return found.select("query_id", "rank", *shown, "similarity")
 
     def parse(self, requests: DataFrame) -> DataFrame:
         """Each request text taken apart; see ``resolve.parse_requests``."""
@@ -73,9 +70,10 @@ class Recommender:
         fetched ones are ordered afterwards.
         """
         resolved = checkpointed(resolve_items(self.items, parsed, self.regex_titles, n))
-        vectors = self.items.select(F.col("item_id").alias("exclude_id"), F.col("embedding").alias("_stored"))
-        wanted = bounded_broadcast(resolved.select("exclude_id").where("exclude_id is not null").distinct(), n)
-        stored = vectors.join(wanted, "exclude_id")
+        wanted = resolved.select(F.col("exclude_id").alias("item_id")).where("item_id is not null").distinct()
+        stored = with_ids(self.items, wanted, n).select(
+            F.col("item_id").alias("exclude_id"), F.col("embedding").alias("_stored")
+        )
         joined = resolved.join(bounded_broadcast(stored, n), "exclude_id", "left")
 
         free_text = joined.withColumn("_free", F.when(F.col("_stored").isNull(), F.col("identifier")))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_local_dirs: dict[str, str] = {}  # by application, for local masters only
+
 
 def local_session(cpus: int = 8, app: str = "shelfwise", memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -31,10 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if context.applicationId not in _local_dirs:
+            _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="shelfwise-")
+        named = _local_dirs[context.applicationId]
     return named.rstrip("/")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from registry.bindings import cat, raw, table, vectors
 from shelfwise.operators import cleaning, dedup, filters, keys, knn, resolve
-from shelfwise.session import small_table
+from shelfwise.session import checkpointed, small_table
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -82,3 +82,15 @@ def test_hot_key_rows_stay_whole(spark):
     )
     assert dedup.keep_first(hot, ["title"]).count() == 20001
     assert dedup.duplicate_members(hot, ["title"]).count() == 10000
+
+
+def test_looking_up_a_few_items_reads_their_spans_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(filters, "ITEMS_PER_SPAN", 50)
+    stored = filters.with_id_span(cat(spark, SF_DIR))
+    stored.write.partitionBy(filters.ID_SPAN).parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    wanted = checkpointed(small_table(spark, "item_id long", [(3,), (120,), (9999,)]))
+    found = filters.with_ids(items, wanted, 3)
+    assert sorted(r.item_id for r in found.collect()) == [3, 120]
+    assert "dynamicpruning" in plan(found)
+    assert filters.ID_SPAN not in found.columns
