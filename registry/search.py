@@ -79,29 +79,28 @@ def _(spark, sf):
     )
 
 
-def _hash_model():
-    """The hashed-word encoder as a user's Python model."""
-    import hashlib
-
-    import numpy as np
-    import regex
+@query("u1_model_encoder", _cells_sql(DOCS_SQL, "doc_id", "vec"))
+def _(spark, sf):
+    def hash_model():
+        """The hashed-word encoder as a user's Python model."""
+        import hashlib
 
-    split = regex.compile(r"[^\p{L}\p{N}]+")
+        import numpy as np
+        import regex
 
-    def encode(texts):
-        out = np.zeros((len(texts), 64), dtype="float32")
-        for row, text in enumerate(texts):
-            slots = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in split.split(text.lower()) if w]
-            out[row] = np.bincount(slots, minlength=64)
-        return out
+        split = regex.compile(r"[^\p{L}\p{N}]+")
 
-    return encode
+        def encode(texts):
+            out = np.zeros((len(texts), 64), dtype="float32")
+            for row, text in enumerate(texts):
+                slots = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in split.split(text.lower()) if w]
+                out[row] = np.bincount(slots, minlength=64)
+            return out
 
+        return encode
 
-@query("u1_model_encoder", _cells_sql(DOCS_SQL, "doc_id", "vec"))
-def _(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    encoded = ModelEncoder(_hash_model, 64).encode(docs, "text", "embedding")
+    encoded = ModelEncoder(hash_model, 64).encode(docs, "text", "embedding")
     return _cells(encoded, "doc_id", "embedding")
 
 

@@ -8,10 +8,12 @@ passes over the items.
 """
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from shelfwise.operators.payload import on_first_row, packed
 from shelfwise.schemas import FILTERS
 from shelfwise.session import checkpointed
 
+# The scoring code travels with the tasks, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PASS_QUERIES = 4096  # queries scored in one pass over the items
 PASS_ROWS = 1 << 21  # rows kept per task and pass: queries x fetch
 BLOCK_CELLS = 1 << 22  # scores held at once in a task

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise import schemas
 from shelfwise.plans.recommend import Recommender
-from shelfwise.session import checkpointed
 from shelfwise.sources.catalogue import with_request_defaults
 
 
@@ -23,7 +22,7 @@ def serve(recommender: Recommender, requests: DataFrame, out: str, progress: str
     """
 
     def answer(batch: DataFrame, batch_id: int):
-        ranked = recommender.recommend(checkpointed(batch))
+        ranked = recommender.recommend(batch)
         ranked.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (

@@ -225,3 +225,16 @@ def test_model_encoder_skips_missing_texts(spark):
     got = {r.id: r.v for r in ModelEncoder(load, 3).encode(rows, "text", "v").collect()}
     assert got[1] is None
     assert np.allclose(got[0], np.array([3, 1, 0]) / np.sqrt(10)) and np.allclose(got[2], [0, 1, 0])
+
+
+def test_scoring_code_travels_with_the_tasks(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from shelfwise.operators import knn
+
+    (tmp_path / "code").write_bytes(cloudpickle.dumps(knn._Best))
+    load = "import pickle, sys; pickle.load(open('code', 'rb')); assert not any('shelfwise' in m for m in sys.modules)"
+    subprocess.run([sys.executable, "-c", load], cwd=tmp_path, check=True, timeout=60)
