@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.registry.QUERIES, entry.registry.ORACLES
 
 
 @pytest.fixture(scope="module")
