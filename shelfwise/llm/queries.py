@@ -1,6 +1,8 @@
 """The registered queries of the operators, each over its whole table, with check SQL where SQL has one."""
 
 from shelfwise.llm.common import table
+from shelfwise.llm.langid import identify_language
+from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.warc import warc_round_trip
 
 QUERIES = {}
@@ -30,3 +32,13 @@ FROM p LEFT JOIN f USING (payload_digest)
 """)
 def op9_warc(spark, sf_dir):
     return warc_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))
