@@ -47,8 +47,8 @@ def groups_by_bytes(sizes, most: int = PIECE_BYTES):
         yield slice(start, len(sizes))
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,7 +88,7 @@ class Sums:
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of bytes that are not spaces starts and ends."""
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_IS_SPACE[data]
+    inside[1:-1] = ~IS_SPACE[data]
     step = np.diff(inside)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 

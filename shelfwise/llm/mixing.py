@@ -54,8 +54,8 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, most=MOST_TIMES) -> DataFra
     final = F.max(F.when(F.col("open"), F.col("level"))).over(whole)
     target = F.when(F.col("open"), F.col("weight") * final).otherwise(F.col("stop")).cast("double")
     cumulative = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    share = F.coalesce(F.sum("target").over(cumulative), F.lit(0.0)) / F.sum("target").over(whole)
-    low = F.floor(F.try_multiply(share, F.lit(float(1 << POINT_BITS)))).cast("bigint")
+    share = F.try_divide(F.coalesce(F.sum("target").over(cumulative), F.lit(0.0)), F.sum("target").over(whole))
+    low = F.floor(share * float(1 << POINT_BITS)).cast("bigint")
     return (
         levelled.withColumn("target", target).withColumn("low", F.coalesce(low, F.lit(0)))
         .withColumn("high", F.lead("low", 1, 1 << POINT_BITS).over(Window.orderBy("sid")))

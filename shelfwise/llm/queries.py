@@ -1,8 +1,13 @@
 """The registered queries of the operators, each over its whole table, with check SQL where SQL has one."""
 
 from shelfwise.llm.common import table
+from shelfwise.llm.decontaminate import contaminated
 from shelfwise.llm.langid import identify_language
+from shelfwise.llm.licenses import scan_licenses
+from shelfwise.llm.lines import line_report
 from shelfwise.llm.mixing import mix_sources
+from shelfwise.llm.quality import judge_quality
+from shelfwise.llm.simhash import near_duplicates
 from shelfwise.llm.warc import warc_round_trip
 
 QUERIES = {}
@@ -42,3 +47,41 @@ def op4_language_id(spark, sf_dir):
 @query("op6_mixing")
 def op6_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark, sf_dir):
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+s AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS shingle
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY 1),
+m AS (SELECT d.doc_id, s.item_id, count(*) AS n_shared
+  FROM (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)) d
+  JOIN s USING (shingle) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM m JOIN n USING (item_id) WHERE n_shared >= ceil(0.8 * n_item - 1e-9)
+""")
+def op10_decontamination(spark, sf_dir):
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("key").distinct()
