@@ -1,5 +1,6 @@
 """The registered queries of the operators, each over its whole table, with check SQL where SQL has one."""
 
+import corpus_pipeline
 from shelfwise.llm.common import table
 from shelfwise.llm.decontaminate import contaminated
 from shelfwise.llm.langid import identify_language
@@ -8,6 +9,8 @@ from shelfwise.llm.lines import line_report
 from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.quality import judge_quality
 from shelfwise.llm.simhash import near_duplicates
+from shelfwise.llm.substrings import dedup_substrings
+from shelfwise.llm.suffixes import dedup_suffixes
 from shelfwise.llm.warc import warc_round_trip
 
 QUERIES = {}
@@ -85,3 +88,18 @@ FROM m JOIN n USING (item_id) WHERE n_shared >= ceil(0.8 * n_item - 1e-9)
 def op10_decontamination(spark, sf_dir):
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("key").distinct()
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf_dir):
+    return dedup_suffixes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
