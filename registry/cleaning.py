@@ -94,6 +94,15 @@ def _(spark, sf):
     return keys.with_dense_key(first, span=64)
 
 
+@query(
+    "b11_null_order_key",
+    "SELECT row_number() OVER (ORDER BY k NULLS LAST) - 1 AS item_id, k FROM (SELECT CASE WHEN l_linenumber < 5 THEN l_orderkey * 8 + l_linenumber END AS k FROM lineitem)",
+)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").selectExpr("CASE WHEN l_linenumber < 5 THEN l_orderkey * 8 + l_linenumber END AS k")
+    return keys.with_dense_key(lines, order="k", span=1 << 14)
+
+
 @query(
     "b11_dense_key_lineitem",
     "SELECT row_number() OVER (ORDER BY k) - 1 AS item_id, k FROM (SELECT l_orderkey * 8 + l_linenumber AS k FROM lineitem)",

@@ -170,8 +170,8 @@ def _(spark, sf):
 
 @query(
     "g6_seeded_sample",
-    "SELECT doc_id, lang, n_chars FROM documents ORDER BY md5(concat(doc_id, ':42')), doc_id LIMIT 3000",
+    "SELECT doc_id, lang, n_chars FROM documents ORDER BY md5(concat(doc_id, ':42')), doc_id LIMIT 100",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return profile.sample_rows(docs, 3000, key="doc_id")
+    return profile.sample_rows(docs, 100, key="doc_id")

@@ -10,8 +10,9 @@ from shelfwise.functions import parse
 from shelfwise.operators import filters as flt
 from shelfwise.operators import resolve
 from shelfwise.plans.explore import search_text, similar_items
-from shelfwise.plans.recommend import Recommender
-from shelfwise.session import small_table
+from shelfwise.plans.recommend import Recommender, numbered
+from shelfwise.session import new_path, small_table
+from shelfwise.sources import catalogue as files
 from shelfwise.vocab import BLEND_WEIGHT, NO_FILTER_VALUES
 
 # The hashed-word encoder scores lower than a language model would, so the
@@ -41,6 +42,20 @@ _number("s3_price_min", parse.price_min)
 _number("s4_min_points", parse.min_points)
 
 
+# Numbers past the largest integer, and a space that is not ASCII.
+_POINTS = "CASE query_id % 3 WHEN 0 THEN concat(query_id, '99999999999 points') WHEN 1 THEN concat(query_id, ' points') ELSE concat(query_id, '+ POINTS') END"
+
+
+@query(
+    "s4_min_points_overflow",
+    "SELECT query_id, CAST(CASE WHEN query_id % 3 = 0 THEN 2147483647 ELSE query_id END AS INT) AS min_points "
+    f"FROM ({REQUEST_SQL})",
+)
+def _(spark, sf):
+    asked = requests(spark, sf).selectExpr("query_id", f"{_POINTS} AS asked")
+    return asked.select("query_id", parse.min_points(F.col("asked")).alias("min_points"))
+
+
 @query("s5_id_wanted", f"SELECT query_id, id_wanted FROM ({PARTS_SQL})")
 def _(spark, sf):
     wanted = parse.as_item_id(parse.identifier(F.col("query"))).alias("id_wanted")
@@ -318,16 +333,29 @@ def _(spark, sf):
     return rounded(recommender.recommend(workload(spark)))
 
 
-_SAMPLE = (
+# The same requests as JSON without ids: each still gets its own ranking. The text tells them apart.
+@query(
+    "a10_requests_without_id",
+    f"SELECT w.query, r.rank, r.item_id, r.similarity FROM ({RECOMMEND_SQL}) r JOIN ({workload_sql()}) w USING (query_id)",
+)
+def _(spark, sf):
+    path = new_path(spark, "requests-no-id")
+    workload(spark).drop("query_id").write.json(path)
+    asked = numbered(files.read_requests(spark, path))
+    ranked = Recommender(cat(spark, sf), ENCODER, threshold=THRESHOLD).recommend_keyed(asked)
+    return rounded(ranked.join(asked.select("request", "query"), "request").select("query", "rank", "item_id", "similarity"))
+
+
+_SHOWN = (
     f"SELECT * FROM (SELECT item_id, title, variety, country, points, price, nullif(description, '') AS description FROM ({CAT_SQL})) "
-    "ORDER BY md5(concat(item_id, ':42')), item_id LIMIT 3000"
+    "ORDER BY md5(concat(item_id, ':42')), item_id"
 )
 
 
 @query(
     "p6_similar_items",
     f"""
-      WITH s AS ({_SAMPLE}), e AS ({q.encoded(f"SELECT item_id, coalesce(description, '') AS text FROM ({_SAMPLE})", 'item_id')}),
+      WITH s AS ({_SHOWN}), e AS ({q.encoded(f"SELECT item_id, coalesce(description, '') AS text FROM ({_SHOWN})", 'item_id')}),
       named AS (SELECT t.query_id, min(s.item_id) AS first_id FROM (VALUES {_TITLE_VALUES}) t(query_id, title) JOIN s ON s.title = t.title GROUP BY 1),
       scored AS (SELECT n.query_id, i.item_id, round(list_inner_product(i.vec, x.vec), 12) AS similarity
                  FROM named n JOIN e x ON x.item_id = n.first_id, e i),

@@ -217,6 +217,14 @@ _LABEL_SQL = (
 )
 
 
+def label_means(spark, sf):
+    cells = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("slot", "x"))
+    means = cells.groupBy("label", "slot").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
+    return means.groupBy(F.col("label").alias("query_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "m"))), lambda c: c["m"]).alias("vector")
+    )
+
+
 # The mean vector of each label against the catalogue, where the price is in range.
 @query(
     "v9_knn_in_filtered_pool",
@@ -228,17 +236,31 @@ _LABEL_SQL = (
     ),
 )
 def _(spark, sf):
-    cells = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("slot", "x"))
-    means = cells.groupBy("label", "slot").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
-    centres = means.groupBy(F.col("label").alias("query_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "m"))), lambda c: c["m"]).alias("vector")
-    )
     filters = F.struct(
         F.lit(901.0).alias("price_min"), F.lit(1500.0).alias("price_max"),
         F.when(F.col("query_id") % 2 == 1, "Economy").alias("variety"),
         F.lit(None).cast("string").alias("country"), F.lit(85).alias("min_points"),
     )
-    queries = centres.select("query_id", "vector", F.lit(5).alias("fetch"), filters.alias("filters"))
+    queries = label_means(spark, sf).select("query_id", "vector", F.lit(5).alias("fetch"), filters.alias("filters"))
+    return _shown(nearest(cat(spark, sf), queries))
+
+
+# More rows asked for than there are, and none at all next to a filter.
+@query(
+    "c10_more_than_there_are",
+    _ranked_sql(
+        f"SELECT item_id, embedding AS vec, price FROM ({CAT_SQL})", _LABEL_SQL, 1_000_000,
+        "s.query_id % 2 = 0 AND i.price >= 905",
+    ),
+)
+def _(spark, sf):
+    filters = F.struct(
+        F.lit(905.0).alias("price_min"), F.lit(None).cast("double").alias("price_max"),
+        F.lit(None).cast("string").alias("variety"), F.lit(None).cast("string").alias("country"),
+        F.lit(None).cast("int").alias("min_points"),
+    )
+    fetch = F.when(F.col("query_id") % 2 == 0, 1_000_000).otherwise(0)
+    queries = label_means(spark, sf).select("query_id", "vector", fetch.alias("fetch"), filters.alias("filters"))
     return _shown(nearest(cat(spark, sf), queries))
 
 

@@ -31,6 +31,16 @@ def _(spark, sf):
     return files.read_reviews_csv(spark, path)
 
 
+@query(
+    "a1_csv_other_column_order",
+    f"SELECT {', '.join(_read_cell(c) for c in RAW.names if c != 'src_row')} FROM ({RAW_SQL})",
+)
+def _(spark, sf):
+    path = new_path(spark, "reviews-csv")
+    files.write_csv(raw(spark, sf).selectExpr("'extra' AS more", *[c for c in reversed(RAW.names) if c != "src_row"]), path)
+    return files.read_reviews_csv(spark, path).drop("src_row")
+
+
 def _read_clean(name: str) -> str:
     return name if name == "item_id" else _read_cell(name)
 

@@ -143,7 +143,10 @@ def _(spark, sf):
 _VARIETY = (
     "CASE p_partkey % 8 WHEN 0 THEN concat(' Pinot Noir ', p_type) WHEN 1 THEN 'Rosé de ' || p_type "
     "WHEN 2 THEN 'Sparkling Blanc' WHEN 3 THEN concat(p_type, ' Vino Bianco') WHEN 4 THEN 'Noirette' "
-    "WHEN 5 THEN NULL WHEN 6 THEN 'Tinta-' || p_name ELSE p_type END"
+    "WHEN 5 THEN NULL WHEN 6 THEN 'Tinta-' || p_name ELSE "
+    "CASE p_size % 9 WHEN 0 THEN 'Gamay' WHEN 1 THEN 'BARBERA d''Asti' WHEN 2 THEN 'Albariño' WHEN 3 THEN 'Pinot Meunier' "
+    "WHEN 4 THEN 'Mourvèdre-Syrah' WHEN 5 THEN 'Müller-Thurgau' WHEN 6 THEN 'Loureiro-Arinto' WHEN 7 THEN 'Gamayo' "
+    "ELSE p_type END END"
 )
 
 

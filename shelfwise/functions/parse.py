@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import strip
+from shelfwise.functions.text import SPACE, strip
+
+MOST_POINTS = 2**31 - 1
 
 
 def _parts(query: Column) -> Column:
@@ -34,7 +36,9 @@ def price_min(c: Column) -> Column:
 
 
 def min_points(c: Column) -> Column:
-    return _number(c, r"(?i)([0-9]+)\+?[\s\x{1C}-\x{1F}\x{85}\x{A0}]*points", "int")
+    """Whole points; a number past the largest integer stays a bound that nothing meets."""
+    digits = F.nullif(F.regexp_extract(c, r"(?i)([0-9]+)\+?" + SPACE + "*points", 1), F.lit(""))
+    return F.when(digits.isNotNull(), F.coalesce(digits.try_cast("int"), F.lit(MOST_POINTS)))
 
 
 def as_item_id(c: Column) -> Column:

@@ -23,8 +23,7 @@ def any_word_pattern(words) -> str:
 def style_category(variety: Column, words: dict = STYLE_WORDS) -> Column:
     """The first style in ``words`` one of whose words occurs in the variety.
 
-    The default words hold the curated grape names and the general colour
-    markers. A fuller list per style is passed in ``words``.
+    Styles are tested in the order of ``words``; entries count as whole words.
     """
     name = strip(F.lower(variety))
     out = None

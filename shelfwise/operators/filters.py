@@ -94,10 +94,18 @@ def by_id(df: DataFrame, item_id: int) -> DataFrame:
     return df.where(F.col("item_id") == item_id)
 
 
-def look_up(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One line per wanted ``item_id``, with a null ``item`` when it does not exist."""
-    item = F.struct(*[F.col(c) for c in df.columns if c != "item_id"]).alias("item")
-    return wanted.join(df.select("item_id", item), "item_id", "left")
+def look_up(df: DataFrame, wanted: DataFrame, rows: int | None = None) -> DataFrame:
+    """One line per wanted ``item_id``, with a null ``item`` when it does not exist.
+
+    The wanted ids, ``rows`` of them at most, cut the catalogue down first, so
+    that it is not shuffled to be looked into.
+    """
+    rows = wanted.count() if rows is None else rows
+    item = F.struct(*[F.col(c) for c in df.columns if c not in ("item_id", ID_SPAN)]).alias("item")
+    kept = [c for c in ("item_id", ID_SPAN) if c in df.columns]
+    ids = wanted.select("item_id").where("item_id is not null").distinct()
+    found = with_ids(df.select(*kept, item), ids, rows)
+    return wanted.join(bounded_broadcast(found, rows), "item_id", "left")
 
 
 def bounded_broadcast(df: DataFrame, rows: int | None) -> DataFrame:

@@ -113,7 +113,7 @@ def _complete_queries(queries: DataFrame, carry) -> DataFrame:
         F.lower(filters["variety"]).alias("variety"),
         F.lower(filters["country"]).alias("country"),
         *carry,
-    ).where("vector is not null")
+    ).where("vector is not null and fetch > 0")
 
 
 def _one_pass(items: DataFrame, queries: DataFrame, carry, cosine: bool) -> DataFrame:

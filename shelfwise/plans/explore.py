@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.vectors import distance_to_similarity
-from shelfwise.operators.filters import bounded_broadcast, first_with_title
+from shelfwise.operators.filters import ID_SPAN, bounded_broadcast, first_with_title, with_ids
 from shelfwise.operators.knn import nearest
 from shelfwise.operators.profile import sample_rows
 from shelfwise.session import checkpointed
@@ -33,9 +33,9 @@ def over_cores(df: DataFrame) -> DataFrame:
 
 
 def similar_items(
-    catalogue: DataFrame, encoder, titles: DataFrame, top_n: int = 5, sample: int | None = 3000
+    catalogue: DataFrame, encoder, titles: DataFrame, top_n: int = 5, sample: int | None = None
 ) -> DataFrame:
-    """Sample, encode the descriptions, and list the neighbours of each title.
+    """Encode the descriptions and list the neighbours of each title; of ``sample`` rows only, if given.
 
     The encoded rows are read three times, so they are written to the shared folder.
     """
@@ -44,7 +44,7 @@ def similar_items(
     items = checkpointed(encoder.encode(filled, "_text", "embedding").drop("_text"))
     found = neighbours_of_titles(items, titles, top_n)
     similarity = distance_to_similarity(F.lit(1.0) - F.col("similarity"))
-    shown = items.select("item_id", *SIMILAR_COLUMNS).join(found, "item_id")
+    shown = with_ids(items.select("item_id", *SIMILAR_COLUMNS), found, titles.count() * (top_n + 1))
     return shown.select(
         "query_id", "position", "item_id", *SIMILAR_COLUMNS, similarity.alias("similarity")
     )
@@ -58,7 +58,9 @@ def search_text(items: DataFrame, encoder, searches: DataFrame, top_k: int = 5)
     queries = encoder.encode(searches, "text", "vector").select(
         "query_id", "vector", F.lit(top_k).alias("fetch")
     )
-    found = nearest(items, queries, cosine=True)
-    return items.select("item_id", "title", "description").join(found, "item_id").select(
+    n = searches.count()
+    found = nearest(items, queries, size=(n, top_k), cosine=True)
+    columns = [c for c in ("item_id", ID_SPAN, "title", "description") if c in items.columns]
+    return with_ids(items.select(*columns), found, n * top_k).select(
         "query_id", "position", "item_id", "title", "description", "similarity"
     )

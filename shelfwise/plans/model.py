@@ -27,7 +27,7 @@ def build_model(catalogue: DataFrame, encoder, directory: str, model_name: str)
     stored = files.read_catalogue(spark, f"{directory}/catalogue")
     encoded = encoder.encode(stored, "text_corpus", "embedding")
     joint = with_id_span(encoded.withColumn("embedding", encoded["embedding"].cast("array<float>")))
-    by_span = joint.repartition(ID_SPAN).sortWithinPartitions("item_id")
+    by_span = joint.repartition(ID_SPAN).sortWithinPartitions(ID_SPAN, "item_id")
     by_span.write.mode("overwrite").partitionBy(ID_SPAN).parquet(f"{directory}/items")
     vectors = files.read_catalogue(spark, f"{directory}/items")
     files.write_vectors(vectors, f"{directory}/vectors")

@@ -40,8 +40,15 @@ class Recommender:
 
         The parsed and the resolved requests, one short row each, are written to
         the shared folder, so that each scan of the catalogue happens once.
+        Every request gets its own ranking, also where a ``query_id`` is missing
+        or given twice; ``recommend_keyed`` tells such requests apart.
         """
-        parsed = self.parse(requests)
+        return self.recommend_keyed(requests).drop("request")
+
+    def recommend_keyed(self, requests: DataFrame) -> DataFrame:
+        """As ``recommend``, with a first column ``request`` that numbers the requests of the batch."""
+        intake = requests if "request" in requests.columns else numbered(requests)
+        parsed = self.parse(intake.withColumn("query_id", F.col("request")).drop("request"))
         n, top_k = parsed.agg(F.count(F.lit(1)), F.max("top_k")).first()
         top_k = top_k or DEFAULT_TOP_K
         fetch = max(top_k * OVERFETCH_FACTOR, OVERFETCH_MIN)
@@ -52,8 +59,9 @@ class Recommender:
         )
         ranked = rerank(scored)
         shown = [c for c in self.items.columns if c not in ("embedding", ID_SPAN)]
-        found = with_ids(self.items.drop("embedding"), ranked, n * top_k)
-        return found.select("query_id", "rank", *shown, "similarity")
+        found = with_ids(self.items.drop("embedding"), ranked.withColumnRenamed("query_id", "request"), n * top_k)
+        callers = bounded_broadcast(intake.select("request", "query_id"), n)
+        return found.join(callers, "request").select("request", "query_id", "rank", *shown, "similarity")
 
     def parse(self, requests: DataFrame) -> DataFrame:
         """Each request text taken apart; see ``resolve.parse_requests``."""
@@ -103,6 +111,12 @@ class Recommender:
         )
 
 
+def numbered(requests: DataFrame) -> DataFrame:
+    """The requests with a number each, ``request``; written once, so a retried task sees the same ones."""
+    have = requests if "query_id" in requests.columns else requests.withColumn("query_id", F.lit(None).cast("long"))
+    return checkpointed(have.withColumn("request", F.monotonically_increasing_id()))
+
+
 def complete_requests(requests: DataFrame) -> DataFrame:
     """Fill in what a request may leave out: ``top_k`` and ``filters``."""
     have = set(requests.columns)

@@ -7,6 +7,9 @@ from pyspark.sql import types as T
 from shelfwise import schemas
 from shelfwise.vocab import DEFAULT_TOP_K, NULL_TOKENS
 
+# Names of a column that numbers the rows, lower-cased; Spark calls an unnamed one _c0.
+ROW_NUMBER_NAMES = ("src_row", "unnamed: 0", "_c0")
+
 _CSV = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
 
@@ -16,10 +19,35 @@ def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     A quoted line break keeps a file from being split. Read many files, or turn
     ``multi_line`` off where no cell holds a line break, and store the result
     as Parquet before working on it.
+
+    Columns are found by name, in any order; others are left out. The row number
+    is the unnamed first column; without one, rows get a number in file order.
+    """
+    rows = _by_header(spark, path, {**_CSV, "multiLine": str(multi_line).lower()})
+    names = {name.strip().lower(): name for name in rows.columns}
+    number = next((names[n] for n in ROW_NUMBER_NAMES if n in names), None)
+    own = F.monotonically_increasing_id().cast("string") if number is None else F.col(f"`{number}`")
+    _require(names, [f.name for f in schemas.RAW if f.name != "src_row"], path)
+    columns = [F.col(f"`{names[f.name]}`").alias(f.name) for f in schemas.RAW if f.name != "src_row"]
+    return typed(rows.select(own.alias("src_row"), *columns), schemas.RAW)
+
+
+def _by_header(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """All cells as text under the names of the header line, which all files must share.
+
+    A file with another header stops the job, unless a column is unnamed and
+    cannot be compared.
     """
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.RAW])
-    rows = spark.read.schema(texts).options(**{**_CSV, "multiLine": str(multi_line).lower()}).csv(path)
-    return typed(rows, schemas.RAW)
+    header = spark.read.options(**options).csv(path).columns
+    unnamed = any(name.startswith("_c") for name in header)
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    return spark.read.schema(texts).options(**options, enforceSchema=str(unnamed).lower()).csv(path)
+
+
+def _require(names, wanted, path: str) -> None:
+    missing = [name for name in wanted if name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
 
 
 def typed(rows: DataFrame, schema: T.StructType) -> DataFrame:
@@ -47,8 +75,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.CLEAN])
-    return typed(spark.read.schema(texts).options(**_CSV).csv(path), schemas.CLEAN)
+    rows = _by_header(spark, path, _CSV)
+    _require(rows.columns, schemas.CLEAN.names, path)
+    return typed(rows.select(*schemas.CLEAN.names), schemas.CLEAN)
 
 
 def write_catalogue(df: DataFrame, path: str) -> None:

@@ -158,3 +158,11 @@ def test_sample_is_exact_and_repeatable(spark):
 
 def test_raw_schema_round_trip(raw_reviews):
     assert raw_reviews.columns == RAW.names
+
+
+def test_dense_keys_keep_rows_without_an_order(spark):
+    rows = small_table(spark, "src_row long, title string", [(5, "a"), (None, "b"), (2, "c"), (None, "b"), (None, "d")])
+    got = keys.with_dense_key(rows).orderBy("item_id").collect()
+    assert [r.item_id for r in got] == [0, 1, 2, 3, 4] and [r.src_row for r in got] == [2, 5, None, None, None]
+    again = keys.with_dense_key(rows.repartition(3)).orderBy("item_id").collect()
+    assert got == again

@@ -238,3 +238,19 @@ def test_scoring_code_travels_with_the_tasks(tmp_path):
     (tmp_path / "code").write_bytes(cloudpickle.dumps(knn._Best))
     load = "import pickle, sys; pickle.load(open('code', 'rb')); assert not any('shelfwise' in m for m in sys.modules)"
     subprocess.run([sys.executable, "-c", load], cwd=tmp_path, check=True, timeout=60)
+
+
+def test_requests_without_or_with_equal_ids(spark, items, encoder):
+    rec = Recommender(items, encoder)
+    rows = small_table(spark, "query_id long, query string, top_k int", [(0, "0 + cheap", 2), (0, "2 + cheap", 2), (None, "1", 1), (None, "0", 1)])
+    got = rec.recommend_keyed(rows).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.request, []).append(r.rank)
+    assert sorted(map(len, by.values())) == [1, 1, 2, 2] and all(sorted(v) == list(range(1, len(v) + 1)) for v in by.values())
+    assert rec.recommend(rows.drop("query_id")).count() == 6
+
+
+def test_no_rows_asked_for_next_to_a_filter(spark, items, encoder):
+    rows = small_table(spark, "query_id long, query string, top_k int", [(0, "0 + under 60", 0), (1, "zzz + under 60", 0)])
+    assert Recommender(items, encoder).recommend(rows).count() == 0

@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from shelfwise.operators.encode import HashEncoder
@@ -77,3 +78,14 @@ def test_stream_answers_every_request_once(spark, items, encoder, tmp_path):
     assert answered() == first
     send(2, "0 + under 30")
     assert answered() == first + [(2, 1, 1)]
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "other.csv").write_text("title,winery,price,points,country,description,designation,province,region_1,region_2,"
+                                        "taster_name,taster_twitter_handle,variety,extra\nT1,W1,10,90,US,\"a, b\",,P,R,,,,V,x\n")
+    row = files.read_reviews_csv(spark, str(tmp_path / "other.csv")).first()
+    assert (row.title, row.winery, row.price, row.points, row.country, row.description) == ("T1", "W1", 10.0, 90, "US", "a, b")
+    assert row.designation is None and row.src_row == 0
+    (tmp_path / "short.csv").write_text("title,price\nT,1\n")
+    with pytest.raises(ValueError, match="winery"):
+        files.read_reviews_csv(spark, str(tmp_path / "short.csv"))
