@@ -2,7 +2,7 @@
 
 Fingerprints that lie within ``radius`` 3 agree in at least three of six bit
 ranges, so each distinct fingerprint is filed under the 20 choices of three
-ranges. Within a file, distances are not taken pair by pair: the 64 bit planes
+ranges; a large file is filed again by its other bits. Within a file, distances are not taken pair by pair: the 64 bit planes
 of all fingerprints of a batch stand vertically, 64 fingerprints to a machine
 word, each is compared with the one ``s`` places on for s = 1, 2, ... at once,
 differing bits are added up in carry-save counters, and a block of words is
@@ -34,6 +34,7 @@ SEED, SHINGLE, RADIUS = 42, 3, 3
 RANGES = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
 SHARED = 3  # of the six ranges, three at most hold a difference
 BLOCK_WORDS = 64  # words of 64 lanes that are abandoned together
+LARGE_FILE = 1 << 11  # rows from which a file is filed again by its other bits
 TILE_ROWS = 1 << 16  # rows of files that a task holds as bit planes
 
 
@@ -153,19 +154,54 @@ def _linked(file: np.ndarray, fps: np.ndarray, radius: int):
         step += 1
 
 
+def _within_file(fps: np.ndarray, free: list[int], radius: int, at: np.ndarray):
+    """Index pairs of one large file. Its rows differ in the bits ``free`` only.
+
+    Of ``radius`` + 1 parts of these bits two linked rows share one, so rows are
+    filed again by each part, and so on while files are large.
+    """
+    if len(at) <= LARGE_FILE or len(free) < 4 * (radius + 1):
+        for a, b in _linked(np.zeros(len(at), np.int8), fps[at], radius):
+            yield at[a], at[b]
+        return
+    for part in np.array_split(np.array(free), radius + 1):
+        mask = np.bitwise_or.reduce(np.uint64(1) << part.astype(np.uint64))
+        own = fps[at] & mask
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order])) + 1
+        rest = [b for b in free if b not in set(part.tolist())]
+        for group in np.split(order, cuts):
+            if len(group) > 1:
+                yield from _within_file(fps, rest, radius, at[group])
+
+
+def _free_bits(choice: int) -> list[int]:
+    taken = list(combinations(RANGES, SHARED))[choice]
+    return [b for low, high in RANGES if (low, high) not in taken for b in range(low, high)]
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links between distinct fingerprints, enough to connect all that are linked."""
     assert 0 <= radius <= 3
     spark = fps.sparkSession
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        file, held, chosen = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         last, number = None, 0
 
-        def found(file, held):
+        def pairs_of(file, held, chosen):
+            _, starts, sizes = np.unique(file, return_index=True, return_counts=True)
+            large = sizes > LARGE_FILE
+            for start, size in zip(starts[large].tolist(), sizes[large].tolist()):
+                yield from _within_file(held, _free_bits(int(chosen[start])), radius, np.arange(start, start + size))
+            rest = np.flatnonzero(~np.repeat(large, sizes))
+            for a, b in _linked(file[rest], held[rest], radius):
+                yield rest[a], rest[b]
+
+        def found(file, held, chosen):
             forest, ends = Forest(), held.view(np.int64)
             kept = [
-                pair for a, b in _linked(file, held, radius) for pair in zip(a.tolist(), b.tolist()) if forest.join(*pair)
+                pair for a, b in pairs_of(file, held, chosen) for pair in zip(a.tolist(), b.tolist()) if forest.join(*pair)
             ]
             pairs = np.array(kept, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ends[pairs[:, 0]]), pa.array(ends[pairs[:, 1]])], ["a", "b"])
@@ -181,14 +217,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             new[0] = last != (choice[0], bits[0])
             numbers = number + np.cumsum(new)
             last, number = (choice[-1], bits[-1]), int(numbers[-1])
-            file, held = np.concatenate((file, numbers)), np.concatenate((held, fp))
+            file, held, chosen = np.concatenate((file, numbers)), np.concatenate((held, fp)), np.concatenate((chosen, choice))
             if len(held) >= TILE_ROWS:  # the last file may go on in the next batch
                 end = np.searchsorted(file, number)
                 if end:
-                    yield found(file[:end], held[:end])
-                    file, held = file[end:], held[end:]
+                    yield found(file[:end], held[:end], chosen[:end])
+                    file, held, chosen = file[end:], held[end:], chosen[end:]
         if len(held):
-            yield found(file, held)
+            yield found(file, held, chosen)
 
     files = filed(fps).repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")

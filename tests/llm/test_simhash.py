@@ -103,3 +103,26 @@ def test_long_chains_and_hubs(spark):
     rnd.shuffle(chain)
     root = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {root[i] for i in range(61)} == {0} and {root[i] for i in range(2000, 2300)} == {1000}
+
+
+def test_large_files_are_filed_again():
+    rnd = np.random.default_rng(9)
+    free = simhash._free_bits(5)
+    assert len(free) + sum(high - low for low, high in list(simhash.combinations(simhash.RANGES, 3))[5]) == 64
+    values = np.zeros(5000, np.uint64)
+    for bit in free:
+        values |= rnd.integers(0, 2, 5000, dtype=np.uint64) << np.uint64(bit)
+    for i in range(1, 5000, 3):
+        values[i] = values[i - 1]
+        for bit in rnd.choice(free, rnd.integers(1, 5), replace=False):
+            values[i] ^= np.uint64(1) << np.uint64(bit)
+    values = np.unique(values)
+    pairs = {
+        tuple(sorted(p)) for a, b in simhash._within_file(values, free, 3, np.arange(len(values)))
+        for p in zip(a.tolist(), b.tolist())
+    }
+    want = set()
+    for step in range(1, len(values)):
+        near = np.bitwise_count(values[:-step] ^ values[step:]) <= 3
+        want |= {(int(i), int(i) + step) for i in np.flatnonzero(near)}
+    assert pairs == want and len(want) > 1000
