@@ -44,18 +44,16 @@ def _(spark, sf):
     return dedup.keep_first(raw(spark, sf), ["title", "description"])
 
 
-_PAIRS = f"SELECT src_row, title, substr(lower(coalesce(description, 'none')), 1, 1) AS initial FROM ({RAW_SQL})"
+_PAIRS = f"SELECT src_row, winery, lower(coalesce(description, 'none')) AS whole FROM ({RAW_SQL})"
 
 
 @query(
     "w3_duplicate_members",
-    f"SELECT src_row, title, initial FROM (SELECT *, count(*) OVER (PARTITION BY title, initial) AS n FROM ({_PAIRS})) WHERE n > 1",
+    f"SELECT src_row, winery, whole FROM (SELECT *, count(*) OVER (PARTITION BY winery, whole) AS n FROM ({_PAIRS})) WHERE n > 1",
 )
 def _(spark, sf):
-    initial = F.substring(F.lower(F.coalesce("description", F.lit("none"))), 1, 1)
-    return dedup.duplicate_members(
-        raw(spark, sf).select("src_row", "title", initial.alias("initial")), ["title", "initial"]
-    )
+    whole = F.lower(F.coalesce("description", F.lit("none"))).alias("whole")
+    return dedup.duplicate_members(raw(spark, sf).select("src_row", "winery", whole), ["winery", "whole"])
 
 
 @query(

@@ -225,6 +225,14 @@ def label_means(spark, sf):
     )
 
 
+LABEL_TOP_SQL = _ranked_sql(f"SELECT item_id, embedding AS vec FROM ({CAT_SQL})", _LABEL_SQL, 20)
+
+
+def label_top(spark, sf):
+    """Per label, the 20 catalogue items nearest to its mean."""
+    return _shown(nearest(cat(spark, sf), label_means(spark, sf).withColumn("fetch", F.lit(20))))
+
+
 # The mean vector of each label against the catalogue, where the price is in range.
 @query(
     "v9_knn_in_filtered_pool",
@@ -324,17 +332,10 @@ def _(spark, sf):
     return docs.join(found.select("query_id", "position", "item_id"), "item_id")
 
 
-# Per label, the catalogue vectors nearest to the first axis.
-@query(
-    "w4_top_k_per_group",
-    "SELECT label, item_id, score, CAST(position AS INT) AS position FROM (SELECT label, item_id, score, "
-    "row_number() OVER (PARTITION BY label ORDER BY score DESC, item_id) AS position FROM "
-    f"(SELECT label, item_id, embedding[1] AS score FROM ({VECTORS_SQL}))) WHERE position <= 5",
-)
+# Per label, the vectors nearest to its mean.
+@query("w4_top_k_per_group", _ranked_sql(f"SELECT item_id, embedding AS vec FROM ({VECTORS_SQL})", _LABEL_SQL, 5))
 def _(spark, sf):
-    scored = vectors(spark, sf).select("label", "item_id", F.col("embedding")[0].cast("double").alias("score"))
-    best = Window.partitionBy("label").orderBy(F.desc("score"), "item_id")
-    return scored.withColumn("position", F.row_number().over(best)).where("position <= 5")
+    return _shown(nearest(vectors(spark, sf), label_means(spark, sf).withColumn("fetch", F.lit(5))))
 
 
 def _top_sql(order: str, k: int) -> str:
@@ -343,13 +344,12 @@ def _top_sql(order: str, k: int) -> str:
 
 @query(
     "g1_order_by_similarity",
-    f"SELECT item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INT) AS position FROM "
-    f"(SELECT item_id, round(a[1], 6) AS score FROM ({_NEXT_SQL})) ORDER BY position LIMIT 100",
+    _ranked_sql(f"SELECT item_id, embedding AS vec FROM ({VECTORS_SQL})", _LABEL_SQL, 100, "s.query_id = (SELECT min(label) FROM embeddings)"),
 )
 def _(spark, sf):
-    scored = _next_pairs(spark, sf).select("item_id", F.round(F.col("a")[0].cast("double"), 6).alias("score"))
-    top = scored.orderBy(F.desc("score"), "item_id").limit(100)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")))
+    means = label_means(spark, sf)
+    one = means.orderBy("query_id").limit(1).withColumn("fetch", F.lit(100))
+    return _shown(nearest(vectors(spark, sf), one))
 
 
 @query("g2_order_by_price_up", _top_sql("price ASC NULLS LAST, item_id", 50))

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from registry import query
 from registry import sqltext as q
 from registry.bindings import CAT_SQL, RAW_SQL, cat, raw, table
+from registry.search import LABEL_TOP_SQL, label_top
 from shelfwise.functions import present, text
 from shelfwise.operators import cleaning
 from shelfwise.session import spread
+from shelfwise.operators.filters import with_ids
 from shelfwise.vocab import COUNTRY_OVERRIDES, RED_VARIETIES, STYLE_WORDS, TEXT_COLUMNS, WHITE_VARIETIES
 
 
@@ -42,7 +44,7 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.drop_unencodable("html").alias("html"))
 
 
-_STRINGS = ("country", "description", "designation", "title", "winery")
+_STRINGS = TEXT_COLUMNS
 
 
 @query(
@@ -247,17 +249,14 @@ def _(spark, sf):
 
 @query(
     "s16_presentation_table",
-    f"SELECT item_id AS query_id, 1 AS rank, item_id, {_style_sql('variety')} AS style, {_RATING} AS rating, "
+    f"SELECT query_id, position AS rank, item_id, {_style_sql('variety')} AS style, {_RATING} AS rating, "
     f"{q.title_case('title')} AS title, {q.title_case('variety')} AS variety, {_country_sql('country')} AS country, "
     f"{_sentence_sql('description')} AS description, {_price_sql('price')} AS price_label, "
-    f"{_MATCH.format('embedding[1]')} AS match_label FROM ({CAT_SQL})",
+    f"{_MATCH.format('similarity')} AS match_label FROM ({CAT_SQL}) JOIN ({LABEL_TOP_SQL}) USING (item_id)",
 )
 def _(spark, sf):
-    ranked = cat(spark, sf).select(
-        F.col("item_id").alias("query_id"), F.lit(1).alias("rank"), "item_id", "variety", "points", "title",
-        "country", "description", "price", F.col("embedding")[0].cast("double").alias("similarity"),
-    )
-    return present.present(ranked)
+    found = label_top(spark, sf).withColumnRenamed("position", "rank")
+    return present.present(with_ids(cat(spark, sf).drop("embedding"), found))
 
 
 _STANDARD = ", ".join(f"({q.lit(v)})" for v in sorted(set(RED_VARIETIES) | set(WHITE_VARIETIES)))

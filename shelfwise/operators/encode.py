@@ -21,11 +21,14 @@ class HashEncoder:
             words,
             lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(self.dim)),
         )
+        # one mark of fixed width per word; a slot's count is how much shorter the text is without its mark
+        width = len(str(self.dim - 1)) + 1
+        mark = lambda d: F.concat(F.lit(";"), F.lpad(d.cast("string"), width - 1, "0"))
         counts = let(
-            slots,
+            F.array_join(F.transform(slots, mark), ""),
             lambda s: F.transform(
                 F.sequence(F.lit(0), F.lit(self.dim - 1)),
-                lambda d: (F.size(s) - F.size(F.array_remove(s, d.cast("long")))).cast("double"),
+                lambda d: ((F.octet_length(s) - F.octet_length(F.replace(s, mark(d), F.lit("")))) / width).cast("double"),
             ),
         )
         return F.when(text.isNotNull(), l2_normalize(counts))

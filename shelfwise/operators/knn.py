@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,8 +76,9 @@ def score_partitions(
     """Per task and query, the best ``fetch`` rows; ``carry`` query columns ride along."""
     queries = _complete_queries(queries, carry)
     if size is None:
-        found = queries.agg(F.count(F.lit(1)), F.max("fetch")).first()
+        found = queries.agg(F.count(F.lit(1)), F.max("fetch"), *loosest_bounds(F.struct(*_BOUNDS))).first()
         size = (found[0], found[1] or 0)
+        items = within_bounds(items, found)
     n, fetch = size
     per_pass = max(1, min(pass_queries, PASS_ROWS // max(fetch, 1)))
     passes = math.ceil(n / per_pass)
@@ -93,6 +94,30 @@ def score_partitions(
     return out
 
 
+# Which item column a filter bounds, the loosest of several bounds, and the test.
+_BOUNDS = {
+    "price_min": ("price", F.min, lambda c, v: c >= v),
+    "price_max": ("price", F.max, lambda c, v: c <= v),
+    "min_points": ("points", F.min, lambda c, v: c >= v),
+}
+
+
+def loosest_bounds(filters: Column) -> list[Column]:
+    """Per bound its loosest value, null unless every query has it; for one aggregate over all queries."""
+    return [
+        F.when(F.count(filters[name]) == F.count(F.lit(1)), loosest(filters[name])).alias(name)
+        for name, (_, loosest, _) in _BOUNDS.items()
+    ]
+
+
+def within_bounds(items: DataFrame, bounds) -> DataFrame:
+    """The items that some query may rank, by tests that reach the scan; ``bounds`` as ``loosest_bounds`` gives them."""
+    for name, (column, _, test) in _BOUNDS.items():
+        if bounds[name] is not None and column in items.columns:
+            items = items.where(test(F.col(column), F.lit(bounds[name])))
+    return items
+
+
 def _complete_queries(queries: DataFrame, carry) -> DataFrame:
     have = set(queries.columns)
 

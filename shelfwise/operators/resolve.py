@@ -2,8 +2,12 @@
 
 import math
 import re
+import re._parser as sre
+import sys
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,9 @@ from shelfwise.operators.payload import on_first_row, packed
 from shelfwise.session import small_table
 from shelfwise.vocab import ANCHOR_THRESHOLD, ANCHORS
 
+# The pattern code travels with the tasks, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GRAM = 3
 PASS_PATTERNS = 4096  # patterns run in one pass over the titles
 REGEX_SIGNS = r"[\\^$.|?*+()\[\]{}]"
@@ -118,9 +125,11 @@ def first_title_match(
 
     Identifiers are patterns unless ``regex`` is off; one that is no valid
     pattern is taken literally. Those without pattern signs, and all of them
-    when ``regex`` is off, are found by an equi-join. The rest run as compiled
-    patterns over the titles, several thousand to a pass. ``rows`` is a bound on
-    the number of identifiers, counted here if not given.
+    when ``regex`` is off, are found by an equi-join. A pattern that cannot match
+    without some literal text, as a title with brackets, is joined on that text
+    and run on the titles that hold it. The rest run as compiled patterns over
+    the titles, several thousand to a pass. ``rows`` is a bound on the number of
+    identifiers, counted here if not given.
     """
     titles = catalogue.where("title is not null").select("item_id", "title")
     wanted = wanted.select("identifier").where("identifier is not null").distinct()
@@ -129,7 +138,12 @@ def first_title_match(
 
     literal = bounded_broadcast(wanted.where(~is_pattern), rows)
     found = contains_join(titles, "title", literal, "identifier").select("identifier", "item_id")
-    patterns = wanted.where(is_pattern)
+    needs = wanted.where(is_pattern).withColumn("_text", required_text(F.col("identifier")))
+    held = bounded_broadcast(needs.where("_text is not null"), rows)
+    folded = titles.withColumn("_folded", folded_text(F.col("title")))
+    pairs = contains_join(folded, "_folded", held, "_text").select("identifier", "item_id", "title")
+    found = found.unionAll(pairs.where(pattern_matches(F.col("identifier"), F.col("title"))).select("identifier", "item_id"))
+    patterns = needs.where("_text is null").select("identifier")
     rows = patterns.count() if rows is None else rows
     passes = 1 if rows <= PASS_PATTERNS else math.ceil(1.5 * rows / PASS_PATTERNS)
     slot = F.pmod(F.xxhash64("identifier"), F.lit(passes))
@@ -139,6 +153,56 @@ def first_title_match(
     return found.groupBy("identifier").agg(F.min("item_id").alias("item_id"))
 
 
+def compiled(pattern: str) -> re.Pattern:
+    """The pattern, ignoring case; one that is not valid stands for itself."""
+    try:
+        return re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        return re.compile(re.escape(pattern), re.IGNORECASE)
+
+
+def folded_text(c: Column) -> Column:
+    """Letters that a pattern takes for an ASCII one when it ignores case, as that one."""
+    return F.lower(F.translate(c, "\u017f\u0130\u0131\u212a", "siik"))
+
+
+def longest_required(pattern: str) -> str | None:
+    """The longest run of ASCII text, lower-cased, that every match of the pattern holds; null if under 3."""
+    runs = [""]
+
+    def walk(tokens):
+        for op, value in tokens:
+            if op is sre.LITERAL and value < 128:
+                runs[-1] += chr(value).lower()
+            elif op is sre.SUBPATTERN:
+                walk(value[3])
+            elif op is sre.MAX_REPEAT and value[0] >= 1:
+                runs.append("")
+                walk(value[2])
+                runs.append("")
+            elif op is not sre.AT:
+                runs.append("")
+
+    walk(sre.parse(compiled(pattern).pattern, re.IGNORECASE))
+    best = max(runs, key=len)
+    return best if len(best) >= GRAM else None
+
+
+def required_text(c: Column) -> Column:
+    def find(patterns: pd.Series) -> pd.Series:
+        return patterns.map(longest_required)
+
+    return F.pandas_udf(find, "string")(c)
+
+
+def pattern_matches(pattern: Column, title: Column) -> Column:
+    def search(patterns: pd.Series, titles: pd.Series) -> pd.Series:
+        known = {p: compiled(p) for p in patterns.unique()}
+        return pd.Series([known[p].search(t) is not None for p, t in zip(patterns, titles)], dtype=bool)
+
+    return F.pandas_udf(search, "boolean")(pattern, title)
+
+
 def _pattern_matches(titles: DataFrame, patterns: DataFrame) -> DataFrame:
     """Per task, the lowest item each pattern matches."""
     payload = packed(patterns)
@@ -146,12 +210,6 @@ def _pattern_matches(titles: DataFrame, patterns: DataFrame) -> DataFrame:
         "item_id", "title", on_first_row(payload).alias("patterns")
     )
 
-    def compiled(pattern: str):
-        try:
-            return re.compile(pattern, re.IGNORECASE)
-        except re.error:
-            return re.compile(re.escape(pattern), re.IGNORECASE)
-
     def run(batches):
         wanted, lowest = None, {}
         for batch in batches:

@@ -10,7 +10,7 @@ from shelfwise.functions.vectors import blend
 from shelfwise.operators.filters import (
     ID_SPAN, any_filter, bounded_broadcast, merge_filters, normalize_filters, with_ids,
 )
-from shelfwise.operators.knn import score_partitions
+from shelfwise.operators.knn import loosest_bounds, score_partitions, within_bounds
 from shelfwise.operators.resolve import all_known_values, parse_requests, resolve_items
 from shelfwise.schemas import FILTERS, REQUEST
 from shelfwise.session import checkpointed, small_table
@@ -49,13 +49,16 @@ class Recommender:
         """As ``recommend``, with a first column ``request`` that numbers the requests of the batch."""
         intake = requests if "request" in requests.columns else numbered(requests)
         parsed = self.parse(intake.withColumn("query_id", F.col("request")).drop("request"))
-        n, top_k = parsed.agg(F.count(F.lit(1)), F.max("top_k")).first()
-        top_k = top_k or DEFAULT_TOP_K
+        active = normalize_filters(merge_filters(F.col("parsed"), F.col("filters"), self.partial_filters))
+        asked = parsed.select("top_k", active.alias("active")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("top_k").alias("top_k"), *loosest_bounds(F.col("active"))
+        ).first()
+        n, top_k = asked["n"], asked["top_k"] or DEFAULT_TOP_K
         fetch = max(top_k * OVERFETCH_FACTOR, OVERFETCH_MIN)
 
         queries = self.query_vectors(parsed, n)
         scored = score_partitions(
-            self.items, queries, (n, fetch), carry=("top_k", "drop_id", "then_by", "then_ascending")
+            within_bounds(self.items, asked), queries, (n, fetch), carry=("top_k", "drop_id", "then_by", "then_ascending")
         )
         ranked = rerank(scored)
         shown = [c for c in self.items.columns if c not in ("embedding", ID_SPAN)]

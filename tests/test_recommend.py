@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +256,31 @@ def test_requests_without_or_with_equal_ids(spark, items, encoder):
 def test_no_rows_asked_for_next_to_a_filter(spark, items, encoder):
     rows = small_table(spark, "query_id long, query string, top_k int", [(0, "0 + under 60", 0), (1, "zzz + under 60", 0)])
     assert Recommender(items, encoder).recommend(rows).count() == 0
+
+
+@pytest.mark.parametrize(
+    "pattern, text",
+    [("Cold (Brand#12)", "cold brand#12"), ("(old|new) g.ar", None), ("a+bcd", "bcd"), ("x{0,3}Hello", "hello"), ("[", None),
+     ("(unclosed", "(unclosed"), ("abc?d", None), ("(?i)ABC", "abc"), ("ñandú cafe", " cafe"), ("", None)],
+)
+def test_text_that_a_pattern_needs(pattern, text):
+    assert resolve.longest_required(pattern) == text
+
+
+def test_patterns_are_joined_on_the_text_they_need(spark):
+    titles = ["Cold (Brand#12)", "cold brand#12", "ſun King", "plain", None]
+    items = small_table(spark, "item_id long, title string", list(enumerate(titles)))
+    asked = ["Cold (Brand#12)", "sun (king)", "(plain)", "[a-z]lain", "(unclosed", "(no such)"]
+    wanted = small_table(spark, "identifier string", [(a,) for a in asked])
+    got = {r.identifier: r.item_id for r in resolve.first_title_match(items, wanted).collect()}
+    assert got == {"Cold (Brand#12)": 1, "sun (king)": 2, "(plain)": 3, "[a-z]lain": 3}
+
+
+def test_bounds_that_all_queries_share_reach_the_items(spark, items):
+    kinds = "query_id long, vector array<double>, fetch int, filters struct<price_min:double,price_max:double,variety:string,country:string,min_points:int>"
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], 3, {"price_max": 30.0}), (1, [1.0, 0.0, 0.0, 0.0], 3, {"price_max": 60.0, "min_points": 90})]
+    queries = spark.createDataFrame(rows, kinds)
+    found = nearest(items, queries)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"price#\d+ <= 60\.0", plan) and not re.search(r"points#\d+ >=", plan)
+    assert {(r.query_id, r.item_id) for r in found.collect()} == {(0, 1), (1, 2)}
