@@ -25,53 +25,72 @@ from shelfwise.llm.repeats import Windows, merged, repeated_spans, with_spans
 
 LENGTH = 400
 BYTES = Windows(length=LENGTH, gram=32, words=False, most=2000)
-SHARD_BYTES = 1 << 20  # pieces that are sorted together; the pieces of an anchor always are
+SHARD_BYTES = 1 << 18  # pieces that are sorted together; the pieces of an anchor always are
 
 
-def _ranked(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    step = np.zeros(len(keys), np.int64)
-    step[1:] = keys[order][1:] != keys[order][:-1]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(step)
-    return out
+PACKED = 4  # elements of nine bits in the first rank
+MOST_ELEMENTS = (1 << 21) - 1  # rank, rank and place share a 64-bit number, which sorts faster than places
 
 
-PACKED = 7  # elements of nine bits in the first rank
+def _group_starts(keys: np.ndarray) -> np.ndarray:
+    """For sorted keys, where the run of equals that each is in starts."""
+    at = np.arange(len(keys))
+    at[1:][keys[1:] == keys[:-1]] = 0
+    return np.maximum.accumulate(at)
 
 
-def enhanced_suffix_array(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def enhanced_suffix_array(codes: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and the common prefix of each with the one before it, exact up to ``most`` elements.
 
-    Ranks by the first 7 elements (0 to 256) are doubled until they tell
-    ``most``; the ranks of every length give the common prefixes.
+    Ranks by the first 4 elements (0 to 256) are doubled until they tell
+    ``most``; the ranks of every length give the common prefixes. A suffix that
+    is alone before ``least`` elements are told shares fewer and is left out.
     """
     n = len(codes)
-    padded = np.concatenate((codes.astype(np.int64), np.zeros(PACKED, np.int64)))
-    keys = np.zeros(n, np.int64)
+    assert n <= MOST_ELEMENTS, n
+    bits = np.uint64(n.bit_length())
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    padded = np.concatenate((codes.astype(np.uint64), np.zeros(PACKED, np.uint64)))
+    keys = np.zeros(n, np.uint64)
     for i in range(PACKED):
-        keys = (keys << 9) | padded[i : i + n]
-    ranks, size = [_ranked(keys)], PACKED
-    while size < most:
-        last = ranks[-1]
-        after = np.zeros(n, np.int64)
-        after[: max(n - size, 0)] = last[size:] + 1
-        ranks.append(_ranked(last * np.int64(n + 2) + after))
+        keys = (keys << np.uint64(9)) | padded[i : i + n]
+    packed = np.sort((keys << bits) | np.arange(n, dtype=np.uint64))
+    order = (packed & mask).astype(np.int64)
+    group = _group_starts(packed >> bits)
+    rank = np.empty(n, np.int64)
+    rank[order] = group
+    ranks, size = [rank.astype(np.int32)], PACKED
+    while True:
+        if size <= least and len(group):
+            alone = np.ones(len(group), bool)
+            alone[1:] &= group[1:] != group[:-1]
+            alone[:-1] &= group[1:] != group[:-1]
+            order, group = order[~alone], group[~alone]
+        if size >= most:
+            break
+        after = order + size
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        packed = np.sort((group.astype(np.uint64) << (bits + bits)) | (second.astype(np.uint64) << bits) | order.astype(np.uint64))
+        order, both = (packed & mask).astype(np.int64), packed >> bits
+        old = both >> bits
+        group = old.astype(np.int64) + _group_starts(both) - _group_starts(old)
+        rank[order] = group
+        ranks.append(rank.astype(np.int32))
         size *= 2
-    order = np.argsort(ranks[-1], kind="stable")
+    if not len(order):
+        return order, order
     a, b = order[1:], order[:-1]
-    common = np.zeros(n - 1, np.int64)
-    for k, rank in reversed(list(enumerate(ranks))):
+    common = np.zeros(len(a), np.int64)
+    for k, level in reversed(list(enumerate(ranks))):
         x, y = a + common, b + common
-        inside = (x < n) & (y < n)
-        same = np.zeros(n - 1, bool)
-        same[inside] = rank[x[inside]] == rank[y[inside]]
-        common[same] += PACKED << k
-    going = np.ones(n - 1, bool)
+        inside = np.flatnonzero((x < n) & (y < n))
+        common[inside[level[x[inside]] == level[y[inside]]]] += PACKED << k
+    going = np.arange(len(a))
     for _ in range(PACKED - 1):
-        x, y = a + common, b + common
-        going &= (x < n) & (y < n)
-        going[going] = codes[x[going]] == codes[y[going]]
+        x, y = a[going] + common[going], b[going] + common[going]
+        inside = (x < n) & (y < n)
+        going, x, y = going[inside], x[inside], y[inside]
+        going = going[codes[x] == codes[y]]
         common[going] += 1
     return order, np.concatenate(([0], common))
 
@@ -112,7 +131,7 @@ def repeats_in(pieces: list[bytes], least: int) -> Iterator[tuple[int, list[tupl
     codes[starts[1:] - 1] = 0  # ends of pieces, unlike any byte
     owner = np.repeat(np.arange(len(pieces)), np.diff(starts))
     stop = starts[1:][owner] - 1
-    order, common = enhanced_suffix_array(codes, 2 * least)
+    order, common = enhanced_suffix_array(codes, least, max(map(len, pieces)) + 1)
     room = (stop - np.arange(len(data)))[order]
     common = np.minimum(common, np.minimum(room, np.concatenate(([0], room[:-1]))))
     left = np.where(order == starts[owner[order]], -1 - order, data[order - 1].astype(np.int64))

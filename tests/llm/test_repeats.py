@@ -137,9 +137,9 @@ def test_automaton_matches():
 
 def test_suffix_array_and_maximal_repeats():
     rnd = random.Random(5)
-    for _ in range(30):
-        pieces = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randrange(1, 40))) for _ in range(4)]
-        least = 3
+    for _ in range(150):
+        pieces = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randrange(1, 40))) for _ in range(rnd.randrange(2, 6))]
+        least = rnd.choice([2, 3, 5, 9])
         places = defaultdict(list)
         for p, text in enumerate(pieces):
             for i in range(len(text)):
@@ -153,5 +153,5 @@ def test_suffix_array_and_maximal_repeats():
                 want.add((len(s), tuple(sorted(found))))
         got = {(n, tuple(sorted(at))) for n, at in suffixes.repeats_in(pieces, least)}
         assert got == want
-    order, common = suffixes.enhanced_suffix_array(np.zeros(5, np.int64) + 1, 8)
+    order, common = suffixes.enhanced_suffix_array(np.zeros(5, np.int64) + 1, 0, 8)
     assert order.tolist() == [4, 3, 2, 1, 0] and common.tolist() == [0, 1, 2, 3, 4]
