@@ -184,6 +184,7 @@ def repeated_spans(docs: DataFrame, spec: Windows, compare, name: str, keep_firs
     if not spec.words:  # a row per some hundred bytes: cheaper to keep than to compute again
         occurring = stored(occurring, f"{name}-pieces")
     often = occurring.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    often = stored(often, f"{name}-often")  # apart from the join, whose hot anchors can then be split
     shared = stored(occurring.join(often, "anchor", "left_semi"), f"{name}-shared")
 
     first = F.min(F.struct("doc_id", "key", "at", "more")).alias("first")
