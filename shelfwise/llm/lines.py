@@ -126,6 +126,7 @@ def _candidates(lines: DataFrame) -> DataFrame:
         halves.select("half", "h1").groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
         .where("a <> b").select("half")
     )
+    shared = stored(shared, "lines-halves")
     return halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
 
 
@@ -166,9 +167,9 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .select("w.h1", "w.h2", "w.first", F.get("lines", F.col("w.first.pos")).alias("line")), "lines-candidates",
     )
     near = _near(candidates).withColumn("near", F.lit(True))
-    judged = (
+    judged = stored(  # apart from the next join, which can then split a line that is everywhere
         distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near")
-        .select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        .select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "lines-judged",
     )
     place = F.struct("doc_id", "key", "pos")
     gone = lines.select("h1", "h2", "key", "doc_id", "pos").join(judged, ["h1", "h2"]).where(
