@@ -3,8 +3,8 @@
 A line is removed when an earlier line, anywhere, lies within ``EDIT_BOUND`` = 1
 edits (a character inserted, deleted or replaced). Earlier means a smaller
 doc_id, or the same document and a smaller line number; lines are judged on the
-input, so a removed line still removes later ones. Lines of under ``MIN_CHARS``
-characters are left alone, for headings, marks and single words repeat rightly.
+input, so a removed line still removes later ones. Short lines are judged like
+long ones; only blank lines, of no characters or of spaces alone, are left alone.
 
 1. Equal lines are combined before they are shuffled, each to its first place.
 2. Two lines within one edit share the part before or the part after a cut near
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import row_key, stored
 
-MIN_CHARS = 16
+MIN_CHARS = 1  # no line that is not blank is left out
+BLANKS = " \t\r\f\v"
 EDIT_BOUND = 1
 
 
@@ -34,14 +35,14 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``key, doc_id, pos, line`` and two hashes that stand for the line."""
     return (
         docs.select(row_key().alias("key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .where(F.length("line") >= min_chars)
+        .where((F.length("line") >= min_chars) & (F.trim("line", F.lit(BLANKS)) != ""))
         .select("key", "doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
     )
 
 
 def _cut(length: Column) -> Column:
-    """Where a line is cut; lines of almost the same length are cut alike but at multiples of 16."""
-    return F.shiftleft(F.shiftright(length, 4), 3)
+    """Where a line is cut; lines of almost the same length are cut alike but at multiples of 16, and short ones."""
+    return F.when(length < 16, F.shiftright(length, 1)).otherwise(F.shiftleft(F.shiftright(length, 4), 3))
 
 
 def _halves(line: Column) -> Column:

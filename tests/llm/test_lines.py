@@ -77,3 +77,18 @@ def test_variant_hashes(spark):
     }
     for t, i, s in shorter:
         assert got[t][i] == whole[s]
+
+
+def test_short_lines_are_judged(spark):
+    rows = [
+        (1, "Les.\nx\n\n  \nAnd ornd."), (2, "Les.\nWh the.\n\n  \nWh the"), (3, "And ornd.\ny\nLes\n\t\nSomething longer than all"),
+    ]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(small_table(spark, "doc_id long, text string", rows)).collect()}
+    assert got == {1: "Les.\nx\n\n  \nAnd ornd.", 2: "Wh the.\n\n  ", 3: "\t\nSomething longer than all"}
+
+
+def test_short_lines_match_brute_force(spark):
+    rnd = random.Random(8)
+    made = ["".join(rnd.choice("abñ€") for _ in range(rnd.randint(1, 18))) for _ in range(160)]
+    rows = [(i, "\n".join(made[i * 4 : i * 4 + 4])) for i in range(40)]
+    assert rows_of(lines.line_report(small_table(spark, "doc_id long, text string", rows))) == brute(rows, 1)
