@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by SimHash."""
-    return keep_first(docs)
+    """One document, that of the smallest id, of each group linked by SimHash; groups that share an id all keep theirs."""
+    return keep_first(docs, one_per_id=False)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

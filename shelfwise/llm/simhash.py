@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import small_batches, stored
+from shelfwise.llm.common import row_key, small_batches, stored
 from shelfwise.llm.graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -60,7 +60,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row: ``doc_id`` and its fingerprint ``fp`` as a signed number."""
+    """Per row: ``doc_id``, the row key, a hash of the text, and its fingerprint ``fp`` as a signed number."""
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -69,7 +69,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pd.Series(found.view(np.int64))
 
     of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.select("doc_id", F.pandas_udf(of, "long")("text").alias("fp"))
+    return docs.select(
+        "doc_id", row_key().alias("key"), F.xxhash64("text").alias("hash"), F.pandas_udf(of, "long")("text").alias("fp")
+    )
 
 
 def filed(fps: DataFrame) -> DataFrame:
@@ -231,8 +233,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return files.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per row: ``doc_id``, ``fingerprint`` in hexadecimal and ``component_id``."""
+def grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and per fingerprint its least doc_id and the root of its component."""
     rows = stored(fingerprints(docs, shingle), "simhash")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     edges = stored(links(nodes.select("fp"), radius), "simhash-links")
@@ -240,30 +242,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
+    return rows, labelled
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Per row: ``doc_id``, ``fingerprint`` in hexadecimal and ``component_id``."""
+    rows, labelled = grouped(docs, shingle, radius)
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id.
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, one_per_id: bool = True) -> DataFrame:
+    """``docs`` with one row of each component: the least by doc_id, nulls last, then by a hash of the text.
 
-    A component whose ids are all null keeps its rows of null id by distinct text; rows
-    that repeat an id keep the text with the least hash.
+    Components are told apart by their fingerprints, so rows without an id lose nothing to each other. Where components
+    have first rows of the same id, all of these stay with ``one_per_id=False``, else the one with the least hash.
     """
-    names = docs.columns
-    found = near_duplicates(docs, shingle, radius)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = found.where(first).select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    row = docs.select(
-        F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("hash")
-    )
-    once = row.select("id", "hash").groupBy("id").agg(F.min("hash").alias("hash"), F.count(F.lit(1)).alias("n"))
-    chosen = once.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))).select(
-        F.col("id").alias("kept_id"), F.col("hash").alias("kept_hash"), "n"
-    )
-    joined = row.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & F.col("hash").eqNullSafe(F.col("kept_hash")))
+    rows, labelled = grouped(docs, shingle, radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "key", "n")).alias("first")
+    of_print = rows.groupBy("fp", "doc_id", "hash", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(first)
+    chosen = labelled.join(of_print, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    if one_per_id:
+        apart = F.when(F.col("doc_id").isNull(), F.col("key")).alias("apart")
+        chosen = chosen.groupBy("doc_id", apart).agg(F.min(F.struct("hash", "key", "n")).alias("first")).select("first.*")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key().alias("key"))
+    joined = row.join(chosen.select("key", "n"), "key")
     single = joined.where("n = 1").select("row.*")
-    repeated = joined.where("n > 1").select("row.*").dropDuplicates(["doc_id"])
+    repeated = joined.where("n > 1").dropDuplicates(["key"]).select("row.*")
     return single.unionByName(repeated)

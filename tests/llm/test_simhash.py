@@ -6,6 +6,7 @@ from cases import no_docs, odd_docs, odd_rows, rows_of
 
 from shelfwise.llm import simhash
 from shelfwise.llm.graph import components
+from shelfwise.session import small_table
 
 
 def plain_fingerprint(text):
@@ -126,3 +127,31 @@ def test_large_files_are_filed_again():
         near = np.bitwise_count(values[:-step] ^ values[step:]) <= 3
         want |= {(int(i), int(i) + step) for i in np.flatnonzero(near)}
     assert pairs == want and len(want) > 1000
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    a, b, c, d = ("alpha beta gamma delta " * 5, "one two three four five " * 5, "rot blau gelb braun weiss " * 5, "uno dos tres " * 5)
+    prints = [plain_fingerprint(t) for t in (a, b, c, d)]
+    assert all((x ^ y).bit_count() > 3 for i, x in enumerate(prints) for y in prints[:i])
+    rows = [(None, a), (None, b), (None, a), (1, c), (None, c), (3, d), (5, d), (5, b + "x"), (5, a + a)]
+    docs = small_table(spark, "doc_id long, text string", rows)
+    roots = plain_components(list(enumerate(plain_fingerprint(t) for _, t in rows)))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(roots[plain_fingerprint(t)], set()).add((i, t))
+    kept = [tuple(r) for r in simhash.keep_first(docs, one_per_id=False).collect()]
+    assert len(kept) == len(set(kept)) == len(groups)
+    for group in groups.values():
+        least = min((i for i, _ in group if i is not None), default=None)
+        assert len(group & set(kept)) == 1 and next(iter(group & set(kept)))[0] == least
+
+
+def test_an_id_in_two_groups_keeps_the_row_of_its_own_group(spark):
+    d = "uno dos tres " * 5
+    others = [f"text{i} " + " ".join(f"{w}{i}" for w in ("other", "words", "here", "and", "more")) * 3 for i in range(8)]
+    prints = [plain_fingerprint(t) for t in (d, *others)]
+    assert all((x ^ y).bit_count() > 3 for i, x in enumerate(prints) for y in prints[:i])
+    rows = [(3, d)] + [row for i, t in enumerate(others, 10) for row in ((i, t), (i, d))]  # either text may have the lesser hash
+    docs = small_table(spark, "doc_id long, text string", rows)
+    kept = sorted(tuple(r) for r in simhash.keep_first(docs).collect())
+    assert kept == [(3, d)] + list(enumerate(others, 10))
