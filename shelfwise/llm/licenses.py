@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of 64 words of a longer line, each overlapping the
-next by half. It meets a template when it holds at least ``THRESHOLD`` of the
-template's distinct words.
+A block is a window of 64 words, each overlapping the next by half, of the whole
+text whatever its line breaks (``whole_texts``), or of a single line. It meets a
+template when it holds at least ``THRESHOLD`` of the template's distinct words.
+Every template of up to 33 words lies whole in some window.
 
 Words of the templates are ordered by their frequency in all texts, rarest
 first. With n words in a template and ``need`` of them wanted, a block that meets
@@ -75,8 +76,13 @@ def mentions(low: Column, words) -> Column:
     return found
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every block that meets a template: ``key, line, block, template, label, containment``."""
+def template_matches(
+    docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, whole_texts: bool = False
+) -> DataFrame:
+    """Every block that meets a template: ``key, line, block, template, label, containment``.
+
+    Blocks are cut from whole texts, as line 0, or line by line.
+    """
     spark = docs.sparkSession
     sets = [sorted(set(text.split())) for _, text in templates]
     ranks = word_ranks(docs, sorted({w for s in sets for w in s}))
@@ -95,18 +101,21 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
 
     low = lowered(F.col("text"))
     rare = sorted({by_rank[row[0]] for row in index})
-    lines = (
-        docs.where(mentions(F.lower("text"), rare)).select(row_key().alias("key"), low.alias("low"))
-        .select("key", F.posexplode(F.split("low", "\n")).alias("line", "low")).where(mentions(F.col("low"), rare))
-        .select("key", "line", words_of(F.col("low")).alias("words"))
-    )
+    texts = docs.where(mentions(F.lower("text"), rare)).select(row_key().alias("key"), low.alias("low"))
+    if whole_texts:
+        lines = texts.select("key", F.lit(0).alias("line"), "low")
+    else:
+        lines = texts.select("key", F.posexplode(F.split("low", "\n")).alias("line", "low")).where(mentions(F.col("low"), rare))
+
+    def rank_of(w):  # the set is hashed, the map is not
+        return F.when(w.isin(list(ranks)), F.element_at(F.lit(ranked), w))
+
+    lines = lines.select("key", "line", F.transform(words_of(F.col("low")), rank_of).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - STRIDE - 1, F.lit(0)), F.lit(STRIDE))
     blocks = (
         lines.select("key", "line", "words", F.explode(starts).alias("start"))
         .select("key", "line", (F.col("start") / STRIDE).cast("int").alias("block"), F.slice("words", F.col("start") + 1, BLOCK).alias("words"))
-        .select("key", "line", "block", F.array_sort(F.array_distinct(F.filter(
-            F.transform("words", lambda w: F.element_at(F.lit(ranked), w)), lambda r: r.isNotNull()
-        ))).alias("held"))
+        .select("key", "line", "block", F.array_sort(F.array_distinct(F.array_compact("words"))).alias("held"))
         .where(F.size("held") >= least)
     )
     probes = blocks.select(
@@ -161,9 +170,11 @@ def phrases_found(docs: DataFrame, phrases=PHRASES) -> DataFrame:
     )
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, whole_texts: bool = False
+) -> DataFrame:
     """Per row: its phrases, the labels of phrases and templates, and the best containment as score."""
-    matches = template_matches(docs, templates, threshold).groupBy("key").agg(
+    matches = template_matches(docs, templates, threshold, whole_texts).groupBy("key").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )
 

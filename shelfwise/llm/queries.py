@@ -59,7 +59,7 @@ def op1_line_dedup(spark, sf_dir):
 
 @query("op3_license_scan")
 def op3_license_scan(spark, sf_dir):
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), whole_texts=True)
 
 
 @query("op5_quality_rules")

@@ -59,3 +59,21 @@ def test_odd_cases(spark):
     want = sorted((brute(r.doc_id, r.text) for r in docs.collect()), key=repr)
     assert rows_of(licenses.scan_licenses(docs)) == want
     assert licenses.scan_licenses(no_docs(spark)).count() == 0
+
+
+def whole_brute(doc_id, text):
+    every, _ = words(text)
+    return brute(doc_id, text)[:-2] + brute(doc_id, " ".join(every))[-2:]
+
+
+def test_wrapped_headers(spark):
+    wrapped = TEXTS + [
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "you can redistribute it and/or modify\nit under the terms of the GNU General Public License",
+        "\n".join(("filler words go here and there " * 30 + licenses.TEMPLATES[8][1] + " and more of the same" * 9).split()),
+    ]
+    rows = [(i, t) for i, t in enumerate(wrapped)]
+    got = rows_of(licenses.scan_licenses(small_table(spark, "doc_id long, text string", rows), whole_texts=True))
+    assert got == sorted((whole_brute(*r) for r in rows), key=repr)
+    found = {r[0]: r[-2:] for r in got}
+    assert [found[len(TEXTS) + k] for k in range(3)] == [("bsd", 1.0), ("gpl", 1.0), ("mit", 1.0)]
