@@ -1,6 +1,9 @@
 """The registered queries of the operators, each over its whole table, with check SQL where SQL has one."""
 
 import corpus_pipeline
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from shelfwise.llm.common import table
 from shelfwise.llm.decontaminate import contaminated
 from shelfwise.llm.langid import identify_language
@@ -8,6 +11,7 @@ from shelfwise.llm.licenses import scan_licenses
 from shelfwise.llm.lines import line_report
 from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.quality import judge_quality
+from shelfwise.llm.sentencepieces import encode_texts
 from shelfwise.llm.simhash import near_duplicates
 from shelfwise.llm.substrings import dedup_substrings
 from shelfwise.llm.suffixes import dedup_suffixes
@@ -100,6 +104,16 @@ def op7_suffix_dedup(spark, sf_dir):
     return dedup_suffixes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, sf_dir, model_path=None):
+    coded = encode_texts(table(spark, sf_dir, "documents"), model_path or public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
