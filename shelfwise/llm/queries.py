@@ -13,6 +13,7 @@ from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.quality import judge_quality
 from shelfwise.llm.sentencepieces import encode_texts
 from shelfwise.llm.simhash import near_duplicates
+from shelfwise.llm.spelling import group_spellings
 from shelfwise.llm.substrings import dedup_substrings
 from shelfwise.llm.suffixes import dedup_suffixes
 from shelfwise.llm.warc import warc_round_trip
@@ -114,6 +115,11 @@ def op11_sentencepiece(spark, sf_dir, model_path=None):
     )
 
 
+@query("op13_spelling")
+def op13_spelling(spark, sf_dir):
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
