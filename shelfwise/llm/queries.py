@@ -16,6 +16,7 @@ from shelfwise.llm.simhash import near_duplicates
 from shelfwise.llm.spelling import group_spellings
 from shelfwise.llm.substrings import dedup_substrings
 from shelfwise.llm.suffixes import dedup_suffixes
+from shelfwise.llm.trie import prefix_trie, rebuilt
 from shelfwise.llm.warc import warc_round_trip
 
 QUERIES = {}
@@ -115,6 +116,41 @@ def op11_sentencepiece(spark, sf_dir, model_path=None):
     )
 
 
+@query("op12_prefix_trie", """
+WITH RECURSIVE c AS (SELECT conv_id, conv_id - conv_id % 5 AS donor, CAST(conv_id AS VARCHAR) AS t FROM conversations
+  WHERE conv_id IS NOT NULL GROUP BY ALL),
+byte AS (SELECT range AS b FROM range(256)),
+crc_table AS (SELECT list(list_reduce(list_concat([b], range(8)), (x, i) -> xor(x >> 1, (x & 1) * 3988292384)) ORDER BY b) AS k FROM byte),
+h AS (SELECT conv_id, donor, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(t) + 1), i -> CAST(ascii(t[i]) AS BIGINT))),
+    (x, y) -> xor(x >> 8, k[xor(x & 255, y) + 1])), 4294967295) % 9 AS h FROM c, crc_table),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT h.conv_id, o.pos, o.role, o.text FROM h JOIN o ON o.conv_id = h.donor AND o.pos <= h.h
+  UNION ALL SELECT h.conv_id, 1000000000 + o.pos, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id AND o.pos > h.h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, role, text FROM r),
+path AS (SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS path, '' AS parent, CAST(0 AS BIGINT) AS bytes FROM c
+  UNION ALL
+  SELECT p.conv_id, s.depth, md5(p.path || length(s.role) || ':' || s.role || s.text), p.path, octet_length(encode(s.text))
+  FROM path p JOIN s ON s.conv_id = p.conv_id AND s.depth = p.depth + 1),
+n AS (SELECT depth, path, any_value(parent) AS parent, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs
+  FROM path GROUP BY 1, 2),
+e AS (SELECT p.depth, p.path, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids
+  FROM path p JOIN (SELECT conv_id, max(depth) AS depth FROM path GROUP BY 1) USING (conv_id, depth) GROUP BY 1, 2),
+kids AS (SELECT depth - 1 AS depth, parent AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (depth, path)),
+under AS (SELECT depth, path, depth AS top_depth, path AS top FROM m
+  UNION ALL SELECT m.depth, m.path, u.top_depth, u.top FROM under u JOIN m ON m.depth = u.depth + 1 AND m.parent = u.path),
+t AS (SELECT top_depth AS depth, top AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+  FROM under JOIN m USING (depth, path) GROUP BY 1, 2)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, t.n_leaves,
+  CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM m JOIN t USING (depth, path) LEFT JOIN e USING (depth, path) LEFT JOIN n u ON u.depth = m.depth - 1 AND u.path = m.parent
+""")
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
 @query("op13_spelling")
 def op13_spelling(spark, sf_dir):
     return group_spellings(table(spark, sf_dir, "documents"))
