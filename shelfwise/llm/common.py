@@ -1,5 +1,7 @@
 """Helpers that the operators share: stored tables, row keys, text batches."""
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +27,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Hand long texts to Python a few at a time; a batch is held in memory as a whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """What runs inside hands long texts to Python ``rows`` at a time; the session's own setting comes back after.
+
+    A frame takes the setting when it runs, so only what is written inside is
+    meant. Elsewhere a batch is bounded by its bytes, 64 MB unless the session says otherwise.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -21,7 +21,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import small_batches
 
 SAMPLE_ROWS, EXCERPT, DICTIONARY, CHUNK, LEVEL = 200, 2000, 32 << 10, 4096, 6
 LEAST_MARGIN = 0.004
@@ -87,7 +86,6 @@ def identifier(dictionaries: dict[str, bytes], level: int = LEVEL):
 
 
 def trained(docs: DataFrame):
-    small_batches(docs.sparkSession)
     return identifier(learn(docs.where(remainder() != 1)))
 
 

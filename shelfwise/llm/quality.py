@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import (
-    IS_SPACE, WORD_BASE, WORD_INVERSE, Sums, byte_sums, groups_by_bytes, mixed, small_batches, word_bounds,
+    IS_SPACE, WORD_BASE, WORD_INVERSE, Sums, byte_sums, groups_by_bytes, mixed, word_bounds,
 )
 
 WINDOW = 8
@@ -114,7 +114,6 @@ def counts(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id`` and the counts of its text."""
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS]])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,7 +87,6 @@ def one_each(docs: DataFrame) -> DataFrame:
 
 
 def all_pieces(one: DataFrame, spec: Windows) -> DataFrame:
-    small_batches(one.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +130,6 @@ def fetched(one: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def piece_texts(texts: DataFrame, spec: Windows) -> DataFrame:
     """Every wanted piece with its bytes: words joined by single spaces, or bytes as they are."""
-    small_batches(texts.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +151,6 @@ def piece_texts(texts: DataFrame, spec: Windows) -> DataFrame:
 
 def window_hashes(texts: DataFrame, spec: Windows) -> DataFrame:
     """Every window of the wanted pieces as a hash: ``anchor, window, doc_id, key, at, n``."""
-    small_batches(texts.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +176,11 @@ def repeated_spans(docs: DataFrame, spec: Windows, compare, name: str, keep_firs
     iterator of batches of different pieces, sorted by anchor and then by place,
     into batches of ``key, start, end``.
     """
+    with small_batches(docs.sparkSession):
+        return _repeated_spans(docs, spec, compare, name, keep_first)
+
+
+def _repeated_spans(docs: DataFrame, spec: Windows, compare, name: str, keep_first: bool) -> DataFrame:
     one = one_each(docs)
     occurring = all_pieces(one, spec)
     if not spec.words:  # a row per some hundred bytes: cheaper to keep than to compute again
@@ -197,10 +199,9 @@ def repeated_spans(docs: DataFrame, spec: Windows, compare, name: str, keep_firs
     wanted = stored(wanted, f"{name}-wanted")
 
     cold = piece_texts(fetched(one, wanted.where("NOT hot").drop("hot")), spec)
-    small_batches(docs.sparkSession, 4096)
     sorted_pieces = cold.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "at")
-    found = [stored(sorted_pieces.mapInArrow(compare, "key bigint, start bigint, end bigint"), f"{name}-compared")]
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession, 4096):
+        found = [stored(sorted_pieces.mapInArrow(compare, "key bigint, start bigint, end bigint"), f"{name}-compared")]
     if not wanted.where("hot").isEmpty():
         windows = stored(window_hashes(fetched(one, wanted.where("hot").drop("hot")), spec), f"{name}-windows")
         place = F.struct("doc_id", "key", "at")

@@ -61,7 +61,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row: ``doc_id``, the row key, a hash of the text, and its fingerprint ``fp`` as a signed number."""
-    small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -229,15 +228,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield found(file, held, chosen)
 
     files = filed(fps).repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
     return files.mapInArrow(compare, "a long, b long")
 
 
 def grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their fingerprints, and per fingerprint its least doc_id and the root of its component."""
-    rows = stored(fingerprints(docs, shingle), "simhash")
+    with small_batches(docs.sparkSession):
+        rows = stored(fingerprints(docs, shingle), "simhash")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    edges = stored(links(nodes.select("fp"), radius), "simhash-links")
+    with small_batches(docs.sparkSession, 16384):
+        edges = stored(links(nodes.select("fp"), radius), "simhash-links")
     roots = components(edges)
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")

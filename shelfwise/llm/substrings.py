@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfwise.llm.common import small_batches
 from shelfwise.llm.repeats import Windows, merged, repeated_spans, with_spans
 
 WINDOW = 20
@@ -111,7 +110,6 @@ def repeated_words(docs: DataFrame, spec: Windows = WORDS) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, spec: Windows = WORDS) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed``, the words that stay joined by spaces and their SHA-256."""
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfwise.llm.common import small_batches
 from shelfwise.llm.repeats import Windows, merged, repeated_spans, with_spans
 
 LENGTH = 400
@@ -181,7 +180,6 @@ def repeated_bytes(docs: DataFrame, spec: Windows = BYTES) -> DataFrame:
 
 def dedup_suffixes(docs: DataFrame, spec: Windows = BYTES) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans``, the bytes that stay and their SHA-256."""
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

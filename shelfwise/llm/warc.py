@@ -8,6 +8,9 @@ Archives are plain ``.warc`` files whose payloads are gzip-encoded HTTP bodies,
 so a reader can jump from record to record. ``.warc.gz`` files of other origin
 are read as one stream each.
 
+The payload of a request or response is its decoded HTTP body, that of other kinds
+their block as it is; a revisit has none. Writing to an archive again adds records.
+
 Defined results: a null payload is an empty one; a null url or id leaves its
 header out and comes back as null; an empty table gives an archive without
 records; repeated rows are records of their own; control characters of a url
@@ -16,6 +19,7 @@ are percent-encoded in the header and stay so.
 
 import json
 import operator
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -45,7 +49,7 @@ SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"  # the tables hold no time of capture
-MANIFEST = "manifest.json"
+MANIFEST = "manifest"
 
 _FIELDS = {
     "WARC-Type": ("record_type", str), "WARC-Target-URI": ("target_uri", str),
@@ -115,7 +119,7 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """A file per task under a fresh name; only files that the job committed are in the manifest."""
+    """A file per task under a fresh name; only files that a job committed are in a manifest, one for each job."""
 
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split_bytes = path, split_bytes
@@ -138,7 +142,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = _file_system(self.path)
         fs.create_dir(root, recursive=True)
         files = [{"name": m.name, "starts": m.starts, "size": m.size} for m in messages if m is not None and m.size]
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(files).encode())
 
     def abort(self, messages):
@@ -176,14 +180,17 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = _file_system(self.path)
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                files = json.loads(f.read())
+        found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        manifests = sorted(x.path for x in found if re.search(rf"/{MANIFEST}-[0-9a-f]+[.]json$", x.path))
+        if manifests:
+            files = []
+            for path in manifests:
+                with fs.open_input_stream(path) as f:
+                    files += json.loads(f.read())
             return [
                 Stretch(f"{root}/{x['name']}", a, b)
                 for x in files for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]])
             ] or [Stretch("", 0, 0)]
-        found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
         return [
             Stretch(x.path, 0, x.size if x.path.endswith(".warc") else None)
             for x in found if x.path.endswith((".warc", ".warc.gz"))
@@ -220,12 +227,12 @@ class WarcReader(DataSourceReader):
                     return
                 head += more
             head, _, ahead = head.partition(b"\r\n\r\n")
-            row, length = self._header(head)
+            row, length, http = self._header(head)
             size = len(head) + 4 + length + 4  # a record ends with two line ends
             wanted = self._wanted(row)
-            if wanted and row["record_type"] == "response":
+            if wanted and row["record_type"] != "revisit":
                 block = ahead[:length] if len(ahead) >= length else ahead + source.read(length - len(ahead))
-                row["payload"] = decoded(block)
+                row["payload"] = decoded(block) if http else block
                 rest = length + 4 - max(len(ahead), length)
                 if len(ahead) >= length + 4:
                     ahead = ahead[length + 4 :]
@@ -247,7 +254,7 @@ class WarcReader(DataSourceReader):
 
     @staticmethod
     def _header(head: bytes):
-        row, length = dict.fromkeys(ARROW.names), 0
+        row, length, http = dict.fromkeys(ARROW.names), 0, False
         for line in head.decode("utf-8", "replace").split("\r\n"):
             name, _, value = line.partition(": ")
             if name in _FIELDS:
@@ -255,7 +262,9 @@ class WarcReader(DataSourceReader):
                 row[column] = kind(value)
             elif name == "Content-Length":
                 length = int(value)
-        return row, length
+            elif name == "Content-Type":
+                http = value.startswith("application/http")
+        return row, length, http
 
 
 class WarcSource(DataSource):
@@ -307,8 +316,8 @@ def register(spark: SparkSession) -> None:
 def write_archive(rows: DataFrame, path: str, split_bytes: int = SPLIT_BYTES) -> None:
     """Write records (the columns of ``SCHEMA``) as WARC files under ``path``."""
     register(rows.sparkSession)
-    small_batches(rows.sparkSession)
-    rows.write.format("warc").option("split_bytes", str(split_bytes)).mode("append").save(path)
+    with small_batches(rows.sparkSession):
+        rows.write.format("warc").option("split_bytes", str(split_bytes)).mode("append").save(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -70,11 +70,52 @@ def got(spark, rows, parts=7, **how):
     return rows_of(trie.prefix_trie(trie.rebuilt(df.repartition(parts)), **how))
 
 
-@pytest.mark.parametrize("shard", [1, 3, 40, 1 << 18])
-def test_odd_cases_in_shards_of_any_size(spark, shard):
-    for seed in range(2):
-        rows = odd_rows(seed)
-        assert got(spark, rows, shard_turns=shard) == plain(rows)
+def in_rounds(rows, shard):
+    """The shards and rounds of the operator without Spark, the rows of a round cut anywhere."""
+    rnd, convs = random.Random(shard), {}
+    for conv, _, role, text in rows:
+        convs.setdefault(conv, []).append(hashlib.md5(f"{role}:{text}".encode()).digest() + len((text or "").encode()).to_bytes(8, "big"))
+    paths = {}
+    for conv, codes in convs.items():
+        paths.setdefault(b"".join(codes), []).append(conv)
+    items = [
+        (path, len(path) // trie.WIDTH, {
+            "n": [len(ids)], "first": [min(ids)], "ends": [hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()],
+        }) for path, ids in sorted(paths.items())
+    ]
+    nodes, names, first, last = [], {}, True, False
+    while not last:
+        last = not first and len(items) <= 8
+        cuts = [0] if last else [0, *sorted(rnd.sample(range(1, len(items)), min(len(items) - 1, len(items) // 9))), ]
+        left = []
+        for a, b in zip(cuts, [*cuts[1:], len(items)]):
+            for batch in trie.shards(iter(items[a:b]), shard, last, not first):
+                for row in batch.to_pylist():
+                    node = row.pop("node")
+                    if node is None:
+                        left.append((row.pop("path"), 0, row))
+                    else:
+                        nodes.append(node)
+                        if node["key"]:
+                            names[node["key"]] = node["conv_id"]
+        items, first = sorted(left, key=lambda x: x[0]), False
+    for node in nodes:
+        if node["parent_key"]:
+            node["parent_conv_id"] = names[node["parent_key"]]
+    return sorted((tuple(node[c] for c in COLUMNS) for node in nodes), key=repr)
+
+
+@pytest.mark.parametrize("shard", [1, 7, 40, 400])
+def test_shards_of_any_size_merge(shard):
+    for seed in range(40):
+        rows = [(c, t, r or "", x or "") for c, t, r, x in odd_rows(seed, 5 + 3 * seed) if c is not None and t is not None]
+        rows = sorted({(c, t): (c, t, r, x) for c, t, r, x in rows}.values())
+        assert in_rounds(rows, shard) == plain(rows, every=1)
+
+
+def test_odd_cases(spark):
+    rows = odd_rows(0)
+    assert got(spark, rows) == plain(rows)
 
 
 def test_query_is_the_operator(spark):
@@ -83,13 +124,12 @@ def test_query_is_the_operator(spark):
     assert found.columns == COLUMNS
     want = plain([(r.conv_id, r.turn, r.role, r.text) for r in df.collect()])
     assert rows_of(found) == want
-    assert rows_of(trie.prefix_trie(trie.rebuilt(df), shard_turns=50)) == want
+    assert rows_of(trie.prefix_trie(trie.rebuilt(df), shard_turns=300)) == want
 
 
 def test_copies_long_conversations_and_none(spark):
-    rows = [(c, t, "user", f"t{t}") for c in range(0, 12_000, 2) for t in range(2)]  # a conversation that thousands copy
-    rows += [(20_000 + c, t, "user", f"t{t}" if t < 900 - c else f"{c}") for c in range(5) for t in range(1000)]
-    assert got(spark, rows) == plain(rows)
+    rows = [(c, t, "user", f"t{t}") for c in range(0, 10_000, 2) for t in range(2)]  # a conversation that thousands copy
+    rows += [(20_000 + c, t, "user", f"t{t}" if t < 140 - c else f"{c}") for c in range(5) for t in range(150)]
     assert got(spark, rows, shard_turns=200) == plain(rows)
     assert got(spark, []) == []
 

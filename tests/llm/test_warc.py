@@ -78,3 +78,29 @@ def test_compressed_archives_of_other_origin(spark, tmp_path):
     assert rows_of(got) == sorted([(i, 9000 * i) for i in range(4)] * 2, key=repr)
     one = warc.read_archive(spark, str(tmp_path)).where("page_id = 3").selectExpr("length(payload) n")
     assert rows_of(one) == [(27000,), (27000,)]
+
+
+def test_later_writes_add_records(spark, pages):
+    path = new_path(spark, "warc-twice")
+    warc.write_archive(warc.records(pages.where("page_id = 6")), path)
+    warc.write_archive(warc.records(pages.where("page_id = 11")), path)
+    assert sorted(r.page_id for r in warc.read_archive(spark, path).collect()) == [6, 11]
+
+
+def test_records_of_every_kind(spark, tmp_path):
+    def record(kind, block, content):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nContent-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    get = b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"
+    held = [
+        record("warcinfo", b"software: x", "application/warc-fields"), record("request", get, "application/http;msgtype=request"),
+        record("resource", b"\x00raw", "image/png"), record("conversion", "t\u00e9xt".encode(), "text/plain"),
+        record("metadata", b"", "application/warc-fields"), record("response", b"HTTP/1.1 200 OK\r\n\r\nbody", "application/http"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(held))
+    got = {r.record_type: bytes(r.payload) for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert got == {
+        "warcinfo": b"software: x", "request": b"", "resource": b"\x00raw", "conversion": "t\u00e9xt".encode(), "metadata": b"",
+        "response": b"body",
+    }
