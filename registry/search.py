@@ -8,6 +8,7 @@ from registry import sqltext as q
 from registry.bindings import CAT_SQL, cat, table, vectors
 from shelfwise.functions import vectors as vec
 from shelfwise.operators.encode import HashEncoder, ModelEncoder
+from shelfwise.operators.filters import with_ids
 from shelfwise.operators.knn import nearest
 from shelfwise.operators.resolve import anchor_table
 from shelfwise.plans.recommend import with_vectors
@@ -329,7 +330,8 @@ def _(spark, sf):
 def _(spark, sf):
     found = nearest(doc_items(spark, sf), searches(spark, sf).withColumn("fetch", F.lit(5)))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "lang", "source", "n_chars")
-    return docs.join(found.select("query_id", "position", "item_id"), "item_id")
+    asked = table(spark, sf, "benchmark").count()
+    return with_ids(docs, found.select("query_id", "position", "item_id"), 5 * asked)
 
 
 # Per label, the vectors nearest to its mean.

@@ -3,8 +3,8 @@
 Items are never shuffled and pairs are never written out: each task scores its
 own Arrow batches against the query batch with one matrix product and keeps the
 best rows per query, so a task sends at most ``fetch`` rows per query to the
-final ranking. A query batch beyond the bound of one pass is split into several
-passes over the items.
+final ranking. A query batch beyond the bound of one pass meets the items block
+by block, through one shuffle.
 """
 
 import math
@@ -29,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PASS_QUERIES = 4096  # queries scored in one pass over the items
 PASS_ROWS = 1 << 21  # rows kept per task and pass: queries x fetch
+BLOCK_BYTES = 64 << 20  # vectors of the items that a task holds, where queries are too many for one pass
+CHUNK_QUERIES = 1024  # queries that meet a block of items at once
 BLOCK_CELLS = 1 << 22  # scores held at once in a task
 SCORE_DIGITS = 12  # equal vectors must tie whatever block they fall in
 
@@ -80,18 +82,9 @@ def score_partitions(
         size = (found[0], found[1] or 0)
         items = within_bounds(items, found)
     n, fetch = size
-    per_pass = max(1, min(pass_queries, PASS_ROWS // max(fetch, 1)))
-    passes = math.ceil(n / per_pass)
-    if passes <= 1:
+    if n <= min(pass_queries, PASS_ROWS // max(fetch, 1)):
         return _one_pass(items, queries, carry, cosine)
-    passes = math.ceil(1.5 * passes)  # hashed ids spread unevenly
-    queries = checkpointed(queries)
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    out = None
-    for i in range(passes):
-        part = _one_pass(items, queries.where(slot == i), carry, cosine)
-        out = part if out is None else out.unionAll(part)
-    return out
+    return _block_join(items, queries, fetch, carry, cosine)
 
 
 # Which item column a filter bounds, the loosest of several bounds, and the test.
@@ -141,21 +134,19 @@ def _complete_queries(queries: DataFrame, carry) -> DataFrame:
     ).where("vector is not null and fetch > 0")
 
 
-def _one_pass(items: DataFrame, queries: DataFrame, carry, cosine: bool) -> DataFrame:
+def _item_columns(items: DataFrame) -> list[Column]:
     def optional(name: str, kind: str):
         if name not in items.columns:
             return F.lit(None).cast(kind).alias(name)
         value = F.col(name)
         return (strip_lower(value) if kind == "string" else value.cast(kind)).alias(name)
 
-    rows = items.select(
-        "item_id",
-        "embedding",
-        *[optional(name, kind) for name, kind in _ITEM_OPTIONAL.items()],
-        on_first_row(packed(queries)).alias("queries"),
-    )
+    return ["item_id", "embedding", *[optional(name, kind) for name, kind in _ITEM_OPTIONAL.items()]]
+
+
+def _result_schema(queries: DataFrame, carry) -> T.StructType:
     fields = {f.name: f for f in queries.schema}
-    schema = T.StructType(
+    return T.StructType(
         [
             fields["query_id"],
             T.StructField("item_id", T.LongType()),
@@ -167,6 +158,11 @@ def _one_pass(items: DataFrame, queries: DataFrame, carry, cosine: bool) -> Data
             *[fields[c] for c in carry],
         ]
     )
+
+
+def _one_pass(items: DataFrame, queries: DataFrame, carry, cosine: bool) -> DataFrame:
+    rows = items.select(*_item_columns(items), on_first_row(packed(queries)).alias("queries"))
+    schema = _result_schema(queries, carry)
     passed = ("fetch", *carry)
     arrow_schema = to_arrow_schema(schema)
 
@@ -185,6 +181,55 @@ def _one_pass(items: DataFrame, queries: DataFrame, carry, cosine: bool) -> Data
     return rows.mapInArrow(run, schema)
 
 
+def _block_join(items: DataFrame, queries: DataFrame, fetch: int, carry, cosine: bool) -> DataFrame:
+    """Any number of queries in one plan: blocks of items, each met by all queries, a chunk of them at a time.
+
+    Items are shuffled once, into as many blocks as keep a block's vectors
+    within ``BLOCK_BYTES``. The queries are laid in chunks, and every block gets
+    a copy of each. A task holds the items of one block and streams the chunks
+    past them, so its memory does not grow with either side.
+    """
+    numbered = checkpointed(queries.withColumn("_n", F.monotonically_increasing_id()))
+    dim = numbered.agg(F.max(F.size("vector"))).first()[0] or 1
+    blocks = max(1, math.ceil(items.count() * dim * 8 / BLOCK_BYTES))
+    size = max(1, min(CHUNK_QUERIES, PASS_ROWS // max(fetch, 1)))
+    row = F.struct(*[F.col(c) for c in queries.columns])
+    # ids count up within a partition, so a chunk has ``size`` queries at most
+    chunks = numbered.groupBy(F.floor(F.col("_n") / size).alias("chunk")).agg(F.collect_list(row).alias("queries"))
+    held = items.where("embedding is not null").select(
+        F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"), F.lit(None).cast("long").alias("chunk"), *_item_columns(items),
+    )
+    sent = chunks.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), "chunk", "queries")
+    both = held.unionByName(sent, allowMissingColumns=True)
+    met = both.repartition(blocks, "block").sortWithinPartitions("block", F.asc_nulls_first("chunk"))
+    schema = _result_schema(queries, carry)
+    passed = ("fetch", *carry)
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        block, rows = None, []
+        for batch in batches:
+            blocks_of = batch.column("block").to_numpy()
+            is_query = pc.is_valid(batch.column("chunk")).to_numpy(zero_copy_only=False)
+            change = (blocks_of[1:] != blocks_of[:-1]) | is_query[1:] | is_query[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                if blocks_of[start] != block:
+                    block, rows = blocks_of[start], []
+                part = batch.slice(start, end - start)
+                if not is_query[start]:
+                    rows.append(part)
+                elif rows:
+                    best = _Best(part.column("queries").flatten(), cosine)
+                    for items_of in rows:
+                        best.take(items_of)
+                    yield best.result(arrow_schema, passed)
+
+    return met.mapInArrow(run, schema)
+
+
 class _Best:
     """The best rows so far for each query of one task."""
 

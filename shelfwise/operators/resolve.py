@@ -4,6 +4,7 @@ import math
 import re
 import re._parser as sre
 import sys
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -13,16 +14,17 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import parse
 from shelfwise.functions.vectors import inner_product
+from shelfwise.operators.automaton import Automaton
 from shelfwise.operators.filters import bounded_broadcast, with_ids
 from shelfwise.operators.payload import on_first_row, packed
-from shelfwise.session import small_table
+from shelfwise.session import checkpointed, small_table
 from shelfwise.vocab import ANCHOR_THRESHOLD, ANCHORS
 
 # The pattern code travels with the tasks, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 3
-PASS_PATTERNS = 4096  # patterns run in one pass over the titles
+NEEDLE_BYTES = 8 << 20  # known values or identifiers that every task is sent at once
 REGEX_SIGNS = r"[\\^$.|?*+()\[\]{}]"
 
 
@@ -61,8 +63,15 @@ def detect_values(requests: DataFrame, known: DataFrame, word_bounds: bool = Fal
     ``known`` has ``kind`` (country or variety), ``value`` and ``first_id``;
     among values of one length the first in the catalogue wins. The test is
     plain containment; ``word_bounds`` asks for whole words.
+
+    The known values go to every task as one automaton, which finds all of them
+    in one walk over a text; no text is shuffled. Values too many for that are
+    joined on their first characters.
     """
-    pairs = contains_join(requests.select("query_id", "modifier"), "modifier", known, "value")
+    named = known.where(F.length("value") > 0)
+    if (named.agg(F.sum(F.octet_length("value"))).first()[0] or 0) <= NEEDLE_BYTES:
+        return _detected(requests, named, word_bounds)
+    pairs = contains_join(requests.select("query_id", "modifier"), "modifier", named, "value")
     if word_bounds:
         edge = r"[^\p{L}\p{N}_]"
         quoted = F.concat(F.lit(rf"(^|{edge})\Q"), F.lower("value"), F.lit(rf"\E($|{edge})"))
@@ -73,7 +82,43 @@ def detect_values(requests: DataFrame, known: DataFrame, word_bounds: bool = Fal
         value = F.when(F.col("kind") == kind, F.col("value"))
         return F.max_by(value, F.when(F.col("kind") == kind, longest)).alias(kind)
 
-    return pairs.groupBy("query_id").agg(best("country"), best("variety"))
+    slim = pairs.select("query_id", "kind", "value", "first_id")
+    return slim.groupBy("query_id").agg(best("country"), best("variety"))
+
+
+def _detected(requests: DataFrame, known: DataFrame, word_bounds: bool) -> DataFrame:
+    payload = packed(known.select("kind", "value", F.lower("value").alias("low"), F.length("value").alias("size"), "first_id"))
+    rows = requests.where("modifier is not null").select(
+        "query_id", F.lower("modifier").alias("low"), on_first_row(payload).alias("known")
+    )
+    kind = requests.schema["query_id"].dataType.simpleString()
+
+    def run(batches):
+        automaton = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if automaton is None:
+                values = {}
+                for v in batch.column("known").slice(0, 1).flatten().to_pylist():
+                    values.setdefault(v["low"], []).append(v)
+                automaton = Automaton(values)
+            texts = batch.column("low").to_pylist()
+            found = {"country": [], "variety": []}
+            for text in texts:
+                hits = automaton.found(text)
+                if word_bounds:
+                    hits = [h for h in hits if re.search(rf"(?<!\w){re.escape(h)}(?!\w)", text)]
+                named = [v for h in hits for v in values[h]]
+                for column, best in found.items():
+                    of_kind = [v for v in named if v["kind"] == column]
+                    best.append(max(of_kind, key=lambda v: (v["size"], -v["first_id"]), default={"value": None})["value"])
+            columns = [batch.column("query_id"), *[pa.array(c, pa.string()) for c in found.values()]]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", *found])
+
+    return rows.mapInArrow(run, f"query_id {kind}, country string, variety string").where(
+        "country is not null or variety is not null"
+    )
 
 
 def all_known_values(catalogue: DataFrame) -> DataFrame:
@@ -124,32 +169,29 @@ def first_title_match(
     """For each ``identifier``, the first item whose title matches it, ignoring case.
 
     Identifiers are patterns unless ``regex`` is off; one that is no valid
-    pattern is taken literally. Those without pattern signs, and all of them
-    when ``regex`` is off, are found by an equi-join. A pattern that cannot match
-    without some literal text, as a title with brackets, is joined on that text
-    and run on the titles that hold it. The rest run as compiled patterns over
-    the titles, several thousand to a pass. ``rows`` is a bound on the number of
-    identifiers, counted here if not given.
+    pattern is taken literally. From every pattern a set of texts is derived of
+    which each match holds one, as from ``(merlot|malbec) 20\\d\\d`` both names;
+    a plain text is its own. All of these make one automaton, so a title is walked
+    over once and tested only against the identifiers it can match. Patterns
+    without such texts are run on all titles. A task keeps the lowest item per
+    identifier and stops testing what cannot be lower. Identifiers go to the
+    tasks ``NEEDLE_BYTES`` at a time; ``rows`` is a bound on their number, if known.
     """
     titles = catalogue.where("title is not null").select("item_id", "title")
     wanted = wanted.select("identifier").where("identifier is not null").distinct()
     empty = F.col("identifier") == ""
     is_pattern = (F.col("identifier").rlike(REGEX_SIGNS) | empty) if regex else empty
-
-    literal = bounded_broadcast(wanted.where(~is_pattern), rows)
-    found = contains_join(titles, "title", literal, "identifier").select("identifier", "item_id")
-    needs = wanted.where(is_pattern).withColumn("_text", required_text(F.col("identifier")))
-    held = bounded_broadcast(needs.where("_text is not null"), rows)
-    folded = titles.withColumn("_folded", folded_text(F.col("title")))
-    pairs = contains_join(folded, "_folded", held, "_text").select("identifier", "item_id", "title")
-    found = found.unionAll(pairs.where(pattern_matches(F.col("identifier"), F.col("title"))).select("identifier", "item_id"))
-    patterns = needs.where("_text is null").select("identifier")
-    rows = patterns.count() if rows is None else rows
-    passes = 1 if rows <= PASS_PATTERNS else math.ceil(1.5 * rows / PASS_PATTERNS)
+    needs = checkpointed(wanted.select(
+        "identifier", F.lower("identifier").alias("low"), is_pattern.alias("is_pattern"),
+        F.when(is_pattern, required_texts(F.col("identifier"))).otherwise(F.array(folded_text(F.col("identifier")))).alias("texts"),
+    ))
+    size = needs.agg(F.sum(F.octet_length("identifier") + 16)).first()[0]
+    if size is None:
+        return needs.select("identifier", F.lit(None).cast("long").alias("item_id"))
+    passes = 1 if size <= NEEDLE_BYTES else math.ceil(1.5 * size / NEEDLE_BYTES)
     slot = F.pmod(F.xxhash64("identifier"), F.lit(passes))
-    for i in range(passes):
-        part = patterns.where(slot == i) if passes > 1 else patterns
-        found = found.unionAll(_pattern_matches(titles, part))
+    parts = [_lowest_matches(titles, needs.where(slot == i) if passes > 1 else needs) for i in range(passes)]
+    found = reduce(DataFrame.unionAll, parts)
     return found.groupBy("identifier").agg(F.min("item_id").alias("item_id"))
 
 
@@ -166,67 +208,68 @@ def folded_text(c: Column) -> Column:
     return F.lower(F.translate(c, "\u017f\u0130\u0131\u212a", "siik"))
 
 
-def longest_required(pattern: str) -> str | None:
-    """The longest run of ASCII text, lower-cased, that every match of the pattern holds; null if under 3."""
-    runs = [""]
+def any_of(tokens) -> list[str] | None:
+    """Texts of two ASCII characters or more, lower-cased, one of which every match of parsed ``tokens`` holds."""
+    found, runs = [], [""]
 
-    def walk(tokens):
-        for op, value in tokens:
+    def walk(sequence):
+        for op, value in sequence:
             if op is sre.LITERAL and value < 128:
                 runs[-1] += chr(value).lower()
             elif op is sre.SUBPATTERN:
                 walk(value[3])
-            elif op is sre.MAX_REPEAT and value[0] >= 1:
-                runs.append("")
-                walk(value[2])
-                runs.append("")
             elif op is not sre.AT:
                 runs.append("")
+                if op is sre.BRANCH:
+                    found.append([any_of(branch) for branch in value[1]])
+                elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] >= 1:
+                    found.append([any_of(value[2])])
 
-    walk(sre.parse(compiled(pattern).pattern, re.IGNORECASE))
-    best = max(runs, key=len)
-    return best if len(best) >= GRAM else None
+    walk(tokens)
+    sets = [[r] for r in runs if len(r) > 1] + [sum(f, []) for f in found if None not in f]
+    return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=None)
 
 
-def required_text(c: Column) -> Column:
+def required_texts(c: Column) -> Column:
     def find(patterns: pd.Series) -> pd.Series:
-        return patterns.map(longest_required)
-
-    return F.pandas_udf(find, "string")(c)
+        return patterns.map(lambda p: None if p is None else any_of(sre.parse(compiled(p).pattern, re.IGNORECASE)))
 
+    return F.pandas_udf(find, "array<string>")(c)
 
-def pattern_matches(pattern: Column, title: Column) -> Column:
-    def search(patterns: pd.Series, titles: pd.Series) -> pd.Series:
-        known = {p: compiled(p) for p in patterns.unique()}
-        return pd.Series([known[p].search(t) is not None for p, t in zip(patterns, titles)], dtype=bool)
 
-    return F.pandas_udf(search, "boolean")(pattern, title)
-
-
-def _pattern_matches(titles: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Per task, the lowest item each pattern matches."""
-    payload = packed(patterns)
+def _lowest_matches(titles: DataFrame, needs: DataFrame) -> DataFrame:
+    """Per task, the lowest item whose title each identifier matches."""
+    payload = packed(needs)
     rows = titles.where(F.size(payload) > 0).select(
-        "item_id", "title", on_first_row(payload).alias("patterns")
+        "item_id", "title", F.lower("title").alias("low"), folded_text(F.col("title")).alias("folded"),
+        on_first_row(payload).alias("needs"),
     )
 
     def run(batches):
-        wanted, lowest = None, {}
+        automaton, lowest = None, {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            if wanted is None:
-                texts = batch.column("patterns").slice(0, 1).flatten().field("identifier").to_pylist()
-                wanted = {text: compiled(text) for text in texts}
-            ordered = batch.select(["item_id", "title"]).sort_by("item_id")
-            ids, names = ordered.column(0).to_pylist(), ordered.column(1).to_pylist()
-            for text, pattern in wanted.items():
-                for item, name in zip(ids, names):
-                    if item >= lowest.get(text, item + 1):
-                        break
-                    if pattern.search(name):
-                        lowest[text] = item
-                        break
+            if automaton is None:
+                needs = batch.column("needs").slice(0, 1).flatten().to_pylist()
+                tests = {
+                    n["identifier"]: compiled(n["identifier"]).search if n["is_pattern"] else None for n in needs
+                }
+                lows = {n["identifier"]: n["low"] for n in needs}
+                by_text, always = {}, []
+                for n in needs:
+                    for text in n["texts"] or ():
+                        by_text.setdefault(text, []).append(n["identifier"])
+                    if n["texts"] is None:
+                        always.append(n["identifier"])
+                automaton = Automaton(by_text)
+            ordered = batch.select(["item_id", "title", "low", "folded"]).sort_by("item_id")
+            for item, title, low, folded in zip(*[c.to_pylist() for c in ordered.columns]):
+                for identifier in [i for hit in automaton.found(folded) for i in by_text[hit]] + always:
+                    if item < lowest.get(identifier, item + 1):
+                        test = tests[identifier]
+                        if lows[identifier] in low if test is None else test(title):
+                            lowest[identifier] = item
         yield pa.RecordBatch.from_pydict(
             {"identifier": list(lowest), "item_id": list(lowest.values())},
             schema=pa.schema([("identifier", pa.string()), ("item_id", pa.int64())]),
@@ -238,13 +281,17 @@ def _pattern_matches(titles: DataFrame, patterns: DataFrame) -> DataFrame:
 def resolve_items(
     catalogue: DataFrame, requests: DataFrame, regex: bool = True, rows: int | None = None
 ) -> DataFrame:
-    """Add ``exclude_id``: the item each identifier names, by id or else by title."""
+    """Add ``exclude_id``: the item each identifier names, by id or else by title.
+
+    Titles are searched only for requests that no id answers.
+    """
     ids = requests.select(F.col("id_wanted").alias("item_id")).where("item_id is not null").distinct()
     by_id = with_ids(catalogue, ids, rows).select(F.col("item_id").alias("_by_id"))
-    by_title = first_title_match(catalogue, requests, regex, rows).withColumnRenamed("item_id", "_by_title")
+    tried = checkpointed(requests.join(bounded_broadcast(by_id, rows), F.col("id_wanted") == F.col("_by_id"), "left"))
+    open_ = tried.where("_by_id is null")
+    by_title = first_title_match(catalogue, open_, regex, rows).withColumnRenamed("item_id", "_by_title")
     return (
-        requests.join(bounded_broadcast(by_id, rows), F.col("id_wanted") == F.col("_by_id"), "left")
-        .join(bounded_broadcast(by_title, rows), "identifier", "left")
+        tried.join(bounded_broadcast(by_title, rows), "identifier", "left")
         .withColumn("exclude_id", F.coalesce("_by_id", "_by_title"))
         .drop("_by_id", "_by_title")
     )

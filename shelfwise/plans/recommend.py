@@ -18,6 +18,8 @@ from shelfwise.vocab import (
     ANCHOR_THRESHOLD, BLEND_WEIGHT, DEFAULT_TOP_K, OVERFETCH_FACTOR, OVERFETCH_MIN,
 )
 
+VECTOR_BYTES = 16 << 10  # of a stored vector, at most: 2,048 numbers of 8 bytes
+
 
 @dataclass
 class Recommender:
@@ -85,7 +87,7 @@ class Recommender:
         stored = with_ids(self.items, wanted, n).select(
             F.col("item_id").alias("exclude_id"), F.col("embedding").alias("_stored")
         )
-        joined = resolved.join(bounded_broadcast(stored, n), "exclude_id", "left")
+        joined = resolved.join(bounded_broadcast(stored, n, VECTOR_BYTES), "exclude_id", "left")
 
         free_text = joined.withColumn("_free", F.when(F.col("_stored").isNull(), F.col("identifier")))
         encoded = self.encoder.encode(free_text, "_free", "_encoded")

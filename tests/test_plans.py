@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,48 @@ def test_looking_up_a_few_items_reads_their_spans_only(spark, tmp_path, monkeypa
     assert sorted(r.item_id for r in found.collect()) == [3, 120]
     assert "dynamicpruning" in plan(found)
     assert filters.ID_SPAN not in found.columns
+
+
+def test_more_queries_than_one_pass_takes_are_one_plan(spark):
+    n = 120_000
+    items = spark.range(700).select(F.col("id").alias("item_id"), F.array(*[F.sin(F.col("id") * k).cast("float") for k in (1, 2, 3)]).alias("embedding"))
+    items = checkpointed(items)
+    asked = spark.range(n).select(F.col("id").alias("query_id"), F.array(*[F.cos(F.col("id") * k) for k in (1, 2, 3)]).alias("vector"), F.lit(2).alias("fetch"))
+    found = knn.nearest(items, asked)
+    text = plan(found)
+    assert text.count("MapInArrow") == 1 and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    items_of = np.array([r.embedding for r in items.orderBy("item_id").collect()])
+    rows = found.where("query_id % 1000 = 7").orderBy("query_id", "position").collect()
+    assert len(rows) == 2 * n // 1000 and found.count() == 2 * n
+    for first, second in zip(rows[::2], rows[1::2]):
+        scores = np.round(items_of.astype(float) @ np.cos(first.query_id * np.array([1.0, 2, 3])), 12)
+        assert [first.item_id, second.item_id] == sorted(range(700), key=lambda i: (-scores[i], i))[:2]
+
+
+@pytest.mark.parametrize("block", [1 << 10, 64 << 20])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, block):
+    items = vectors(spark, SF_DIR)
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(3).alias("fetch"))
+    want = sorted(map(tuple, knn.nearest(items, asked).collect()))
+    monkeypatch.setattr(knn, "BLOCK_BYTES", block)
+    monkeypatch.setattr(knn, "CHUNK_QUERIES", 7)
+    assert sorted(map(tuple, knn.nearest(items, asked, pass_queries=10).collect())) == want
+
+
+def test_items_that_nobody_wants_are_not_shuffled(spark):
+    items = cat(spark, SF_DIR).select("item_id", "title")
+    wanted = spark.createDataFrame([(i % 40,) for i in range(500)], "item_id long")
+    few, many = filters.with_ids(items, wanted, 500), filters.with_ids(items, wanted, filters.BROADCAST_ROWS + 1)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert "BroadcastHashJoin" in plan(few)
+    kept = items.where(filters.member_filter(wanted, "item_id")(F.col("item_id")))
+    n = kept.count()
+    assert 40 - (items.where("item_id < 40").count() < 40) <= n <= 45
+    before_shuffle = plan(many)
+    assert re.search(r"Filter .*getbit", before_shuffle) and "BroadcastNestedLoopJoin" not in before_shuffle
+
+
+def test_vectors_are_broadcast_by_their_bytes(spark):
+    df = table(spark, SF_DIR, "part")
+    assert filters.bounded_broadcast(df, 100_000, 384 * 8) is df
+    assert filters.bounded_broadcast(df, 1_000, 384 * 8) is not df

@@ -11,7 +11,7 @@ from shelfwise.operators.encode import HashEncoder, ModelEncoder
 from shelfwise.operators.knn import nearest
 from shelfwise.plans.explore import neighbours_of_titles, search_text, similar_items
 from shelfwise.plans.recommend import Recommender, recommend_one
-from shelfwise.session import small_table
+from shelfwise.session import checkpointed, new_path, small_table
 
 NAME = "Ornellaia 2014 Le Volte Red"
 
@@ -260,20 +260,54 @@ def test_no_rows_asked_for_next_to_a_filter(spark, items, encoder):
 
 @pytest.mark.parametrize(
     "pattern, text",
-    [("Cold (Brand#12)", "cold brand#12"), ("(old|new) g.ar", None), ("a+bcd", "bcd"), ("x{0,3}Hello", "hello"), ("[", None),
-     ("(unclosed", "(unclosed"), ("abc?d", None), ("(?i)ABC", "abc"), ("ñandú cafe", " cafe"), ("", None)],
+    [("Cold (Brand#12)", ["cold brand#12"]), ("(old|new) g.ar", ["old", "new"]), ("a+bcd", ["bcd"]), ("x{0,3}Hello", ["hello"]),
+     ("[", None), ("(unclosed", ["(unclosed"]), ("abc?d", ["ab"]), ("(?i)ABC", ["abc"]), ("ñandú cafe", [" cafe"]), ("", None),
+     ("(?:rot|wei(?:ss|n)?|b.a) x", [" x"]), ("(red|.)", None), ("^(20|19)[0-9]{2}$", ["20", "19"]), ("(ab|cd){2,}?e", ["ab", "cd"]),
+     ("(ab|cd)*e", None), (r"\d\d", None)],
 )
 def test_text_that_a_pattern_needs(pattern, text):
-    assert resolve.longest_required(pattern) == text
+    found = resolve.any_of(resolve.sre.parse(resolve.compiled(pattern).pattern, re.IGNORECASE))
+    assert found == text
 
 
-def test_patterns_are_joined_on_the_text_they_need(spark):
+def test_patterns_are_run_where_the_text_they_need_is(spark, monkeypatch):
     titles = ["Cold (Brand#12)", "cold brand#12", "ſun King", "plain", None]
     items = small_table(spark, "item_id long, title string", list(enumerate(titles)))
-    asked = ["Cold (Brand#12)", "sun (king)", "(plain)", "[a-z]lain", "(unclosed", "(no such)"]
+    asked = ["Cold (Brand#12)", "sun (king)", "(plain)", "[a-z]lain", "(unclosed", "(no such)", "(king|plain)$", "BRAND", "^.{5}$"]
     wanted = small_table(spark, "identifier string", [(a,) for a in asked])
     got = {r.identifier: r.item_id for r in resolve.first_title_match(items, wanted).collect()}
-    assert got == {"Cold (Brand#12)": 1, "sun (king)": 2, "(plain)": 3, "[a-z]lain": 3}
+    want = {"Cold (Brand#12)": 1, "sun (king)": 2, "(plain)": 3, "[a-z]lain": 3, "(king|plain)$": 2, "BRAND": 0, "^.{5}$": 3}
+    assert got == want
+    monkeypatch.setattr(resolve, "NEEDLE_BYTES", 40)  # many passes give the same
+    assert {r.identifier: r.item_id for r in resolve.first_title_match(items, wanted).collect()} == want
+
+
+def test_only_titles_that_a_pattern_can_match_are_tested(spark, monkeypatch):
+    titles = [(i, f"name {i} {'merlot' if i % 50 == 0 else 'other'} 20{i % 100:02d}") for i in range(1, 1001)]
+    items = small_table(spark, "item_id long, title string", titles)
+    wanted = small_table(spark, "identifier string", [("(merlot|malbec) 20[5-9].",), ("zzz+ (merlot)",)])
+    log = new_path(spark, "tested")
+    real = resolve.compiled
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.run = pattern, real(pattern)
+
+        def search(self, title):
+            with open(log, "a") as out:
+                out.write(title + "\n")
+            return self.run.search(title)
+
+    monkeypatch.setattr(resolve, "compiled", Counted)
+    found = resolve._lowest_matches(items, checkpointed(wanted.select(
+        "identifier", F.lower("identifier").alias("low"), F.lit(True).alias("is_pattern"),
+        F.when(F.col("identifier").startswith("("), F.array(F.lit("merlot"), F.lit("malbec"))).otherwise(F.array(F.lit("merlot"))).alias("texts"),
+    )))
+    assert {r.identifier: r.item_id for r in found.groupBy("identifier").agg(F.min("item_id").alias("item_id")).collect()} == {
+        "(merlot|malbec) 20[5-9].": 50
+    }
+    with open(log) as lines:
+        assert all("merlot" in line for line in lines)
 
 
 def test_bounds_that_all_queries_share_reach_the_items(spark, items):
