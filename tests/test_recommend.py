@@ -13,7 +13,7 @@ from shelfwise.plans.explore import neighbours_of_titles, search_text, similar_i
 from shelfwise.plans.recommend import Recommender, recommend_one
 from shelfwise.session import checkpointed, new_path, small_table
 
-NAME = "Ornellaia 2014 Le Volte Red"
+NAME = "Harbour Hill Dry Cider"
 
 
 def ids(df):
@@ -37,31 +37,31 @@ def answers(df):
 
 
 def test_requests_of_every_kind(spark, recommender):
-    got = answers(
-        recommender.recommend(
-            batch(
-                spark, f"{NAME} + cheap", NAME, f"{NAME} + sweet and fruity", "0 + sweet and fruity", "0 + under 30",
-                "+ low price", "ornellaia (2014|2015)", "[bad", "12345", "sweet.+rose + over 85 points",
-            )
-        )
-    )
-    assert [i for i, _ in got[0]] == [1, 2]
-    assert got[1] == [(2, 0.99388), (1, 0.30113)]
-    assert got[2] == [(1, 0.96047), (2, 0.64319)]
-    assert got[3][0][0] == 1 and 0 not in [i for i, _ in got[3]]
-    assert [i for i, _ in got[4]] == [1]
-    assert 0 not in [i for i, _ in got[5]]  # an empty name is the first item
-    assert got[6] == got[1]
-    assert len(got[7]) == len(got[8]) == 2
-    assert 9 not in got  # at least 85 in price too, and one such item is none
+    asked = {
+        f"{NAME} + a bargain": [4, 2],  # the others, cheapest first
+        NAME: [1, 2],
+        f"{NAME} + plums": [4],  # names a variety as well
+        "0 + pears": [1, 2],
+        "0 + under 20": [4],
+        "+ the dearest": [3, 1],  # an empty name is the first item
+        "(harbour|haven) hill": [1, 2],
+        "[bad": [0, 1], "12345": [0, 1],  # no item: a text like any other
+        "mill.+perry + over 85 points": [],  # at least 85 in price too, and no such item is left
+        "2 + ireland": [0, 3],
+        "0 + mead": [3],
+    }
+    got = answers(recommender.recommend(batch(spark, *asked)))
+    assert [[i for i, _ in got.get(n, [])] for n in range(len(asked))] == list(asked.values())
+    # the vectors have sides 3, 4, 5; "pears" is blended into (0, 0, 0.2268, 0, 0.974)
+    assert got[1] == [(1, 0.8), (2, 0.6)] and got[3] == [(1, 0.77916), (2, 0.76578)]
 
 
 def test_request_filters_override_parsed_ones(spark, recommender):
-    assert ids(recommend_one(recommender, "0 + under 30", 5, {"country": "france"})) == [2]
+    assert ids(recommend_one(recommender, "0 + under 30", 5, {"country": "Wales"})) == [2, 4]
     partial = Recommender(recommender.items, recommender.encoder, partial_filters=True)
-    assert ids(recommend_one(partial, "0 + under 30", 5, {"country": "france"})) == []
-    assert ids(recommend_one(partial, "0 + under 30", 5, {"country": "US"})) == [1]
-    assert ids(recommend_one(recommender, "0", 5, {"variety": " Any ", "country": "n/a"})) == [2, 1]
+    assert ids(recommend_one(partial, "0 + under 20", 5, {"country": "Wales"})) == [4]
+    assert ids(recommend_one(partial, "0 + under 20", 5, {"country": "france"})) == []
+    assert ids(recommend_one(recommender, "0", 3, {"variety": " Any ", "country": "n/a"})) == [1, 2, 3]
 
 
 def test_empty_pool_keeps_the_columns(recommender):
@@ -71,24 +71,24 @@ def test_empty_pool_keeps_the_columns(recommender):
 
 def test_requests_without_defaults(spark, recommender):
     bare = small_table(spark, "query_id long, query string", [(0, NAME)])
-    assert [r.item_id for r in recommender.recommend(bare).orderBy("rank").collect()] == [2, 1]
+    assert [r.item_id for r in recommender.recommend(bare).orderBy("rank").collect()] == [1, 2, 3, 4]
 
 
 def test_column_orders_put_missing_values_last(spark, items, encoder):
-    holed = items.withColumn("price", F.when(F.col("item_id") != 1, F.col("price")))
+    holed = items.withColumn("price", F.when(~F.col("item_id").isin(0, 3), F.col("price"))).withColumn("points", F.lit(95))
     for pool in ("", " + over 80 points"):
-        holed = holed.withColumn("points", F.lit(95))
-        rec = Recommender(holed.withColumn("price", F.coalesce("price", F.lit(None))), encoder)
-        got = answers(rec.recommend(batch(spark, "nothing like it + cheap", top_k=3)))
-        assert [i for i, _ in got[0]] == [2, 0, 1]
+        rec = Recommender(holed, encoder)
+        got = answers(rec.recommend(batch(spark, "nothing like it + a bargain" + pool, top_k=5)))
+        # over 80 points is over 80 in price as well, and nothing is
+        assert [i for i, _ in got.get(0, [])] == ([] if pool else [4, 2, 1, 0, 3])
 
 
 def test_overfetch_window_counts_the_item_itself(spark, encoder):
-    rows = [(i, f"t{i}", float(100 - i), 90, "qq", "zz", [1.0, i / 100, 0.0, 0.0]) for i in range(40)]
+    rows = [(i, f"t{i}", float(100 - i), 90, "qq", "zz", [0.0, i / 100, 0.0, 0.0, 1.0]) for i in range(40)]
     kinds = "item_id long, title string, price double, points int, variety string, country string, embedding array<double>"
     table = small_table(spark, kinds, rows)
     rec = Recommender(table.withColumn("embedding", l2_normalize(table["embedding"])), encoder)
-    got = answers(rec.recommend(batch(spark, "0 + cheap", top_k=3)))
+    got = answers(rec.recommend(batch(spark, "0 + a bargain", top_k=3)))
     assert [i for i, _ in got[0]] == [19, 18, 17]  # 20 nearest with item 0, cheapest first
 
 
@@ -107,13 +107,11 @@ def test_parse(spark):
 
 
 def test_sort_phrases(spark, encoder):
-    rows = [("cheap",), ("affordable please",), ("sweet and fruity",), ("high alcohol",)]
+    rows = [("a bargain",), ("the dearest",), ("pears",), ("plums",), ("unheard of",)]
     encoded = encoder.encode(small_table(spark, "text string", rows), "text", "modifier_vector")
     got = {r.text: (r.sort_by, r.ascending) for r in resolve.classify_modifier(encoded, encoder).collect()}
-    assert got == {
-        "cheap": ("price", True), "affordable please": ("price", True), "sweet and fruity": (None, None),
-        "high alcohol": (None, None),
-    }
+    near = {"a bargain": ("price", True), "the dearest": ("price", False)}
+    assert got == {text: near.get(text, (None, None)) for (text,) in rows}
 
 
 def test_known_values_longest_then_first(spark):
@@ -131,24 +129,25 @@ def test_known_values_longest_then_first(spark):
 
 
 def test_title_match_modes(spark, catalogue):
-    wanted = small_table(spark, "identifier string", [("RED",), ("r.d",), ("",), ("(",), ("zzz",), ("e",)])
-    got = {r.identifier: r.item_id for r in resolve.first_title_match(catalogue, wanted, rows=6).collect()}
-    assert got == {"RED": 0, "r.d": 0, "": 0, "e": 0}
+    wanted = small_table(spark, "identifier string", [("OLD",), ("p.{2}ry",), ("",), ("(",), ("zzz",), ("d",), ("r$",)])
+    got = {r.identifier: r.item_id for r in resolve.first_title_match(catalogue, wanted, rows=7).collect()}
+    assert got == {"OLD": 1, "p.{2}ry": 2, "": 0, "d": 0, "r$": 0}
     literal = {r.identifier: r.item_id for r in resolve.first_title_match(catalogue, wanted, regex=False).collect()}
-    assert literal == {"RED": 0, "": 0, "e": 0}
+    assert literal == {"OLD": 1, "": 0, "d": 0}
 
 
 def test_constant_filters(catalogue):
-    assert sorted(ids(filters.apply_filters(catalogue, price_min=30, price_max=100))) == [0, 2]
-    assert ids(filters.apply_filters(catalogue, variety="rose")) == [1]
-    assert len(ids(filters.apply_filters(catalogue, variety="Any", country=" "))) == 3
+    assert sorted(ids(filters.apply_filters(catalogue, price_min=18, price_max=30))) == [1, 2, 4]
+    assert ids(filters.apply_filters(catalogue, variety="Perry ")) == [2]
+    assert ids(filters.apply_filters(catalogue, country="wales", min_points=80)) == [2]
+    assert len(ids(filters.apply_filters(catalogue, variety="Any", country=" "))) == 5
 
 
 def test_look_up(spark, catalogue):
-    assert filters.by_id(catalogue, 1).first().title == "Sweet Fruity Rose"
-    wanted = small_table(spark, "item_id long", [(1,), (999,)])
+    assert filters.by_id(catalogue, 3).first().title == "Bog Myrtle Mead"
+    wanted = small_table(spark, "item_id long", [(4,), (999,)])
     got = {r.item_id: r["item"] for r in filters.look_up(catalogue, wanted).collect()}
-    assert got[999] is None and got[1].title == "Sweet Fruity Rose"
+    assert got[999] is None and got[4].title == "Plum Lane Jerkum"
 
 
 def test_index_search(spark):
@@ -208,11 +207,11 @@ def test_small_blocks_give_the_same_neighbours(spark, monkeypatch):
 def test_similar_items_and_search(spark, catalogue, items, encoder):
     titles = small_table(spark, "query_id long, title string", [(0, NAME), (1, "no such title")])
     found = neighbours_of_titles(items, titles, top_n=1).orderBy("position").collect()
-    assert [(r.query_id, r.item_id) for r in found] == [(0, 0), (0, 2)]
+    assert [(r.query_id, r.item_id) for r in found] == [(0, 0), (0, 1)]
     hashed = similar_items(catalogue, HashEncoder(16), titles, top_n=2)
     assert hashed.count() == 3
-    top = search_text(items, encoder, small_table(spark, "query_id long, text string", [(0, "sweet and fruity")]), top_k=1)
-    assert ids(top) == [1]
+    top = search_text(items, encoder, small_table(spark, "query_id long, text string", [(0, "the dearest")]), top_k=1)
+    assert ids(top) == [3]
 
 
 def test_model_encoder_skips_missing_texts(spark):
@@ -244,7 +243,7 @@ def test_scoring_code_travels_with_the_tasks(tmp_path):
 
 def test_requests_without_or_with_equal_ids(spark, items, encoder):
     rec = Recommender(items, encoder)
-    rows = small_table(spark, "query_id long, query string, top_k int", [(0, "0 + cheap", 2), (0, "2 + cheap", 2), (None, "1", 1), (None, "0", 1)])
+    rows = small_table(spark, "query_id long, query string, top_k int", [(0, "0 + a bargain", 2), (0, "2 + a bargain", 2), (None, "1", 1), (None, "0", 1)])
     got = rec.recommend_keyed(rows).collect()
     by = {}
     for r in got:
@@ -312,9 +311,10 @@ def test_only_titles_that_a_pattern_can_match_are_tested(spark, monkeypatch):
 
 def test_bounds_that_all_queries_share_reach_the_items(spark, items):
     kinds = "query_id long, vector array<double>, fetch int, filters struct<price_min:double,price_max:double,variety:string,country:string,min_points:int>"
-    rows = [(0, [1.0, 0.0, 0.0, 0.0], 3, {"price_max": 30.0}), (1, [1.0, 0.0, 0.0, 0.0], 3, {"price_max": 60.0, "min_points": 90})]
+    to = [0.0, 0.0, 0.0, 0.0, 1.0]
+    rows = [(0, to, 2, {"price_max": 20.0}), (1, to, 2, {"price_max": 30.0, "min_points": 90})]
     queries = spark.createDataFrame(rows, kinds)
     found = nearest(items, queries)
     plan = found._jdf.queryExecution().analyzed().toString()
-    assert re.search(r"price#\d+ <= (cast\()?60\.0", plan) and not re.search(r"points#\d+ >=", plan)
-    assert {(r.query_id, r.item_id) for r in found.collect()} == {(0, 1), (1, 2)}
+    assert re.search(r"price#\d+ <= (cast\()?30\.0", plan) and not re.search(r"points#\d+ >=", plan)
+    assert {(r.query_id, r.item_id) for r in found.collect()} == {(0, 0), (0, 4), (1, 1)}
