@@ -80,34 +80,38 @@ WHITE_VARIETIES = (
 )
 
 # Words that put a variety in a style, found as whole words and tested in
-# this order. A name that holds a shorter one of its list as whole words (pinot noir:
-# noir) is found by that and not listed again.
+# this order.
 SPARKLING_WORDS = (
     "sparkling", "champagne", "prosecco", "glera", "cava", "cremant", "crémant", "frizzante", "asti",
 )
 ROSE_WORDS = ("rosé", "rose", "rosado", "rosato", "moscato rosa", "rosenmuskateller")
 RED_WORDS = (
-    "spätburgunder", "cabernet", "merlot", "syrah", "shiraz", "malbec", "zinfandel", "primitivo",
-    "sangiovese", "tempranillo", "grenache", "garnacha", "cannonau", "nebbiolo", "barbera",
-    "montepulciano", "aglianico", "touriga", "baga", "tannat", "carignan", "carignane", "carignano",
+    "pinot noir", "pinot nero", "spätburgunder", "cabernet sauvignon", "cabernet franc",
+    "cabernet", "merlot", "syrah", "shiraz", "malbec", "zinfandel", "primitivo",
+    "sangiovese", "tempranillo", "tinta roriz", "tinto fino", "tinto del pais", "tinto velasco", "tinta del pais",
+    "tinta del toro", "tinta de toro", "grenache", "garnacha", "cannonau", "nebbiolo", "barbera",
+    "montepulciano", "nero d'avola", "nero di troia", "aglianico", "touriga nacional", "touriga franca",
+    "touriga", "baga", "tannat", "carignan", "carignane", "carignano",
     "cariñena", "mourvèdre", "monastrell", "mataro", "gamay", "dolcetto", "corvina", "rondinella",
     "molinara", "negroamaro", "blaufränkisch", "kékfrankos", "kekfrankos", "frankovka", "zweigelt",
     "xinomavro", "agiorgitiko", "mavrud", "mavrodaphne", "mavrokalavryta", "mavrotragano", "mavroudi",
     "saperavi", "carmenère", "pinotage", "lagrein", "teroldego", "refosco", "marzemino", "freisa",
     "grignolino", "dornfelder", "lemberger", "st. laurent", "portugieser", "mencía", "graciano", "bobal",
-    "alicante", "castelão", "trincadeira", "jaen", "aragonez", "aragonês", "ramisco", "vranac", "vranec",
+    "alicante", "castelão", "trincadeira", "jaen", "aragonez", "aragonês", "ramisco", "tinta barroca",
+    "tinta cao", "tinta madeira", "tinta miúda", "tinta negra mole", "vranac", "vranec",
     "plavac mali", "babić", "teran", "kadarka", "blauburger", "blauburgunder", "frühburgunder",
     "früburgunder", "schiava", "lambrusco", "rara neagra", "susumaniello", "gaglioppo", "sagrantino",
-    "ciliegiolo", "colorino", "canaiolo", "pugnitello", "prugnolo gentile", "petite sirah",
+    "ciliegiolo", "colorino", "canaiolo", "pugnitello", "prugnolo gentile", "malvasia nera", "petite sirah",
     "petite verdot", "petit verdot", "red blend", "claret", "meritage", "g-s-m", "bordeaux-style red",
     "rhône-style red", "provence red", "austrian red", "portuguese red", "port", "trollinger", "bonarda",
     "nerello mascalese", "nerello cappuccio", "pinot meunier", "cinsault", "frappato", "charbono",
-    "negrette", "norton", "prieto picudo", "alfrocheiro", "brachetto", "piedirosso", "kalecik karasi",
+    "negrette", "norton", "baco noir", "prieto picudo", "alfrocheiro", "brachetto", "piedirosso", "kalecik karasi",
     "raboso", "mondeuse", "uva di troia", "counoise", "ruché", "trepat", "okuzgozu", "feteasca neagra",
     "gragnano", "chambourcin", "jacquez", "chancellor", "marquette", "st. vincent", "marselan", "mazuelo",
     "mansois", "duras", "braucol", "sirica", "sciaccerellu", "nielluciu", "melnik", "kotsifali",
     "tsapournakos", "papaskarasi", "karasakiz", "boğazkere", "çalkarası", "žilavka", "sousão", "souzao",
-    "vinhão", "tintilia", "morava", "grolleau", "groppello", "magliocco", "manzoni", "perricone",
+    "vinhão", "tinta francisca", "tinta amarela", "tinta fina", "tintilia", "morava",
+    "listán negro", "grolleau", "groppello", "magliocco", "manzoni", "perricone",
     "poulsard", "trousseau", "abouriou", "cesanese", "durif", "alvarelhão", "aleatico", "albarossa",
     "argaman", "bastardo", "blatina", "bovale", "carcajolu", "carineña", "casavecchia", "centesimino",
     "chelois", "fer servadou", "forcallà", "franconia", "gamza", "mandilaria", "mission", "país",
@@ -116,24 +120,24 @@ RED_WORDS = (
     "noir", "nero", "nera", "rosso", "tinta", "tinto", "black", "negro", "kara",
 )
 WHITE_WORDS = (
-    "chardonnay", "sauvignon", "riesling", "pinot grigio", "pinot gris", "gewürztraminer",
-    "gewurztraminer", "traminer", "traminette", "viognier", "moscato", "muscat", "muscatel", "moscatel",
-    "gruner veltliner", "veltliner", "albariño", "albarino", "verdejo", "vermentino", "trebbiano",
+    "chardonnay", "sauvignon blanc", "sauvignon", "riesling", "pinot grigio", "pinot gris", "pinot blanc",
+    "pinot bianco", "gewürztraminer", "gewurztraminer", "traminer", "traminette", "viognier", "chenin blanc", "moscato", "muscat", "muscatel", "moscatel",
+    "white blend", "gruner veltliner", "grüner veltliner", "veltliner", "albariño", "albarino", "verdejo", "vermentino", "trebbiano",
     "garganega", "cortese", "falanghina", "fiano", "semillon", "sémillon", "torrontés", "grecanico",
     "grechetto", "greco", "godello", "arinto", "encruzado", "loureiro", "arneis", "friulano", "malvasia",
-    "verdicchio", "vernaccia", "picpoul", "picolit", "colombard", "folle blanche", "chasselas",
+    "verdicchio", "vernaccia", "picpoul", "picolit", "colombard", "ugni blanc", "folle blanche", "chasselas",
     "silvaner", "sylvaner", "müller-thurgau", "kerner", "scheurebe", "furmint", "hárslevelü",
     "welschriesling", "graševina", "grasevina", "assyrtiko", "assyrtico", "roditis", "malagousia",
-    "malagouzia", "vidal", "chardonel", "cayuga", "niagara", "diamond", "catawba", "symphony", "sacy",
+    "malagouzia", "vidal", "vidal blanc", "seyval blanc", "chardonel", "cayuga", "niagara", "diamond", "catawba", "symphony", "sacy",
     "elbling", "kisi", "rkatsiteli", "mtsvane", "chinuri", "carricante", "insolia", "inzolia",
-    "catarratto", "grillo", "zibibbo", "cerceal", "fernão pires", "antão vaz", "gouveio", "rabigato",
-    "viosinho", "azal", "avesso", "trajadura", "bical", "maria gomes", "malvar", "airen", "verdil",
+    "catarratto", "grillo", "zibibbo", "moscato giallo", "cerceal", "fernão pires", "antão vaz", "gouveio", "rabigato",
+    "viosinho", "loureiro-arinto", "azal", "avesso", "trajadura", "bical", "maria gomes", "malvar", "airen", "verdil",
     "xarel-lo", "macabeo", "treixadura", "verdelho", "verdello", "boal", "bual", "sercial", "terrantez",
-    "biancolella", "grauburgunder", "weissburgunder", "auxerrois", "savagnin", "petit manseng",
+    "white port", "biancolella", "grauburgunder", "weissburgunder", "auxerrois", "savagnin", "petit manseng",
     "gros manseng", "gros and petit manseng", "melon", "viura", "turbiana", "roussanne", "marsanne",
-    "pedro ximénez", "moschofilero", "jacquère", "muskateller", "muskat", "hondarrabi zuri",
+    "fumé blanc", "pedro ximénez", "moschofilero", "jacquère", "muskateller", "muskat", "hondarrabi zuri",
     "rotgipfler", "passerina", "palomino", "pansa blanca", "zierfandler", "tocai", "morillon",
-    "muscadelle", "muscadine", "muscadel", "nosiola", "posip", "durella", "sherry", "clairette",
+    "muscadelle", "muscadine", "muscadel", "nosiola", "posip", "durella", "pallagrello bianco", "sherry", "clairette",
     "erbaluce", "favorita", "mauzac", "alvarinho", "pecorino", "ribolla gialla", "tokaji", "tokay",
     "aligoté", "albana", "albanello", "siria", "vignoles", "coda di volpe", "códega do larinho",
     "romorantin", "verduzzo", "rebula", "robola", "torontel", "nasco", "nuragus", "pignoletto",
