@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise import schemas
+from shelfwise.sources.records import quoted_records
 from shelfwise.vocab import DEFAULT_TOP_K, NULL_TOKENS
 
 # Names of a column that numbers the rows, lower-cased; Spark calls an unnamed one _c0.
@@ -16,9 +17,9 @@ _CSV = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Raw reviews; null tokens become nulls and unparsable numbers too.
 
-    A quoted line break keeps a file from being split. Read many files, or turn
-    ``multi_line`` off where no cell holds a line break, and store the result
-    as Parquet before working on it.
+    Cells may hold line breaks; a large file is read by many tasks all the same
+    (``records``). Turn ``multi_line`` off where no cell holds one, which saves
+    a pass over the lines.
 
     Columns are found by name, in any order; others are left out. The row number
     is the unnamed first column; without one, rows get a number in file order.
@@ -26,22 +27,33 @@ def read_reviews_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     rows = _by_header(spark, path, {**_CSV, "multiLine": str(multi_line).lower()})
     names = {name.strip().lower(): name for name in rows.columns}
     number = next((names[n] for n in ROW_NUMBER_NAMES if n in names), None)
-    own = F.monotonically_increasing_id().cast("string") if number is None else F.col(f"`{number}`")
+    own = F.col("`own row`").cast("string") if number is None else F.col(f"`{number}`")
     _require(names, [f.name for f in schemas.RAW if f.name != "src_row"], path)
     columns = [F.col(f"`{names[f.name]}`").alias(f.name) for f in schemas.RAW if f.name != "src_row"]
     return typed(rows.select(own.alias("src_row"), *columns), schemas.RAW)
 
 
 def _by_header(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """All cells as text under the names of the header line, which all files must share.
+    """All cells as text under the names of the header line, which all files must share, and ``own row``, a row's number.
 
-    A file with another header stops the job, unless a column is unnamed and
-    cannot be compared.
+    A file with another header stops the job; without line breaks in cells, one
+    with an unnamed column cannot be compared and does not.
     """
     header = spark.read.options(**options).csv(path).columns
     unnamed = any(name.startswith("_c") for name in header)
-    texts = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    return spark.read.schema(texts).options(**options, enforceSchema=str(unnamed).lower()).csv(path)
+    if options["multiLine"] == "false":
+        texts = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        rows = spark.read.schema(texts).options(**options, enforceSchema=str(unnamed).lower()).csv(path)
+        return rows.withColumn("own row", F.monotonically_increasing_id())
+    records = quoted_records(spark, path)
+    headers = records.where("is_first").select("record").distinct().limit(2).collect()
+    if len(headers) > 1:
+        raise ValueError(f"{path} has files with different headers")
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    given = {k: v for k, v in options.items() if k != "header"}
+    parsed = records.where("NOT is_first").select("row", F.from_csv("record", cells.simpleString()[7:-1].replace(":", " "), given).alias("r"))
+    # the header line took the first number
+    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(header)], (F.col("row") - 1).alias("own row"))
 
 
 def _require(names, wanted, path: str) -> None:

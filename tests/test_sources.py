@@ -1,5 +1,8 @@
-import pytest
+import csv
 import json
+import random
+
+import pytest
 
 from shelfwise.operators.encode import HashEncoder
 from shelfwise.plans.clean import clean_catalogue
@@ -89,3 +92,35 @@ def test_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "short.csv").write_text("title,price\nT,1\n")
     with pytest.raises(ValueError, match="winery"):
         files.read_reviews_csv(spark, str(tmp_path / "short.csv"))
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_one_quoted_file_is_read_by_several_tasks(spark, tmp_path, ending):
+    rnd = random.Random(ending)
+    pool = ["plain", "", "two\nlines", 'a "quoted" word', '"', "comma, here", "\n\n\n", " edge ", "é\n\"\n", "x" * 300, ("long\n" * 60).strip()]
+    rows = [[str(i), *rnd.choices(pool, k=3)] for i in range(1500)]
+    rows[700][2] = "deep\n" * 4000  # a cell over several splits
+    for name, part in (("a.csv", rows[:1100]), ("b.csv", rows[1100:])):
+        with open(tmp_path / name, "w", encoding="utf-8", newline="") as out:
+            writer = csv.writer(out, lineterminator=ending)
+            writer.writerow(["n", "a", "b", "c"])
+            writer.writerows(part)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = files._by_header(spark, str(tmp_path), files._CSV)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = got.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r["own row"] for r in got}) == 1500
+    want = spark.read.options(**files._CSV).csv(str(tmp_path)).collect()
+    assert sorted((r.n, r.a, r.b, r.c) for r in got if r.n == "700") == sorted((r.n, r.a, r.b, r.c) for r in want if r.n == "700")
+    assert sorted(map(repr, ((r.n, r.a, r.b, r.c) for r in got))) == sorted(map(repr, ((r.n, r.a, r.b, r.c) for r in want)))
+
+
+def test_files_of_one_folder_share_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,a\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text("n,b\n1,z\n")
+    with pytest.raises(ValueError, match="headers"):
+        files._by_header(spark, str(tmp_path), files._CSV)
