@@ -84,47 +84,85 @@ def _count_reached(cuts: list[float], v: Column) -> Column:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probs, bits: int = 8) -> DataFrame:
+SORTED_VALUES = 1 << 20  # distinct values of a range that one task sorts
+
+
+def _narrowed(values: DataFrame, ranks: list[int], bits: int, most: int) -> list[tuple[list[float], int, list[int], bool]]:
+    """Ranges that hold the wanted ranks, each as its cuts so far: ``(low, high)`` and the rows before it, with its ranks.
+
+    A round cuts every range that has more than ``most`` distinct values, by
+    their approximate quantiles, and counts the parts in one job; it goes on with
+    the parts that hold a wanted rank. The driver sees the cuts and counts alone.
+    """
+    size = values.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct")).first()
+    waiting, done = [(-math.inf, math.inf, 0, sorted(ranks), size["distinct"])], []
+    shares = ", ".join(f"{i / 2**bits}D" for i in range(1, 2**bits))
+    while waiting:
+        going = [r for r in waiting if r[4] > most]
+        done += [r[:4] for r in waiting if r[4] <= most]
+        waiting = []
+        if not going:
+            break
+        # a range is (low, high]; NaN counts as the largest number
+        part = F.coalesce(*[F.when(_within(low, high), i) for i, (low, high, *_) in enumerate(going)])
+        parts = values.select("v", "n", part.alias("part")).where("part IS NOT NULL")
+        found = parts.groupBy("part").agg(F.expr(f"percentile_approx(v, array({shares}))").alias("cuts")).collect()
+        cuts = {r.part: [c for c in dict.fromkeys(r.cuts) if math.isfinite(c)] for r in found}
+        place = F.coalesce(*[F.when(F.col("part") == i, _count_reached(c, F.col("v"))) for i, c in cuts.items() if c], F.lit(0))
+        counts = parts.withColumn("place", place).groupBy("part", "place").agg(
+            F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"), F.min("v").alias("least"), F.max("v").alias("most")
+        ).orderBy("part", "place").collect()
+        for i, (low, _, before, wanted, distinct) in enumerate(going):
+            for c in (c for c in counts if c.part == i):
+                held = [r for r in wanted if before <= r < before + c.rows]
+                if held:
+                    # one value can't be cut again, and a range that was not cut is not tried for ever
+                    waiting.append((low, c.most, before, held, 1 if c.least == c.most else min(c.distinct, distinct - 1)))
+                before, low = before + c.rows, c.most
+    return done
+
+
+def _within(low: float, high: float) -> Column:
+    upto = F.lit(True) if high == math.inf or math.isnan(high) else F.col("v") <= F.lit(high)
+    return upto if low == -math.inf else (F.col("v") > F.lit(low)) & upto
+
+
+def exact_quantiles(df: DataFrame, column: str, probs, bits: int = 8, most: int = SORTED_VALUES) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per probability.
 
     Equal values are counted before the shuffle, and the counts are written to
-    the shared folder. They are cut into ``2**bits`` ranges of like size, and
-    only the ranges that hold a wanted rank are sorted, each in its own task.
-    The driver sees the cuts and the range sizes, ``2**bits`` numbers each.
+    the shared folder. They are cut into ranges of like size, again and again
+    where a range has more than ``most`` distinct values, and only the ranges that
+    hold a wanted rank are sorted, each in its own task, which is never given more.
     """
     spark = df.sparkSession
     values = checkpointed(
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     )
-    shares = ", ".join(f"{i / 2**bits}D" for i in range(1, 2**bits))
-    cuts = values.agg(F.expr(f"percentile_approx(v, array({shares}))")).first()[0]
+    total = values.agg(F.sum("n")).first()[0]
     result = "prob double, value double"
-    if cuts is None:
+    if total is None:
         return small_table(spark, result, [(float(p), None) for p in probs])
 
-    ranged = values.withColumn("bucket", _count_reached(cuts, F.col("v")))
-    sizes = ranged.groupBy("bucket").agg(F.sum("n").alias("size")).orderBy("bucket").collect()
-    total = sum(row.size for row in sizes)
-    wanted, start = [], 0
-    for row in sizes:
-        for p in probs:
-            position = p * (total - 1)
-            for rank in {math.floor(position), math.ceil(position)}:
-                if start <= rank < start + row.size:
-                    wanted.append((row.bucket, start, float(p), position - math.floor(position), rank))
-        start += row.size
-
+    asked = [(float(p), p * (total - 1)) for p in probs]
+    near = sorted({r for _, at in asked for r in (math.floor(at), math.ceil(at))})
+    ranges = _narrowed(values, near, bits, most)
+    wanted = [
+        (i, before, p, at - math.floor(at), rank)
+        for i, (_, _, before, ranks) in enumerate(ranges) for p, at in asked
+        for rank in sorted({math.floor(at), math.ceil(at)}) if rank in ranks
+    ]
     ranks = small_table(spark, "bucket int, start long, prob double, part double, rank long", wanted)
     in_order = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.where(F.col("bucket").isin(sorted({w[0] for w in wanted}))).withColumn(
-        "upto", F.sum("n").over(in_order)
-    )
+    bucket = F.coalesce(*[F.when(_within(low, high), i) for i, (low, high, *_) in enumerate(ranges)])
+    summed = values.withColumn("bucket", bucket).where("bucket IS NOT NULL").withColumn("upto", F.sum("n").over(in_order))
     picked = summed.join(F.broadcast(ranks), "bucket").where(
         "start + upto - n <= rank and rank < start + upto"
     )
     low, high = F.min("v"), F.max("v")
-    return picked.groupBy("prob", "part").agg((low + (high - low) * F.col("part")).alias("value")).select(
+    between = F.when(low == high, low).otherwise(low + (high - low) * F.col("part"))
+    return picked.groupBy("prob", "part").agg(between.alias("value")).select(
         "prob", "value"
     )
 

@@ -126,6 +126,8 @@ def test_quantiles_equal_the_direct_ones(spark):
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
     got = {r.prob: r.value for r in profile.exact_quantiles(df, "x", probs, bits=4).collect()}
     want = np.quantile([v for v in values if v is not None], probs)
+    again = {r.prob: r.value for r in profile.exact_quantiles(df, "x", probs, bits=2, most=3).collect()}
+    assert again == got
     assert np.allclose([got[p] for p in probs], want)
 
 
@@ -167,3 +169,19 @@ def test_dense_keys_keep_rows_without_an_order(spark):
     assert [r.item_id for r in got] == [0, 1, 2, 3, 4] and [r.src_row for r in got] == [2, 5, None, None, None]
     again = keys.with_dense_key(rows.repartition(3)).orderBy("item_id").collect()
     assert got == again
+
+
+def test_no_task_sorts_more_than_the_bound(spark):
+    skewed = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.exp((F.col("id") % 701) / 10)).alias("x"))
+    values = skewed.groupBy(F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("n")).cache()
+    ranks = [0, 13_000, 20_000, 39_999]
+    ranges = profile._narrowed(values, ranks, 3, 20)
+    assert sorted(r for *_, held in ranges for r in held) == ranks
+    ordered = sorted(r.x for r in skewed.collect())
+    for low, high, before, held in ranges:
+        within = values.where(profile._within(low, high))
+        assert within.count() <= 20 and before == sum(x <= low for x in ordered)
+        assert all(low < ordered[r] <= high for r in held)
+    odd = spark.createDataFrame([(float(x),) for x in ("nan", "inf", "-inf", "0", "-0.0", "1", "2", "3", "nan")], "x double")
+    got = {r.prob: r.value for r in profile.exact_quantiles(odd, "x", (0.0, 0.25, 0.5, 1.0), bits=2, most=2).collect()}
+    assert (got[0.0], got[0.25], got[0.5]) == (float("-inf"), 0.0, 2.0) and got[1.0] != got[1.0]
