@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _local_dirs: dict[str, str] = {}  # by application, for local masters only
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def local_session(cpus: int = 8, app: str = "shelfwise", memory: str = "12g") -> SparkSession:
@@ -43,16 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or the scratch folder in use, that nothing has used before."""
+    return f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is written to new paths inside is removed at the end; nothing may be read from it afterwards."""
+    folder = new_path(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so later reads do not recompute it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read back, so that nothing computes it again.
+
+    A written table and not ``checkpoint()``, which computes its input twice.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, schema: T.StructType | str, rows) -> DataFrame:

@@ -128,8 +128,35 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFEST).json(path)
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    return with_request_defaults(spark.read.schema(schemas.REQUEST).json(path))
+def request_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Each line as a request, with the ``line`` itself and its ``problem``, which is null for a good one.
+
+    A line that is no JSON object of the right types is malformed; a request must have a query. Blank lines are none.
+    """
+    held = T.StructType([*schemas.REQUEST.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json(column, held.simpleString(), {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.where(F.trim(column) != "").select(F.col(column).alias("line"), parsed.alias("r"))
+    problem = (
+        F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.trim("line").startswith("{"), "malformed")
+        .when(F.col("r.query").isNull(), "no query")
+    )
+    return with_request_defaults(rows.select(*[F.col(f"r.{f.name}") for f in schemas.REQUEST], "line", problem.alias("problem")))
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    return rows.where("problem IS NULL").drop("line", "problem")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    return rows.where("problem IS NOT NULL").select("line", "problem")
+
+
+def read_requests(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
+    """The good requests of a file of JSON lines; the others are added to the table ``rejects``, if one is named."""
+    rows = request_lines(spark.read.text(path))
+    if rejects is not None:
+        rejected(rows).write.mode("append").parquet(rejects)
+    return accepted(rows)
 
 
 def with_request_defaults(df: DataFrame) -> DataFrame:
@@ -137,9 +164,8 @@ def with_request_defaults(df: DataFrame) -> DataFrame:
 
 
 def parse_requests_json(df: DataFrame, column: str) -> DataFrame:
-    """Requests held as JSON text in a column."""
-    request = F.from_json(column, schemas.REQUEST.simpleString())
-    return with_request_defaults(df.select(request.alias("r")).select("r.*"))
+    """The good requests among JSON texts in a column; see ``request_lines`` for the others."""
+    return accepted(request_lines(df, column))
 
 
 def write_results(df: DataFrame, path: str) -> None:

@@ -1,14 +1,16 @@
 import csv
 import json
+import os
 import random
 
 import pytest
 
 from shelfwise.operators.encode import HashEncoder
+from shelfwise.operators.resolve import all_known_values
 from shelfwise.plans.clean import clean_catalogue
 from shelfwise.plans.model import build_model, load_model
 from shelfwise.plans.recommend import Recommender
-from shelfwise.session import new_path, small_table
+from shelfwise.session import checkpointed, new_path, shared_dir, small_table
 from shelfwise.sources import catalogue as files
 from shelfwise.streaming.serve import request_stream, serve
 
@@ -124,3 +126,32 @@ def test_files_of_one_folder_share_a_header(spark, tmp_path):
     (tmp_path / "b.csv").write_text("n,b\n1,z\n")
     with pytest.raises(ValueError, match="headers"):
         files._by_header(spark, str(tmp_path), files._CSV)
+
+
+BAD_LINES = ['{"query_id": 1, "query": "a", "top_k": "many"}', "not json", '{"query_id": 2', "[1]", '{"query_id": 3}', '{"query": null}']
+
+
+def test_bad_request_lines_are_reported(spark, tmp_path):
+    good = ['{"query_id": 7, "query": "x", "filters": {"price_max": 3}}', '{"query": ""}']
+    (tmp_path / "r.json").write_text("\n".join([good[0], *BAD_LINES, "", good[1]]))
+    rejects = str(tmp_path / "rejects")
+    got = files.read_requests(spark, str(tmp_path / "r.json"), rejects).collect()
+    assert sorted((r.query_id or 0, r.query, r.top_k) for r in got) == [(0, "", 5), (7, "x", 5)]
+    found = {r.line: r.problem for r in spark.read.parquet(rejects).collect()}
+    assert found == {line: "no query" if line in BAD_LINES[4:] else "malformed" for line in BAD_LINES}
+
+
+def test_a_stream_keeps_bad_lines_and_no_intermediate_tables(spark, items, encoder, tmp_path):
+    def held():
+        return sum(len(names) for _, _, names in os.walk(shared_dir(spark)))
+
+    inbox, out, progress, rejects = (tmp_path / p for p in ("in", "out", "progress", "rejects"))
+    inbox.mkdir()
+    for i in range(3):
+        (inbox / f"{i}.json").write_text('{"query_id": %d, "query": "0 + mead"}\n%s\n' % (i, BAD_LINES[i]))
+    recommender = Recommender(items, encoder, known=checkpointed(all_known_values(items)))
+    before = held()
+    serve(recommender, request_stream(spark, str(inbox), max_files=1), str(out), str(progress), str(rejects)).awaitTermination()
+    assert held() == before
+    assert sorted(r.query_id for r in spark.read.parquet(str(out)).collect()) == [0, 1, 2]
+    assert sorted(r.line for r in spark.read.parquet(str(rejects)).collect()) == sorted(BAD_LINES[:3])
