@@ -11,7 +11,7 @@ from shelfwise.operators import filters as flt
 from shelfwise.operators import resolve
 from shelfwise.plans.explore import search_text, similar_items
 from shelfwise.plans.recommend import Recommender, numbered
-from shelfwise.session import new_path, small_table
+from shelfwise.session import new_path, small_table, spread
 from shelfwise.sources import catalogue as files
 from shelfwise.vocab import BLEND_WEIGHT, NO_FILTER_VALUES
 
@@ -131,7 +131,7 @@ def _(spark, sf):
 
 def _parsed(spark, sf):
     known = resolve.all_known_values(cat(spark, sf))
-    return resolve.parse_requests(requests(spark, sf), known, ENCODER, THRESHOLD)
+    return resolve.parse_requests(spread(requests(spark, sf)), known, ENCODER, THRESHOLD)
 
 
 @query(

@@ -9,7 +9,7 @@ from registry.cleaning import CLEAN_SQL
 from registry.recommend import RECOMMEND_SQL, THRESHOLD, rounded, workload
 from registry.search import ENCODER, VECTORS_SQL, _cells, _cells_sql
 from shelfwise.plans.clean import clean_catalogue
-from shelfwise.plans.model import build_model, load_model
+from shelfwise.plans.model import build_items, build_model, load_model
 from shelfwise.plans.recommend import Recommender
 from shelfwise.schemas import CLEAN, RAW
 from shelfwise.session import new_path
@@ -104,6 +104,39 @@ def _(spark, sf):
     return read.select("query_id", "query", "top_k", "filters.*")
 
 
+# Some lines are cut off or have no query. The others are requests, these are reported.
+_LINE_SQL = (
+    "SELECT query_id, CASE query_id % 7 WHEN 3 THEN '{\"query_id\": ' || query_id WHEN 5 THEN '{\"query_id\": ' || query_id || '}' "
+    "ELSE '{\"query_id\": ' || query_id || ', \"query\": \"any\"}' END AS line FROM (" + REQUEST_SQL + ")"
+)
+
+
+@query(
+    "a10_rejected_requests",
+    "SELECT line, CASE query_id % 7 WHEN 3 THEN 'malformed' WHEN 5 THEN 'no query' END AS problem, CAST(NULL AS BIGINT) AS query_id "
+    f"FROM ({_LINE_SQL}) WHERE query_id % 7 IN (3, 5) "
+    f"UNION ALL SELECT NULL, NULL, query_id FROM ({_LINE_SQL}) WHERE query_id % 7 NOT IN (3, 5)",
+)
+def _(spark, sf):
+    path, rejects = new_path(spark, "request-lines"), new_path(spark, "rejects")
+    start, i = F.concat(F.lit('{"query_id": '), F.col("query_id").cast("string")), F.col("query_id") % 7
+    rest = F.when(i == 3, "").when(i == 5, "}").otherwise(', "query": "any"}')
+    requests(spark, sf).select(F.concat(start, rest).alias("value")).write.text(path)
+    good = files.read_requests(spark, path, rejects).select(
+        F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("problem"), "query_id"
+    )
+    return spark.read.parquet(rejects).select("line", "problem", F.lit(None).cast("bigint").alias("query_id")).unionByName(good)
+
+
+# Requests answered from what a build has written: items by span, known values, manifest.
+@query("p4_serve_from_artifacts", RECOMMEND_SQL)
+def _(spark, sf):
+    directory = new_path(spark, "served-model")
+    files.write_catalogue(cat(spark, sf).drop("embedding"), f"{directory}/catalogue")
+    build_items(cat(spark, sf), directory)
+    return rounded(load_model(spark, directory).recommender(ENCODER, threshold=THRESHOLD).recommend(workload(spark)))
+
+
 @query("a11_result_records", RECOMMEND_SQL)
 def _(spark, sf):
     path = new_path(spark, "results")

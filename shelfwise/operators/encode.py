@@ -1,37 +1,53 @@
 """Text encoders: each adds an L2-normalised vector column to a table."""
 
+import hashlib
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions import let
 from shelfwise.functions.vectors import l2_normalize
 
+# The encoding code travels with the tasks, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class HashEncoder:
-    """Counts of hashed words, as a column expression without a Python hop."""
+    """Counts of hashed words.
+
+    Texts are cut into words by the engine; a batch's distinct words are hashed
+    once each, and all its counts are made in one go, so the time grows with the
+    words and not with words times ``dim``.
+    """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def column(self, text: Column) -> Column:
-        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        slots = F.transform(
-            words,
-            lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(self.dim)),
-        )
-        # one mark of fixed width per word; a slot's count is how much shorter the text is without its mark
-        width = len(str(self.dim - 1)) + 1
-        mark = lambda d: F.concat(F.lit(";"), F.lpad(d.cast("string"), width - 1, "0"))
-        counts = let(
-            F.array_join(F.transform(slots, mark), ""),
-            lambda s: F.transform(
-                F.sequence(F.lit(0), F.lit(self.dim - 1)),
-                lambda d: ((F.octet_length(s) - F.octet_length(F.replace(s, mark(d), F.lit("")))) / width).cast("double"),
-            ),
-        )
-        return F.when(text.isNotNull(), l2_normalize(counts))
+        dim = self.dim
+
+        def counts(words: pa.Array) -> pa.Array:
+            n = len(words)
+            coded = words.flatten().dictionary_encode()
+            slots = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim if w else -1 for w in coded.dictionary.to_pylist()]
+            slot = np.array(slots, np.int64)[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+            at = (row * dim + slot)[slot >= 0]
+            found = np.bincount(at, minlength=n * dim).reshape(n, dim).astype("float64")
+            length = np.sqrt((found * found).sum(axis=1, keepdims=True))
+            found /= np.where(length > 0, length, 1.0)
+            cuts = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+            return pa.ListArray.from_arrays(cuts, pa.array(found.ravel()), mask=pc.is_null(words))
+
+        counts.__annotations__ = {"words": pa.Array, "return": pa.Array}
+        words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+        return F.arrow_udf(counts, "array<double>")(words)
 
     def encode(self, df: DataFrame, text: str, out: str) -> DataFrame:
         return df.withColumn(out, self.column(F.col(text)))

@@ -26,12 +26,18 @@ def build_model(catalogue: DataFrame, encoder, directory: str, model_name: str)
     files.write_catalogue(catalogue, f"{directory}/catalogue")
     stored = files.read_catalogue(spark, f"{directory}/catalogue")
     encoded = encoder.encode(stored, "text_corpus", "embedding")
-    joint = with_id_span(encoded.withColumn("embedding", encoded["embedding"].cast("array<float>")))
+    build_items(encoded, directory, model_name)
+
+
+def build_items(items: DataFrame, directory: str, model_name: str = "given") -> None:
+    """Write what serving needs from a catalogue that has its vectors: items by span, vectors, manifest, known values."""
+    spark = items.sparkSession
+    joint = with_id_span(items.withColumn("embedding", items["embedding"].cast("array<float>")))
     by_span = joint.repartition(ID_SPAN).sortWithinPartitions(ID_SPAN, "item_id")
     by_span.write.mode("overwrite").partitionBy(ID_SPAN).parquet(f"{directory}/items")
-    vectors = files.read_catalogue(spark, f"{directory}/items")
-    files.write_vectors(vectors, f"{directory}/vectors")
-    files.write_manifest(files.manifest(vectors, model_name), f"{directory}/manifest")
+    stored = files.read_catalogue(spark, f"{directory}/items")
+    files.write_vectors(stored, f"{directory}/vectors")
+    files.write_manifest(files.manifest(stored, model_name), f"{directory}/manifest")
     all_known_values(stored).write.mode("overwrite").parquet(f"{directory}/known_values")
 
 
