@@ -120,9 +120,9 @@ def op11_sentencepiece(spark, sf_dir, model_path=None):
 WITH RECURSIVE c AS (SELECT conv_id, conv_id - conv_id % 5 AS donor, CAST(conv_id AS VARCHAR) AS t FROM conversations
   WHERE conv_id IS NOT NULL GROUP BY ALL),
 byte AS (SELECT range AS b FROM range(256)),
-crc_table AS (SELECT list(list_reduce(list_concat([b], range(8)), (x, i) -> xor(x >> 1, (x & 1) * 3988292384)) ORDER BY b) AS k FROM byte),
-h AS (SELECT conv_id, donor, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(t) + 1), i -> CAST(ascii(t[i]) AS BIGINT))),
-    (x, y) -> xor(x >> 8, k[xor(x & 255, y) + 1])), 4294967295) % 9 AS h FROM c, crc_table),
+crc_table AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY b) AS k FROM byte),
+h AS (SELECT conv_id, donor, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(t) + 1), lambda i: CAST(ascii(t[i]) AS BIGINT))),
+    lambda x, y: xor(x >> 8, k[xor(x & 255, y) + 1])), 4294967295) % 9 AS h FROM c, crc_table),
 o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
