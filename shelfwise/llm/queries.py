@@ -4,6 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from shelfwise.llm import checksql
 from shelfwise.llm.common import table
 from shelfwise.llm.decontaminate import contaminated
 from shelfwise.llm.langid import identify_language
@@ -58,12 +59,12 @@ def op6_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-@query("op1_line_dedup")
+@query("op1_line_dedup", checksql.LINES)
 def op1_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
 
 
-@query("op3_license_scan")
+@query("op3_license_scan", checksql.LICENSES)
 def op3_license_scan(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"), whole_texts=True)
 
@@ -96,12 +97,12 @@ def op10_decontamination(spark, sf_dir):
     return found.drop("key").distinct()
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", checksql.SUBSTRINGS)
 def op2_substring_dedup(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
-@query("op7_suffix_dedup")
+@query("op7_suffix_dedup", checksql.SUFFIXES)
 def op7_suffix_dedup(spark, sf_dir):
     return dedup_suffixes(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -151,7 +152,7 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
 
 
-@query("op13_spelling")
+@query("op13_spelling", checksql.SPELLINGS)
 def op13_spelling(spark, sf_dir):
     return group_spellings(table(spark, sf_dir, "documents"))
 
