@@ -8,11 +8,12 @@ from registry import sqltext as q
 from registry.bindings import CAT_SQL, cat, table, vectors
 from shelfwise.functions import vectors as vec
 from shelfwise.operators.encode import HashEncoder, ModelEncoder
+from shelfwise.operators.clusters import build_clusters, nearest_in_clusters
 from shelfwise.operators.filters import with_ids
 from shelfwise.operators.knn import nearest
 from shelfwise.operators.resolve import anchor_table
 from shelfwise.plans.recommend import with_vectors
-from shelfwise.session import small_table, spread
+from shelfwise.session import new_path, small_table, spread
 
 ENCODER = HashEncoder(64)
 
@@ -202,6 +203,17 @@ def _(spark, sf):
     return _shown(nearest(items, queries))
 
 
+# The same through items stored by cluster, where clusters that can't hold a near item are not scored.
+@query("v8_knn_in_clusters", _ranked_sql(
+    "SELECT item_id, embedding AS vec FROM (" + VECTORS_SQL + ")",
+    "SELECT item_id AS query_id, embedding AS vec FROM (" + VECTORS_SQL + ")", 3))
+def _(spark, sf):
+    items = vectors(spark, sf)
+    clusters = build_clusters(items, new_path(spark, "clusters"), centres=32)
+    queries = items.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(3).alias("fetch"))
+    return _shown(nearest_in_clusters(clusters, queries))
+
+
 # The stored vectors nearest to each benchmark text, sixteen texts to a pass.
 @query(
     "d6_score_join_several_passes",

@@ -12,6 +12,7 @@ from shelfwise.vocab import NO_FILTER_VALUES
 
 ID_SPAN = "id_span"
 ITEMS_PER_SPAN = 1 << 18
+VALUE_KEYS = {"variety": "variety_key", "country": "country_key"}  # stored in the form that filters compare
 ROW_BYTES = 100  # of a request, an id or a short result; vectors are given their own width
 BROADCAST_BYTES = 20_000_000  # of a side that is sent to every task
 BROADCAST_ROWS = BROADCAST_BYTES // ROW_BYTES
@@ -105,7 +106,7 @@ def look_up(df: DataFrame, wanted: DataFrame, rows: int | None = None) -> DataFr
     that it is not shuffled to be looked into.
     """
     rows = wanted.count() if rows is None else rows
-    item = F.struct(*[F.col(c) for c in df.columns if c not in ("item_id", ID_SPAN)]).alias("item")
+    item = F.struct(*[F.col(c) for c in item_columns(df) if c != "item_id"]).alias("item")
     kept = [c for c in ("item_id", ID_SPAN) if c in df.columns]
     ids = wanted.select("item_id").where("item_id is not null").distinct()
     found = with_ids(df.select(*kept, item), ids, rows)
@@ -141,6 +142,16 @@ def member_filter(wanted: DataFrame, key: str):
     return passes
 
 
+def with_value_keys(df: DataFrame) -> DataFrame:
+    """Add the text columns that filters test, in the form in which they are compared, so that a scan can be cut by them."""
+    return df.withColumns({key: strip_lower(F.col(name)) for name, key in VALUE_KEYS.items() if name in df.columns})
+
+
+def item_columns(df: DataFrame) -> list[str]:
+    """The columns of stored items that belong to the items, not to how they are stored."""
+    return [c for c in df.columns if c != ID_SPAN and c not in VALUE_KEYS.values()]
+
+
 def with_id_span(df: DataFrame) -> DataFrame:
     """Add the span of ids an item lies in, the partition column of stored items."""
     return df.withColumn(ID_SPAN, F.floor(F.col("item_id") / ITEMS_PER_SPAN).cast("int"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfwise.operators.filters import strip_lower
+from shelfwise.operators.filters import VALUE_KEYS, strip_lower
 from shelfwise.operators.payload import on_first_row, packed
 from shelfwise.schemas import FILTERS
 from shelfwise.session import checkpointed
@@ -33,8 +33,9 @@ BLOCK_BYTES = 64 << 20  # vectors of the items that a task holds, where queries
 CHUNK_QUERIES = 1024  # queries that meet a block of items at once
 BLOCK_CELLS = 1 << 22  # scores held at once in a task
 SCORE_DIGITS = 12  # equal vectors must tie whatever block they fall in
+SCAN_VALUES = 256  # of a text column, that a scan is asked for; batches that ask for more are not cut by it
 
-_ITEM_OPTIONAL = {"price": "double", "points": "double", "variety": "string", "country": "string"}
+_ITEM_OPTIONAL = {"price": "double", "points": "double", "variety": "string", "country": "string", "cluster": "int"}
 
 
 def nearest(
@@ -52,6 +53,7 @@ def nearest(
 
     * ``filters``: only items that meet them are ranked for this query;
     * ``exclude_id``: an item left out of the ranking;
+    * ``clusters``: the values of the item column ``cluster`` that can hold its best items, see ``clusters``;
     * ``sort_by`` and ``ascending``: rank by this column (missing values last)
       instead of by similarity, which then breaks ties.
 
@@ -78,9 +80,10 @@ def score_partitions(
     """Per task and query, the best ``fetch`` rows; ``carry`` query columns ride along."""
     queries = _complete_queries(queries, carry)
     if size is None:
-        found = queries.agg(F.count(F.lit(1)), F.max("fetch"), *loosest_bounds(F.struct(*_BOUNDS))).first()
+        pool = F.struct(*_BOUNDS, *VALUE_KEYS)
+        found = queries.agg(F.count(F.lit(1)), F.max("fetch"), *loosest_bounds(pool)).first()
         size = (found[0], found[1] or 0)
-        items = within_bounds(items, found)
+        items = within_bounds(items, found, queries, pool)
     n, fetch = size
     if n <= min(pass_queries, PASS_ROWS // max(fetch, 1)):
         return _one_pass(items, queries, carry, cosine)
@@ -96,18 +99,33 @@ _BOUNDS = {
 
 
 def loosest_bounds(filters: Column) -> list[Column]:
-    """Per bound its loosest value, null unless every query has it; for one aggregate over all queries."""
-    return [
+    """What all queries of a batch have in common, for one aggregate over them.
+
+    Per bound its loosest value, null unless every query has it; per text column whether every query asks for a value.
+    """
+    bounds = [
         F.when(F.count(filters[name]) == F.count(F.lit(1)), loosest(filters[name])).alias(name)
         for name, (_, loosest, _) in _BOUNDS.items()
     ]
+    return bounds + [F.coalesce(F.every(filters[name].isNotNull()), F.lit(False)).alias(name) for name in VALUE_KEYS]
+
 
+def within_bounds(items: DataFrame, bounds, queries: DataFrame, filters: Column) -> DataFrame:
+    """The items that some query may rank, by tests that reach the scan; ``bounds`` as ``loosest_bounds`` gives them.
 
-def within_bounds(items: DataFrame, bounds) -> DataFrame:
-    """The items that some query may rank, by tests that reach the scan; ``bounds`` as ``loosest_bounds`` gives them."""
+    Where every query asks for a value of a text column, the few different ones
+    are gathered. They reach the scan where items are stored with the column in
+    its compared form, as ``build_items`` does.
+    """
     for name, (column, _, test) in _BOUNDS.items():
         if bounds[name] is not None and column in items.columns:
             items = items.where(test(F.col(column), F.lit(bounds[name])))
+    for name, key in VALUE_KEYS.items():
+        if bounds[name] and name in items.columns:
+            asked = queries.select(F.lower(filters[name]).alias("v")).distinct().limit(SCAN_VALUES + 1).collect()
+            if len(asked) <= SCAN_VALUES:
+                have = F.col(key) if key in items.columns else strip_lower(F.col(name))
+                items = items.where(have.isin(sorted(row.v for row in asked)))
     return items
 
 
@@ -130,6 +148,7 @@ def _complete_queries(queries: DataFrame, carry) -> DataFrame:
         filters["min_points"].cast("double").alias("min_points"),
         F.lower(filters["variety"]).alias("variety"),
         F.lower(filters["country"]).alias("country"),
+        column("clusters", "array<int>"),
         *carry,
     ).where("vector is not null and fetch > 0")
 
@@ -230,6 +249,32 @@ def _block_join(items: DataFrame, queries: DataFrame, fetch: int, carry, cosine:
     return met.mapInArrow(run, schema)
 
 
+_POOL = ("price_min", "price_max", "min_points", "variety", "country")
+
+
+def _coded(values: pa.Array):
+    """A text column as numbers, -1 for missing, and the number of each value."""
+    coded = pc.dictionary_encode(values.cast(pa.string()))
+    numbers = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+    return pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False), numbers
+
+
+def _meets(items, rule) -> np.ndarray:
+    """The rows that pass every test of a pool; a missing value passes none."""
+    good = np.ones(len(items["item_id"]), dtype=bool)
+    if "price_min" in rule:
+        good &= items["price"] >= rule["price_min"]
+    if "price_max" in rule:
+        good &= items["price"] <= rule["price_max"]
+    if "min_points" in rule:
+        good &= items["points"] >= rule["min_points"]
+    for name in ("variety", "country"):
+        if name in rule:
+            codes, numbers = items[name]
+            good &= codes == numbers.get(rule[name], -2)
+    return good
+
+
 class _Best:
     """The best rows so far for each query of one task."""
 
@@ -243,11 +288,17 @@ class _Best:
         self.vectors = self._scaled(self.vectors.reshape(self.count, -1)).T
         self.limit = queries.field("fetch").to_numpy(zero_copy_only=False)
         self.most = int(self.limit.max())
-        names = ("exclude_id", "sort_by", "ascending", "price_min", "price_max", "min_points",
-                 "variety", "country")
-        columns = {name: queries.field(name).to_pylist() for name in names}
-        rules = [{n: columns[n][q] for n in names if columns[n][q] is not None} for q in range(self.count)]
-        self.rules = {q: rule for q, rule in enumerate(rules) if rule}
+        columns = {name: queries.field(name).to_pylist() for name in ("exclude_id", "sort_by", "ascending", *_POOL)}
+        pools: dict[tuple, list[int]] = {}
+        for q, values in enumerate(zip(*[columns[name] for name in _POOL])):
+            pools.setdefault(values, []).append(q)
+        self.pools = [
+            ({n: v for n, v in zip(_POOL, values) if v is not None}, np.array(own)) for values, own in pools.items()
+        ]
+        self.excluded = {q: v for q, v in enumerate(columns["exclude_id"]) if v is not None}
+        self.orders = {q: (v, columns["ascending"][q]) for q, v in enumerate(columns["sort_by"]) if v is not None}
+        self.live = self._live(queries.field("clusters")) if "clusters" in {f.name for f in queries.type} else {}
+        self.cells = 0  # scores computed
         self.floor = np.full(self.count, -np.inf)
         self.kept = _Rows.empty()
 
@@ -257,6 +308,20 @@ class _Best:
         lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
         return vectors / np.where(lengths > 0, lengths, 1.0)
 
+    def _live(self, clusters: pa.ListArray) -> dict:
+        """Per cluster that some query names, which queries want it: those that name it, and those that name none."""
+        if clusters.null_count == len(clusters):
+            return {}
+        self.anywhere = pc.is_null(clusters).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(clusters), 0).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        named = pc.list_flatten(clusters).to_numpy()
+        live = {}
+        for c in np.unique(named).tolist():
+            live[c] = self.anywhere.copy()
+            live[c][of[named == c]] = True
+        return live
+
     def take(self, batch: pa.RecordBatch):
         """Score the rows of a batch, all of which have a vector.
 
@@ -268,58 +333,76 @@ class _Best:
             self._take_block(batch.slice(start, step))
 
     def _take_block(self, block: pa.RecordBatch):
-        n = block.num_rows
         column = {name: block.column(name) for name in block.schema.names}
-        ids = column["item_id"].to_numpy(zero_copy_only=False)
         vectors = column["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64")
-        similarity = np.round(self._scaled(vectors.reshape(n, -1)) @ self.vectors, SCORE_DIGITS)
-        price = column["price"].cast(pa.float64()).to_numpy(zero_copy_only=False)
-        points = column["points"].cast(pa.float64()).to_numpy(zero_copy_only=False)
-        key, allowed = self._rank_keys(similarity, column, ids, price, points)
-
-        passing = allowed & (key >= self.floor)
-        if self.most < n and np.count_nonzero(passing) > 4 * self.most * self.count:
-            shown = np.where(allowed, key, -np.inf)
-            reached = np.partition(shown, n - self.most, axis=0)[n - self.most]
-            self.floor = np.maximum(self.floor, reached)
-            passing = allowed & (key >= self.floor)
-        row, query = np.nonzero(passing)
-        new = _Rows(query, ids[row], similarity[row, query], key[row, query], price[row], points[row])
-        self.kept = self.kept.plus(new).best(self.limit)
+        items = {
+            "item_id": column["item_id"].to_numpy(zero_copy_only=False),
+            "vectors": self._scaled(vectors.reshape(block.num_rows, -1)),
+            "price": column["price"].cast(pa.float64()).to_numpy(zero_copy_only=False),
+            "points": column["points"].cast(pa.float64()).to_numpy(zero_copy_only=False),
+            "variety": _coded(column["variety"]), "country": _coded(column["country"]),
+        }
+        if self.live:
+            items["cluster"] = pc.fill_null(column["cluster"].cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+        found = [self._scored(items, rows, queries) for rows, queries in self._meetings(items, block.num_rows)]
+        if not found:
+            return
+        self.kept = self.kept.plus(*found).best(self.limit)
         full = np.bincount(self.kept.query, minlength=self.count) == self.limit
         last = np.cumsum(np.bincount(self.kept.query, minlength=self.count)) - 1
         self.floor[full] = self.kept.key[last[full]]
 
-    def _rank_keys(self, similarity, column, ids, price, points):
-        key = similarity
-        allowed = np.ones(similarity.shape, dtype=bool)
-        if not self.rules:
-            return key, allowed
-        key = similarity.copy()
-        text_codes = {}
-        for name in ("variety", "country"):
-            coded = pc.dictionary_encode(column[name].cast(pa.string()))
-            values = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
-            codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
-            text_codes[name] = (codes, values)
-        for q, rule in self.rules.items():
-            ok = allowed[:, q]
-            if "price_min" in rule:
-                ok &= price >= rule["price_min"]
-            if "price_max" in rule:
-                ok &= price <= rule["price_max"]
-            if "min_points" in rule:
-                ok &= points >= rule["min_points"]
-            for name, (codes, values) in text_codes.items():
-                if name in rule:
-                    ok &= codes == values.get(rule[name], -2)
-            if "exclude_id" in rule:
-                ok &= ids != rule["exclude_id"]
-            if "sort_by" in rule:
-                value = price if rule["sort_by"] == "price" else points
-                signed = -value if rule.get("ascending") else value
-                key[:, q] = np.where(np.isnan(value), -np.inf, signed)
-        return key, allowed
+    def _meetings(self, items, n: int):
+        """Which rows are scored for which queries: those of a pool, and of clusters that a query wants."""
+        for rule, queries in self.pools:
+            rows = np.flatnonzero(_meets(items, rule)) if rule else np.arange(n)
+            if not len(rows):
+                continue
+            if not self.live:
+                yield rows, queries
+                continue
+            of = items["cluster"][rows]
+            for c in np.unique(of).tolist():
+                wanting = queries[self.live.get(c, self.anywhere)[queries]]
+                if len(wanting):
+                    yield rows[of == c], wanting
+
+    def _scored(self, items, rows: np.ndarray, queries: np.ndarray) -> "_Rows":
+        """The rows that may be among the best of some of the queries."""
+        everything = len(rows) == len(items["vectors"])
+        vectors = items["vectors"] if everything else items["vectors"][rows]
+        asked = self.vectors if len(queries) == self.count else self.vectors[:, queries]
+        similarity = np.round(vectors @ asked, SCORE_DIGITS)
+        self.cells += similarity.size
+        ids, price, points = items["item_id"][rows], items["price"][rows], items["points"][rows]
+        key, barred = similarity, []
+        if self.orders or self.excluded:
+            for at, q in enumerate(queries.tolist()):
+                if q in self.orders:
+                    name, ascending = self.orders[q]
+                    value = price if name == "price" else points
+                    key = similarity.copy() if key is similarity else key
+                    key[:, at] = np.where(np.isnan(value), -np.inf, -value if ascending else value)
+                if q in self.excluded:
+                    barred += [(row, at) for row in np.flatnonzero(ids == self.excluded[q]).tolist()]
+
+        def passing():
+            good = key >= self.floor[queries]
+            for row, at in barred:
+                good[row, at] = False
+            return good
+
+        good = passing()
+        n = len(rows)
+        if self.most < n and np.count_nonzero(good) > 4 * self.most * len(queries):
+            shown = key.copy()
+            for row, at in barred:
+                shown[row, at] = -np.inf
+            reached = np.partition(shown, n - self.most, axis=0)[n - self.most]
+            self.floor[queries] = np.maximum(self.floor[queries], reached)
+            good = passing()
+        row, at = np.nonzero(good)
+        return _Rows(queries[at], ids[row], similarity[row, at], key[row, at], price[row], points[row])
 
     def result(self, schema: pa.Schema, passed) -> pa.RecordBatch:
         kept = self.kept
@@ -351,8 +434,8 @@ class _Rows:
         kinds = ("int64", "int64", "float64", "float64", "float64", "float64")
         return cls(*[np.empty(0, dtype=k) for k in kinds])
 
-    def plus(self, other: "_Rows") -> "_Rows":
-        return _Rows(*[np.concatenate([getattr(self, n), getattr(other, n)]) for n in self.NAMES])
+    def plus(self, *others: "_Rows") -> "_Rows":
+        return _Rows(*[np.concatenate([getattr(r, n) for r in (self, *others)]) for n in self.NAMES])
 
     def best(self, limit: np.ndarray) -> "_Rows":
         order = np.lexsort((self.item, -self.similarity, -self.key, self.query))

@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.operators.filters import ID_SPAN, with_id_span
+from shelfwise.operators.filters import ID_SPAN, VALUE_KEYS, with_id_span, with_value_keys
 from shelfwise.operators.resolve import all_known_values
 from shelfwise.plans.recommend import Recommender
 from shelfwise.sources import catalogue as files
@@ -19,7 +19,8 @@ def build_model(catalogue: DataFrame, encoder, directory: str, model_name: str)
     """Write the catalogue, its vectors, both in one table, and the manifest.
 
     The joint table is what a request batch scans. It is stored by spans of ids,
-    so that looking up a few items reads a few spans. Each part is read back from
+    so that looking up a few items reads a few spans, and within a span by
+    variety, country and price, so that a batch that bounds them skips pages. Each part is read back from
     what was written, so the texts are encoded once.
     """
     spark = catalogue.sparkSession
@@ -32,8 +33,9 @@ def build_model(catalogue: DataFrame, encoder, directory: str, model_name: str)
 def build_items(items: DataFrame, directory: str, model_name: str = "given") -> None:
     """Write what serving needs from a catalogue that has its vectors: items by span, vectors, manifest, known values."""
     spark = items.sparkSession
-    joint = with_id_span(items.withColumn("embedding", items["embedding"].cast("array<float>")))
-    by_span = joint.repartition(ID_SPAN).sortWithinPartitions(ID_SPAN, "item_id")
+    joint = with_value_keys(with_id_span(items.withColumn("embedding", items["embedding"].cast("array<float>"))))
+    clustered = [c for c in (*VALUE_KEYS.values(), "price", "item_id") if c in joint.columns]
+    by_span = joint.repartition(ID_SPAN).sortWithinPartitions(ID_SPAN, *clustered)
     by_span.write.mode("overwrite").partitionBy(ID_SPAN).parquet(f"{directory}/items")
     stored = files.read_catalogue(spark, f"{directory}/items")
     files.write_vectors(stored, f"{directory}/vectors")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.vectors import blend
 from shelfwise.operators.filters import (
-    ID_SPAN, any_filter, bounded_broadcast, merge_filters, normalize_filters, with_ids,
+    any_filter, bounded_broadcast, item_columns, merge_filters, normalize_filters, with_ids,
 )
 from shelfwise.operators.knn import loosest_bounds, score_partitions, within_bounds
 from shelfwise.operators.resolve import all_known_values, parse_requests, resolve_items
@@ -60,10 +60,10 @@ class Recommender:
 
         queries = self.query_vectors(parsed, n)
         scored = score_partitions(
-            within_bounds(self.items, asked), queries, (n, fetch), carry=("top_k", "drop_id", "then_by", "then_ascending")
+            within_bounds(self.items, asked, parsed, active), queries, (n, fetch), carry=("top_k", "drop_id", "then_by", "then_ascending")
         )
         ranked = rerank(scored)
-        shown = [c for c in self.items.columns if c not in ("embedding", ID_SPAN)]
+        shown = [c for c in item_columns(self.items) if c != "embedding"]
         found = with_ids(self.items.drop("embedding"), ranked.withColumnRenamed("query_id", "request"), n * top_k)
         callers = bounded_broadcast(intake.select("request", "query_id"), n)
         return found.join(callers, "request").select("request", "query_id", "rank", *shown, "similarity")
