@@ -19,8 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from shelfwise.llm.repeats import Windows, merged, repeated_spans, with_spans
+from shelfwise.llm.common import small_batches, stored
+from shelfwise.llm.repeats import (
+    Windows, all_pieces, fetched, merged, one_each, piece_texts, repeated_spans, window_hashes, with_spans,
+)
 
 LENGTH = 400
 BYTES = Windows(length=LENGTH, gram=32, words=False, most=2000)
@@ -200,3 +204,83 @@ def dedup_suffixes(docs: DataFrame, spec: Windows = BYTES) -> DataFrame:
     return rows.mapInArrow(
         cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
+
+
+def _groups_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal repeats among the pieces of an anchor: a row per group and different piece that holds it.
+
+    A piece that stands more than once is laid in twice, so that it repeats itself.
+    """
+    held, size, anchor = [], 0, None
+    names = ["anchor", "key", "at", "group", "length", "offset"]
+
+    def flushed():
+        owners = [i for i, row in enumerate(held) for _ in range(min(row[3], 2))]
+        found = []
+        for length, places in repeats_in([held[i][4] for i in owners], LENGTH):
+            own = sorted({(owners[p], at) for p, at in places})
+            for i, at in own:
+                a, key, start, _, _ = held[i]
+                first = held[own[0][0]]
+                name = hashlib.blake2b(repr((a, length, first[1], first[2], own[0][1])).encode(), digest_size=8).digest()
+                found.append((a, key, start, int.from_bytes(name, "big", signed=True), length, at))
+        columns = zip(*found) if found else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    for batch in batches:
+        for a, _, key, at, _, n, text in zip(*[c.to_pylist() for c in batch.columns]):
+            if a != anchor and size >= SHARD_BYTES:
+                yield flushed()
+                held, size = [], 0
+            anchor = a
+            held.append((a, key, at, n, text))
+            size += len(text)
+    if held:
+        yield flushed()
+
+
+def repeat_groups(docs: DataFrame, spec: Windows = BYTES) -> DataFrame:
+    """Repeated strings with all the places where they stand: ``group, length, doc_id, key, at``, a row per place.
+
+    The groups are the maximal repeats of each shard, copies expanded to every
+    place. A longer repeat is given in the parts that its anchors cut it into.
+    An anchor with more than ``spec.most`` different pieces gives its repeated
+    windows as groups. The places of all groups cover exactly what
+    ``dedup_suffixes`` removes; repeated rows count as one document.
+    """
+    with small_batches(docs.sparkSession):
+        return _repeat_groups(docs, spec)
+
+
+def _repeat_groups(docs: DataFrame, spec: Windows) -> DataFrame:
+    one = one_each(docs)
+    occurring = stored(all_pieces(one, spec), "groups-pieces")
+    counts = occurring.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = stored(occurring.join(counts, "anchor").drop("times"), "groups-shared")
+    first = F.min(F.struct("doc_id", "key", "at", "more")).alias("first")
+    different = stored(shared.groupBy("anchor", "piece").agg(first, F.count(F.lit(1)).alias("n")), "groups-different")
+    met = stored(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("met")), "groups-met")
+    pieces = F.collect_list(F.struct("anchor", "at", "more", "n")).alias("pieces")
+    cold = different.join(met.where(F.col("met") <= spec.most), "anchor").select("anchor", "piece", "first.*", "n")
+    texts = piece_texts(fetched(one, stored(cold.groupBy("key").agg(pieces), "groups-wanted")), spec)
+    by_anchor = texts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "at")
+    with small_batches(docs.sparkSession, 4096):
+        found = stored(by_anchor.mapInArrow(
+            _groups_in, "anchor bigint, key bigint, at bigint, group bigint, length bigint, offset bigint"
+        ), "groups-found")
+    held = found.join(cold.select("anchor", "key", "at", "piece"), ["anchor", "key", "at"]).select(
+        "anchor", "piece", "group", "length", "offset"
+    )
+    places = shared.join(held, ["anchor", "piece"]).select(
+        "group", "length", "doc_id", "key", (F.col("at") + F.col("offset")).alias("at")
+    )
+    hot = met.where(F.col("met") > spec.most)
+    if hot.isEmpty():
+        return places
+    every = shared.join(hot, "anchor").withColumn("n", F.lit(1).cast("bigint"))
+    windows = stored(window_hashes(fetched(one, stored(every.groupBy("key").agg(pieces), "groups-hot")), spec), "groups-windows")
+    often = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    more = windows.join(often, ["anchor", "window"]).select(
+        F.xxhash64("anchor", "window").alias("group"), F.lit(spec.length).cast("bigint").alias("length"), "doc_id", "key", "at"
+    )
+    return places.unionByName(more)

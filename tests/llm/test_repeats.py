@@ -155,3 +155,34 @@ def test_suffix_array_and_maximal_repeats():
         assert got == want
     order, common = suffixes.enhanced_suffix_array(np.zeros(5, np.int64) + 1, 0, 8)
     assert order.tolist() == [4, 3, 2, 1, 0] and common.tolist() == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("most", [2000, 3])
+def test_groups_list_every_place(spark, most):
+    rows = CASES[0]
+    docs = small_table(spark, KINDS, rows)
+    found = suffixes.repeat_groups(docs, replace(suffixes.BYTES, most=most)).collect()
+    texts = {i: t.encode() for _, i, t in order_of(rows)}
+    groups = defaultdict(set)
+    for r in found:
+        groups[r.group, r.length].add((r.doc_id, r.at))
+    assert len(found) == sum(map(len, groups.values())) and groups
+    strings = set()
+    for (_, length), places in groups.items():
+        i, at = min(places)
+        string = texts[i][at : at + length]
+        every = {(i, k) for i, t in texts.items() for k in range(len(t) - length + 1) if t.startswith(string, k)}
+        assert len(string) == length >= 400 and places == every
+        strings.add(string)
+    assert len(strings) == len(groups)
+    assert most < 2000 or any(length > 400 for _, length in groups)
+    gone = defaultdict(set)
+    for (_, length), places in groups.items():
+        for i, at in places:
+            gone[i] |= set(range(at, at + length))
+    want = {r[0]: r[2] for r in brute_bytes(rows)}
+    assert {i: len(gone[i]) for i in texts} == {i: want[i] for i in texts}
+
+
+def test_no_groups(spark):
+    assert suffixes.repeat_groups(no_docs(spark)).count() == 0
