@@ -34,6 +34,14 @@ def _(spark, sf):
     return docs.select("doc_id", text.repair_encoding("text").alias("text"))
 
 
+# The damage of a Windows decode: the bytes from 80 to 9F become its signs, the five it lacks stay control codes.
+@query("b2_repair_windows_encoding", "SELECT doc_id, text FROM documents")
+def _(spark, sf):
+    misread = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), text._C1, text._CP1252)
+    docs = spread(table(spark, sf, "documents")).select("doc_id", misread.alias("text"))
+    return docs.select("doc_id", text.repair_encoding("text").alias("text"))
+
+
 @query("b2_repair_typography", f"SELECT src_row, {q.repair_typography('description')} AS description FROM ({RAW_SQL})")
 def _(spark, sf):
     return raw(spark, sf, wide=True).select("src_row", text.repair_typography("description").alias("description"))
@@ -44,6 +52,19 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.drop_unencodable("html").alias("html"))
 
 
+# Bytes that are not UTF-8 before, within and after each page: a stray one, an overlong start, half a character.
+@query("b3_drop_bad_bytes", "SELECT page_id, html FROM pages")
+def _(spark, sf):
+    pages = table(spark, sf, "pages")
+    half = (F.length("html") / 2).cast("int")
+    first = F.substring("html", F.lit(1), half)
+    rest = F.substring("html", half + 1, F.length("html"))
+    bad = [F.unhex(F.lit(h)) for h in ("FF80", "C0", "E282")]
+    parts = [bad[0], first.cast("binary"), bad[1], rest.cast("binary"), bad[2]]
+    damaged = pages.select("page_id", F.concat(*parts).cast("string").alias("html"))
+    return damaged.select("page_id", text.drop_unencodable("html").alias("html"))
+
+
 _STRINGS = TEXT_COLUMNS
 
 
