@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of 64 words, each overlapping the next by half, of the whole
+A block is a window of words, each overlapping the next by half, of the whole
 text whatever its line breaks (``whole_texts``), or of a single line. It meets a
 template when it holds at least ``THRESHOLD`` of the template's distinct words.
-Every template of up to 33 words lies whole in some window.
+Windows follow the templates: 64 words for templates of up to 32, and for longer
+ones twice the next power of two, so that every template lies whole in some
+window. Templates of one such size class are searched for together.
 
 Words of the templates are ordered by their frequency in all texts, rarest
 first. With n words in a template and ``need`` of them wanted, a block that meets
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import row_key
 from shelfwise.session import small_table
 
-THRESHOLD, BLOCK, STRIDE = 0.8, 64, 32
+THRESHOLD, STRIDE = 0.8, 32
+BLOCK = 2 * STRIDE
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # of lower-cased text
 RAW_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -76,26 +79,45 @@ def mentions(low: Column, words) -> Column:
     return found
 
 
+def stride_of(template: str) -> int:
+    """Half the window that a template is looked for in: at least its length, and ``STRIDE``, a power of two."""
+    stride = STRIDE
+    while stride < len(template.split()):
+        stride *= 2
+    return stride
+
+
 def template_matches(
     docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, whole_texts: bool = False
 ) -> DataFrame:
     """Every block that meets a template: ``key, line, block, template, label, containment``.
 
-    Blocks are cut from whole texts, as line 0, or line by line.
+    Blocks are cut from whole texts, as line 0, or line by line; they are numbered within a size class.
     """
+    ranks = word_ranks(docs, sorted({w for _, text in templates for w in text.split()}))
+    found = None
+    for stride in sorted({stride_of(text) for _, text in templates}):
+        own = {i: template for i, template in enumerate(templates) if stride_of(template[1]) == stride}
+        matches = _class_matches(docs, own, ranks, stride, threshold, whole_texts)
+        found = matches if found is None else found.unionByName(matches)
+    return found
+
+
+def _class_matches(
+    docs: DataFrame, templates: dict[int, tuple[str, str]], ranks: dict[str, int], stride: int, threshold: float, whole_texts: bool
+) -> DataFrame:
+    """The matches of templates, by their number, that share a window of twice ``stride`` words."""
     spark = docs.sparkSession
-    sets = [sorted(set(text.split())) for _, text in templates]
-    ranks = word_ranks(docs, sorted({w for s in sets for w in s}))
-    ordered = [sorted(ranks[w] for w in s) for s in sets]
-    least = min(needed(len(s), threshold) for s in sets)
+    ordered = {i: sorted({ranks[w] for w in text.split()}) for i, (_, text) in templates.items()}
+    least = min(needed(len(t), threshold) for t in ordered.values())
     index = [
         (rank, i, place, len(t), needed(len(t), threshold))
-        for i, t in enumerate(ordered) for place, rank in enumerate(t[: len(t) - needed(len(t), threshold) + 1])
+        for i, t in ordered.items() for place, rank in enumerate(t[: len(t) - needed(len(t), threshold) + 1])
     ]
     by_rank = {r: w for w, r in ranks.items()}
     prefixes = small_table(spark, "rank int, template int, place int, n int, need int", index)
     bodies = small_table(
-        spark, "template int, label string, ranks array<int>", [(i, templates[i][0], t) for i, t in enumerate(ordered)]
+        spark, "template int, label string, ranks array<int>", [(i, templates[i][0], t) for i, t in ordered.items()]
     )
     ranked = F.create_map(*[F.lit(x) for pair in sorted(ranks.items()) for x in pair])
 
@@ -111,10 +133,10 @@ def template_matches(
         return F.when(w.isin(list(ranks)), F.element_at(F.lit(ranked), w))
 
     lines = lines.select("key", "line", F.transform(words_of(F.col("low")), rank_of).alias("words"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - STRIDE - 1, F.lit(0)), F.lit(STRIDE))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - stride - 1, F.lit(0)), F.lit(stride))
     blocks = (
         lines.select("key", "line", "words", F.explode(starts).alias("start"))
-        .select("key", "line", (F.col("start") / STRIDE).cast("int").alias("block"), F.slice("words", F.col("start") + 1, BLOCK).alias("words"))
+        .select("key", "line", (F.col("start") / stride).cast("int").alias("block"), F.slice("words", F.col("start") + 1, 2 * stride).alias("words"))
         .select("key", "line", "block", F.array_sort(F.array_distinct(F.array_compact("words"))).alias("held"))
         .where(F.size("held") >= least)
     )

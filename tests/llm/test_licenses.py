@@ -77,3 +77,19 @@ def test_wrapped_headers(spark):
     assert got == sorted((whole_brute(*r) for r in rows), key=repr)
     found = {r[0]: r[-2:] for r in got}
     assert [found[len(TEXTS) + k] for k in range(3)] == [("bsd", 1.0), ("gpl", 1.0), ("mit", 1.0)]
+
+
+def test_long_templates_lie_whole_in_some_window(spark):
+    long = {n: " ".join(f"t{n}w{i}" for i in range(n)) for n in (20, 33, 40, 64, 65, 300)}
+    templates = [(f"l{n}", text) for n, text in long.items()]
+    assert [licenses.stride_of(t) for t in long.values()] == [32, 64, 64, 64, 128, 512]
+    rows = []
+    for n, text in long.items():
+        for before in (0, 1, 31, 33, 63, 100, 127, 500):
+            rows.append((len(rows), " ".join(["other"] * before + [text] + ["words"] * (before % 7)).replace(" ", "\n"), f"l{n}", 1.0))
+        parts = text.split()
+        rows.append((len(rows), " ".join(parts[: -(-4 * n // 5)]), f"l{n}", -(-4 * n // 5) / n))
+        rows.append((len(rows), " ".join(parts[: 4 * n // 5 - 1]), "", 0.0))
+    docs = small_table(spark, "doc_id long, text string", [r[:2] for r in rows])
+    found = licenses.scan_licenses(docs, templates, whole_texts=True).select("doc_id", "labels", "score")
+    assert rows_of(found) == sorted([(i, label, score) for i, _, label, score in rows], key=repr)
