@@ -138,3 +138,81 @@ chain AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM ch
 ends AS (SELECT c.word, c.at AS root FROM chain c JOIN f ON f.word = c.at WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
 """
+
+
+def xxh64(name: str, source: str) -> str:
+    """CTEs that end in ``name`` (``id, h``): XXH64 of hexadecimal ``x`` under ``seed``, in 128-bit numbers cut to 64 bits."""
+    # The five primes of XXH64.
+    primes = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in primes)
+    whole = (1 << 64) - 1
+    cut = lambda x: f"(({x}) & {whole}::UHUGEINT)"
+    times = lambda x, y: cut(f"({x}) * {y}")
+    turned = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {whole}::UHUGEINT)"
+    mixed = lambda acc, lane: times(turned(cut(f"{acc} + {times(lane, p2)}"), 31), p1)
+    number = lambda at, n: " + ".join(f"b[{at} + {j + 1}] * {1 << 8 * j}::UHUGEINT" for j in range(n))
+    starts = (f"seed + {p1} + {p2}", f"seed + {p2}", "seed", f"seed + {(1 << 64) - primes[0]}::UHUGEINT")
+    lanes = ", ".join(
+        f"list_reduce(list_concat([{cut(v)}], lanes[{j + 1}:4 * (n // 32):4]), lambda a, k: {mixed('a', 'k')}) AS v{j}"
+        for j, v in enumerate(starts)
+    )
+    joined = cut(" + ".join(turned(f"v{j}", r) for j, r in enumerate((1, 7, 12, 18))))
+    for j in range(4):
+        joined = cut(f"{times(f'xor({joined}, {mixed('0::UHUGEINT', f'v{j}')})', p1)} + {p4}")
+    eights = cut(f"{times(turned(f'xor(h, {mixed("0::UHUGEINT", "k")})', 27), p1)} + {p4}")
+    four = cut(f"{times(turned(f'xor(h, {times(number("8 * (n // 8)", 4), p1)})', 23), p2)} + {p3}")
+    ones = times(turned(f"xor(h, {times('k', p5)})", 11), p1)
+    return f"""
+{name}_b AS (SELECT id, CAST(seed AS UHUGEINT) AS seed, length(x) // 2 AS n,
+  list_transform(regexp_extract_all(x, '..'), lambda y: CAST('0x' || y AS UHUGEINT)) AS b FROM ({source})),
+{name}_l AS (SELECT *, list_transform(range(0, n // 8), lambda i: {number("8 * i", 8)}) AS lanes FROM {name}_b),
+{name}_v AS (SELECT *, {lanes} FROM {name}_l),
+{name}_0 AS (SELECT id, n, b, lanes, CASE WHEN n >= 32 THEN {joined} ELSE seed + {p5} END + n::UHUGEINT AS h FROM {name}_v),
+{name}_1 AS (SELECT id, n, b, list_reduce(list_concat([{cut("h")}], lanes[4 * (n // 32) + 1:]), lambda h, k: {eights}) AS h FROM {name}_0),
+{name}_2 AS (SELECT id, n, b, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM {name}_1),
+{name}_3 AS (SELECT id, list_reduce(list_concat([h], b[n - n % 4 + 1:]), lambda h, k: {ones}) AS h FROM {name}_2),
+{name}_4 AS (SELECT id, {times("xor(h, h >> 33)", p2)} AS h FROM {name}_3),
+{name}_5 AS (SELECT id, {times("xor(h, h >> 29)", p3)} AS h FROM {name}_4),
+{name} AS MATERIALIZED (SELECT id, CAST(xor(h, h >> 32) AS UBIGINT) AS h FROM {name}_5)"""
+
+
+# bits of shingle hashes by majority; pairs of fingerprints, and what is reachable
+SIMHASH = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM d),
+g AS (SELECT doc_id, n, k, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS shingle FROM w),
+s AS MATERIALIZED (SELECT doc_id, shingle, count(*) AS times FROM g WHERE k <= greatest(n - 2, 1) GROUP BY 1, 2),
+{xxh64("hashed", "SELECT shingle AS id, hex(encode(shingle)) AS x, 42 AS seed FROM (SELECT DISTINCT shingle FROM s)")},
+bit(mask) AS (VALUES {", ".join(f"({1 << i}::UBIGINT)" for i in range(64))}),
+votes AS (SELECT doc_id, mask FROM s JOIN hashed ON id = shingle, bit
+  GROUP BY 1, 2 HAVING 2 * sum(CASE WHEN h & mask > 0 THEN times ELSE 0 END) > sum(times)),
+f AS MATERIALIZED (SELECT d.doc_id, coalesce(bit_or(mask), 0::UBIGINT) AS fp FROM d LEFT JOIN votes USING (doc_id) GROUP BY 1),
+m AS MATERIALIZED (SELECT fp, min(doc_id) AS first FROM f GROUP BY 1),
+e AS MATERIALIZED (SELECT a.fp, b.fp AS other FROM m a, m b WHERE a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 3),
+r AS (SELECT fp, fp AS other FROM m UNION SELECT r.fp, e.other FROM r JOIN e ON e.fp = r.other),
+c AS (SELECT r.fp, min(m.first) AS component_id FROM r JOIN m ON m.fp = r.other GROUP BY 1)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM f JOIN c USING (fp)
+"""
+
+# a source's words in hashed order, gone round until its target is taken; sources that stop early are found one a step
+MIXING = rf"""
+WITH RECURSIVE {xxh64("h1", "SELECT 0 AS id, hex(encode('mix')) AS x, 42 AS seed")},
+{xxh64("h2", """SELECT doc_id AS id, array_to_string(list_transform(range(15, 0, -2), lambda i: y[i:i + 1]), '') AS x, h AS seed
+  FROM (SELECT doc_id, lpad(to_hex(doc_id), 16, '0') AS y FROM documents WHERE doc_id IS NOT NULL), h1""")},
+{xxh64("h3", "SELECT doc_id AS id, hex(encode(text)) AS x, h AS seed FROM documents JOIN h2 ON id = doc_id WHERE text IS NOT NULL")},
+d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, coalesce(h3.h, h2.h) AS place
+  FROM documents LEFT JOIN h2 ON h2.id = doc_id LEFT JOIN h3 ON h3.id = doc_id),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS nth FROM d GROUP BY 1),
+w AS MATERIALIZED (SELECT source, source_size, [5, 2, 1][nth + 1] AS weight FROM s),
+step AS (SELECT 0 AS k, CAST(NULL AS DOUBLE) AS before, CAST((SELECT sum(source_size) FROM w) AS BIGINT) / (SELECT sum(weight) FROM w) AS level
+  UNION ALL
+  SELECT k + 1, level, (SELECT CAST(sum(source_size) - coalesce(sum(3 * source_size) FILTER (3 * source_size <= weight * step.level), 0) AS BIGINT)
+    / nullif(coalesce(sum(weight) FILTER (3 * source_size > weight * step.level), 0), 0) FROM w)
+  FROM step WHERE level IS DISTINCT FROM before AND level IS NOT NULL),
+t AS (SELECT w.*, CASE WHEN 3 * source_size > weight * l THEN weight * l ELSE CAST(3 * source_size AS DOUBLE) END AS target
+  FROM w, (SELECT max(level) AS l FROM step)),
+o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
+    CAST(round(target) AS BIGINT) // source_size * size + least(greatest(CAST(round(target) AS BIGINT) % source_size - start, 0), size) END AS BIGINT) AS taken
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+"""

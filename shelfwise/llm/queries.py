@@ -54,7 +54,7 @@ def op4_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
 
-@query("op6_mixing")
+@query("op6_mixing", checksql.MIXING)
 def op6_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -74,7 +74,7 @@ def op5_quality_rules(spark, sf_dir):
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op8_simhash")
+@query("op8_simhash", checksql.SIMHASH)
 def op8_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
