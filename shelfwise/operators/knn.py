@@ -4,7 +4,8 @@ Items are never shuffled and pairs are never written out: each task scores its
 own Arrow batches against the query batch with one matrix product and keeps the
 best rows per query, so a task sends at most ``fetch`` rows per query to the
 final ranking. A query batch beyond the bound of one pass meets the items block
-by block, through one shuffle.
+by block, through one shuffle that deals blocks of items and groups of queries to
+tasks of bounded work.
 """
 
 import math
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfwise.operators.filters import VALUE_KEYS, strip_lower
-from shelfwise.operators.payload import on_first_row, packed
+from shelfwise.operators.payload import ROW_BITS, on_first_row, packed
 from shelfwise.schemas import FILTERS
 from shelfwise.session import checkpointed
 
@@ -30,6 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PASS_QUERIES = 4096  # queries scored in one pass over the items
 PASS_ROWS = 1 << 21  # rows kept per task and pass: queries x fetch
 BLOCK_BYTES = 64 << 20  # vectors of the items that a task holds, where queries are too many for one pass
+QUERY_BYTES = 64 << 20  # vectors of the queries that are streamed past them
+TASK_PRODUCTS = 1 << 37  # products of two numbers in a task: some 46,000 items by as many queries of 64 numbers
 CHUNK_QUERIES = 1024  # queries that meet a block of items at once
 BLOCK_CELLS = 1 << 22  # scores held at once in a task
 SCORE_DIGITS = 12  # equal vectors must tie whatever block they fall in
@@ -78,6 +81,7 @@ def score_partitions(
     cosine: bool = False,
 ) -> DataFrame:
     """Per task and query, the best ``fetch`` rows; ``carry`` query columns ride along."""
+    by_cluster = "clusters" in queries.columns
     queries = _complete_queries(queries, carry)
     if size is None:
         pool = F.struct(*_BOUNDS, *VALUE_KEYS)
@@ -87,7 +91,7 @@ def score_partitions(
     n, fetch = size
     if n <= min(pass_queries, PASS_ROWS // max(fetch, 1)):
         return _one_pass(items, queries, carry, cosine)
-    return _block_join(items, queries, fetch, carry, cosine)
+    return _block_join(items, queries, fetch, carry, cosine, by_cluster)
 
 
 # Which item column a filter bounds, the loosest of several bounds, and the test.
@@ -200,50 +204,72 @@ def _one_pass(items: DataFrame, queries: DataFrame, carry, cosine: bool) -> Data
     return rows.mapInArrow(run, schema)
 
 
-def _block_join(items: DataFrame, queries: DataFrame, fetch: int, carry, cosine: bool) -> DataFrame:
-    """Any number of queries in one plan: blocks of items, each met by all queries, a chunk of them at a time.
+def _cut(items: int, queries: int, dim: int) -> tuple[int, int]:
+    """Into how many blocks the items and how many groups the queries are cut, so that no task does or holds more than its bound."""
+    cells = max(1, TASK_PRODUCTS // dim)
+    rows = max(1, min(BLOCK_BYTES // (8 * dim), max(math.isqrt(cells), cells // max(queries, 1))))
+    blocks = max(1, math.ceil(items / rows))
+    asked = max(1, min(QUERY_BYTES // (8 * dim), cells // max(1, min(rows, items))))
+    return blocks, max(1, math.ceil(queries / asked))
 
-    Items are shuffled once, into as many blocks as keep a block's vectors
-    within ``BLOCK_BYTES``. The queries are laid in chunks, and every block gets
-    a copy of each. A task holds the items of one block and streams the chunks
-    past them, so its memory does not grow with either side.
+
+def _block_join(items: DataFrame, queries: DataFrame, fetch: int, carry, cosine: bool, by_cluster: bool) -> DataFrame:
+    """Any number of queries in one plan: blocks of items, each met by groups of queries, a chunk of them at a time.
+
+    The queries are laid in chunks and the chunks in groups; a task has one block
+    and one group. It holds the items of the block and streams the chunks past
+    them. ``_cut`` bounds what a task holds, reads and computes, so with both
+    sides grows the number of tasks, not a task. Every block is sent once for each
+    group and every group once for each block. Queries that name clusters are laid
+    by them, and so are the items of a block, so that a chunk wants few stretches of a block.
     """
-    numbered = checkpointed(queries.withColumn("_n", F.monotonically_increasing_id()))
-    dim = numbered.agg(F.max(F.size("vector"))).first()[0] or 1
-    blocks = max(1, math.ceil(items.count() * dim * 8 / BLOCK_BYTES))
+    laid = queries.orderBy("clusters", F.xxhash64("query_id")) if by_cluster else queries
+    numbered = checkpointed(laid.withColumn("_n", F.monotonically_increasing_id()))
+    n, dim = numbered.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks, groups = _cut(items.count(), n, dim or 1)
     size = max(1, min(CHUNK_QUERIES, PASS_ROWS // max(fetch, 1)))
     row = F.struct(*[F.col(c) for c in queries.columns])
     # ids count up within a partition, so a chunk has ``size`` queries at most
-    chunks = numbered.groupBy(F.floor(F.col("_n") / size).alias("chunk")).agg(F.collect_list(row).alias("queries"))
+    part, nth = F.shiftright("_n", ROW_BITS), F.col("_n").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    chunks = numbered.groupBy(part.alias("part"), F.floor(nth / size).alias("nth")).agg(F.collect_list(row).alias("queries"))
+    group = F.pmod(F.col("part") + F.col("nth"), F.lit(groups))
+
+    def each(count: int):
+        return F.explode(F.expr(f"sequence(0L, {count - 1}L)"))
+
     held = items.where("embedding is not null").select(
-        F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"), F.lit(None).cast("long").alias("chunk"), *_item_columns(items),
+        (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) * groups).alias("_first"), F.lit(None).cast("long").alias("chunk"), *_item_columns(items),
+    ).withColumn("_group", each(groups)).withColumn("cell", (F.col("_first") + F.col("_group")).cast("int")).drop("_first", "_group")
+    chunk = F.shiftleft("part", ROW_BITS) + F.col("nth")
+    sent = chunks.select(each(blocks).alias("block"), group.alias("group"), chunk.alias("chunk"), "queries").select(
+        (F.col("block") * groups + F.col("group")).cast("int").alias("cell"), "chunk", "queries",
     )
-    sent = chunks.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), "chunk", "queries")
     both = held.unionByName(sent, allowMissingColumns=True)
-    met = both.repartition(blocks, "block").sortWithinPartitions("block", F.asc_nulls_first("chunk"))
+    # a hash would deal two cells to one task
+    met = both.repartitionById(blocks * groups, F.col("cell")).sortWithinPartitions("cell", F.asc_nulls_first("chunk"), "cluster")
     schema = _result_schema(queries, carry)
     passed = ("fetch", *carry)
     arrow_schema = to_arrow_schema(schema)
 
     def run(batches):
-        block, rows = None, []
+        cell, rows = None, []
         for batch in batches:
-            blocks_of = batch.column("block").to_numpy()
+            cells_of = batch.column("cell").to_numpy()
             is_query = pc.is_valid(batch.column("chunk")).to_numpy(zero_copy_only=False)
-            change = (blocks_of[1:] != blocks_of[:-1]) | is_query[1:] | is_query[:-1]
+            change = (cells_of[1:] != cells_of[:-1]) | is_query[1:] | is_query[:-1]
             cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
             for start, end in zip(cuts[:-1], cuts[1:]):
                 if start == end:
                     continue
-                if blocks_of[start] != block:
-                    block, rows = blocks_of[start], []
+                if cells_of[start] != cell:
+                    cell, rows = cells_of[start], []
                 part = batch.slice(start, end - start)
                 if not is_query[start]:
-                    rows.append(part)
+                    rows.append(_prepared(part, cosine))
                 elif rows:
                     best = _Best(part.column("queries").flatten(), cosine)
                     for items_of in rows:
-                        best.take(items_of)
+                        best.take_items(items_of)
                     yield best.result(arrow_schema, passed)
 
     return met.mapInArrow(run, schema)
@@ -275,6 +301,33 @@ def _meets(items, rule) -> np.ndarray:
     return good
 
 
+def _scaled(vectors: np.ndarray, cosine: bool) -> np.ndarray:
+    if not cosine:
+        return vectors
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(lengths > 0, lengths, 1.0)
+
+
+def _prepared(batch: pa.RecordBatch, cosine: bool) -> dict:
+    """The columns of items as arrays, made once however many queries meet them; all have a vector."""
+    column = {name: batch.column(name) for name in batch.schema.names}
+    vectors = column["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64")
+    items = {
+        "item_id": column["item_id"].to_numpy(zero_copy_only=False),
+        "vectors": _scaled(vectors.reshape(batch.num_rows, -1), cosine),
+        "price": column["price"].cast(pa.float64()).to_numpy(zero_copy_only=False),
+        "points": column["points"].cast(pa.float64()).to_numpy(zero_copy_only=False),
+        "variety": _coded(column["variety"]), "country": _coded(column["country"]),
+    }
+    if "cluster" in column:
+        items["cluster"] = pc.fill_null(column["cluster"].cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+    return items
+
+
+def _stretch(items: dict, start: int, end: int) -> dict:
+    return {n: (v[0][start:end], v[1]) if isinstance(v, tuple) else v[start:end] for n, v in items.items()}
+
+
 class _Best:
     """The best rows so far for each query of one task."""
 
@@ -285,7 +338,7 @@ class _Best:
         if not self.count:
             return
         self.vectors = queries.field("vector").flatten().to_numpy(zero_copy_only=False)
-        self.vectors = self._scaled(self.vectors.reshape(self.count, -1)).T
+        self.vectors = _scaled(self.vectors.reshape(self.count, -1), cosine)
         self.limit = queries.field("fetch").to_numpy(zero_copy_only=False)
         self.most = int(self.limit.max())
         columns = {name: queries.field(name).to_pylist() for name in ("exclude_id", "sort_by", "ascending", *_POOL)}
@@ -302,12 +355,6 @@ class _Best:
         self.floor = np.full(self.count, -np.inf)
         self.kept = _Rows.empty()
 
-    def _scaled(self, vectors: np.ndarray) -> np.ndarray:
-        if not self.cosine:
-            return vectors
-        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return vectors / np.where(lengths > 0, lengths, 1.0)
-
     def _live(self, clusters: pa.ListArray) -> dict:
         """Per cluster that some query names, which queries want it: those that name it, and those that name none."""
         if clusters.null_count == len(clusters):
@@ -328,23 +375,16 @@ class _Best:
         Rows without one are dropped by the caller and not by a filter in the
         plan, which would compute an encoded vector twice.
         """
-        step = max(1, BLOCK_CELLS // self.count)
-        for start in range(0, batch.num_rows, step):
-            self._take_block(batch.slice(start, step))
-
-    def _take_block(self, block: pa.RecordBatch):
-        column = {name: block.column(name) for name in block.schema.names}
-        vectors = column["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64")
-        items = {
-            "item_id": column["item_id"].to_numpy(zero_copy_only=False),
-            "vectors": self._scaled(vectors.reshape(block.num_rows, -1)),
-            "price": column["price"].cast(pa.float64()).to_numpy(zero_copy_only=False),
-            "points": column["points"].cast(pa.float64()).to_numpy(zero_copy_only=False),
-            "variety": _coded(column["variety"]), "country": _coded(column["country"]),
-        }
-        if self.live:
-            items["cluster"] = pc.fill_null(column["cluster"].cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
-        found = [self._scored(items, rows, queries) for rows, queries in self._meetings(items, block.num_rows)]
+        if batch.num_rows:
+            self.take_items(_prepared(batch, self.cosine))
+
+    def take_items(self, items: dict):
+        n, step = len(items["item_id"]), max(1, BLOCK_CELLS // self.count)
+        for start in range(0, n, step):
+            self._take_block(_stretch(items, start, start + step))
+
+    def _take_block(self, items: dict):
+        found = [self._scored(items, rows, queries) for rows, queries in self._meetings(items, len(items["item_id"]))]
         if not found:
             return
         self.kept = self.kept.plus(*found).best(self.limit)
@@ -362,17 +402,22 @@ class _Best:
                 yield rows, queries
                 continue
             of = items["cluster"][rows]
+            together = []  # clusters that most queries want are scored for all of them, which is less work than many small products
             for c in np.unique(of).tolist():
                 wanting = queries[self.live.get(c, self.anywhere)[queries]]
-                if len(wanting):
+                if 2 * len(wanting) >= len(queries):
+                    together.append(c)
+                elif len(wanting):
                     yield rows[of == c], wanting
+            if together:
+                yield rows[np.isin(of, together)], queries
 
     def _scored(self, items, rows: np.ndarray, queries: np.ndarray) -> "_Rows":
         """The rows that may be among the best of some of the queries."""
         everything = len(rows) == len(items["vectors"])
         vectors = items["vectors"] if everything else items["vectors"][rows]
-        asked = self.vectors if len(queries) == self.count else self.vectors[:, queries]
-        similarity = np.round(vectors @ asked, SCORE_DIGITS)
+        asked = self.vectors if len(queries) == self.count else self.vectors[queries]
+        similarity = np.round(vectors @ asked.T, SCORE_DIGITS)
         self.cells += similarity.size
         ids, price, points = items["item_id"][rows], items["price"][rows], items["points"][rows]
         key, barred = similarity, []

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ROW_BITS = 33  # monotonically_increasing_id counts a partition's rows in these bits
+ROW_BITS = 33  # monotonically_increasing_id counts a partition's rows in these bits
 
 
 def packed(df: DataFrame) -> Column:
@@ -20,5 +20,5 @@ def on_first_row(payload: Column) -> Column:
 
     A task reads it once from there, instead of once per row.
     """
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) == 0
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)) == 0
     return F.when(first, payload)

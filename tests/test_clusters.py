@@ -132,3 +132,24 @@ def test_values_that_all_queries_ask_for_reach_the_scan(spark, stored, tmp_path)
     free = checkpointed(queries.withColumn("filters", F.when(F.col("query_id") > 0, F.col("filters"))))
     assert "In(variety_key" not in plan(knn.nearest(kept, free))
     assert set(with_value_keys(items).columns) - set(items.columns) == {"variety_key", "country_key"}
+
+
+def test_a_task_of_many_queries_has_bounded_work(spark, stored, monkeypatch):
+    items, found = stored
+    queries = asked(spark, n=96, fetch=3)
+    want = ranked(knn.nearest(items, queries))
+    monkeypatch.setattr(knn, "TASK_PRODUCTS", 16 * 30 * 30)
+    monkeypatch.setattr(knn, "CHUNK_QUERIES", 7)
+    assert ranked(knn.nearest(items, queries, pass_queries=10)) == want
+    assert ranked(knn.nearest(found.items, C.pruned_queries(found, queries), pass_queries=10)) == want
+    scored = knn.score_partitions(items, queries, pass_queries=10)
+    scored.collect()
+    work = scored.groupBy(F.spark_partition_id()).agg(F.countDistinct("query_id").alias("n")).collect()
+    assert len(work) > 30 and max(r.n for r in work) < 96
+
+
+@pytest.mark.parametrize("items, queries, dim", [(0, 0, 1), (700, 120_000, 3), (615_000, 615_000, 64), (10**9, 10**9, 1024), (10**7, 5000, 64)])
+def test_cuts_bound_what_a_task_holds_and_computes(items, queries, dim):
+    blocks, groups = knn._cut(items, queries, dim)
+    rows, some = -(-items // blocks), -(-queries // groups)
+    assert rows * some * dim <= knn.TASK_PRODUCTS and rows * dim * 8 <= knn.BLOCK_BYTES and some * dim * 8 <= knn.QUERY_BYTES
