@@ -155,7 +155,7 @@ def _read(clusters: Clusters, queries: DataFrame) -> DataFrame:
 
 
 def pruned_queries(clusters: Clusters, queries: DataFrame, cosine: bool = False) -> DataFrame:
-    """``queries``, as ``nearest`` takes them, with the ``clusters`` that can hold their best items.
+    """``queries``, as ``nearest`` takes them, with the ``clusters`` that can hold their best items and the ``floor`` these reach.
 
     A query that orders by a column, or finds fewer items than it fetches around
     it, has null for all clusters.
@@ -169,7 +169,7 @@ def pruned_queries(clusters: Clusters, queries: DataFrame, cosine: bool = False)
     known = asked.join(floors, "query_id", "left")
     found = _with_clusters(clusters, known.where("floor is not null"), cosine, floor=True)
     rest = known.where("floor is null").withColumn("clusters", F.lit(None).cast("array<int>"))
-    return checkpointed(found.unionByName(rest).drop("floor"))
+    return checkpointed(found.unionByName(rest))
 
 
 def nearest_in_clusters(clusters: Clusters, queries: DataFrame, cosine: bool = False) -> DataFrame:

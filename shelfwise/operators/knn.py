@@ -34,7 +34,9 @@ BLOCK_BYTES = 64 << 20  # vectors of the items that a task holds, where queries
 QUERY_BYTES = 64 << 20  # vectors of the queries that are streamed past them
 TASK_PRODUCTS = 1 << 37  # products of two numbers in a task: some 46,000 items by as many queries of 64 numbers
 CHUNK_QUERIES = 1024  # queries that meet a block of items at once
-BLOCK_CELLS = 1 << 22  # scores held at once in a task
+BLOCK_CELLS = 1 << 20  # scores held at once in a task
+FIRST_ROWS = 256  # items scored first, for a floor; the next stretches grow
+SINGLE_LENGTH = 1e15  # of a vector, at most, to be compared in single precision first
 SCORE_DIGITS = 12  # equal vectors must tie whatever block they fall in
 SCAN_VALUES = 256  # of a text column, that a scan is asked for; batches that ask for more are not cut by it
 
@@ -56,6 +58,7 @@ def nearest(
 
     * ``filters``: only items that meet them are ranked for this query;
     * ``exclude_id``: an item left out of the ranking;
+    * ``floor``: a similarity that ``fetch`` of its items are known to reach, where it ranks by similarity;
     * ``clusters``: the values of the item column ``cluster`` that can hold its best items, see ``clusters``;
     * ``sort_by`` and ``ascending``: rank by this column (missing values last)
       instead of by similarity, which then breaks ties.
@@ -153,6 +156,7 @@ def _complete_queries(queries: DataFrame, carry) -> DataFrame:
         F.lower(filters["variety"]).alias("variety"),
         F.lower(filters["country"]).alias("country"),
         column("clusters", "array<int>"),
+        column("floor", "double"),
         *carry,
     ).where("vector is not null and fetch > 0")
 
@@ -312,9 +316,12 @@ def _prepared(batch: pa.RecordBatch, cosine: bool) -> dict:
     """The columns of items as arrays, made once however many queries meet them; all have a vector."""
     column = {name: batch.column(name) for name in batch.schema.names}
     vectors = column["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64")
+    vectors = _scaled(vectors.reshape(batch.num_rows, -1), cosine)
+    with np.errstate(over="ignore"):
+        singles = vectors.astype("float32")
     items = {
         "item_id": column["item_id"].to_numpy(zero_copy_only=False),
-        "vectors": _scaled(vectors.reshape(batch.num_rows, -1), cosine),
+        "vectors": vectors, "singles": singles, "longest": np.linalg.norm(vectors, axis=1).max(initial=0.0),
         "price": column["price"].cast(pa.float64()).to_numpy(zero_copy_only=False),
         "points": column["points"].cast(pa.float64()).to_numpy(zero_copy_only=False),
         "variety": _coded(column["variety"]), "country": _coded(column["country"]),
@@ -325,7 +332,10 @@ def _prepared(batch: pa.RecordBatch, cosine: bool) -> dict:
 
 
 def _stretch(items: dict, start: int, end: int) -> dict:
-    return {n: (v[0][start:end], v[1]) if isinstance(v, tuple) else v[start:end] for n, v in items.items()}
+    def cut(v):
+        return (v[0][start:end], v[1]) if isinstance(v, tuple) else v[start:end] if isinstance(v, np.ndarray) else v
+
+    return {name: cut(v) for name, v in items.items()}
 
 
 class _Best:
@@ -348,12 +358,25 @@ class _Best:
         self.pools = [
             ({n: v for n, v in zip(_POOL, values) if v is not None}, np.array(own)) for values, own in pools.items()
         ]
+        self.barred = pc.fill_null(queries.field("exclude_id").cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+        self.has_barred = pc.is_valid(queries.field("exclude_id")).to_numpy(zero_copy_only=False)
         self.excluded = {q: v for q, v in enumerate(columns["exclude_id"]) if v is not None}
         self.orders = {q: (v, columns["ascending"][q]) for q, v in enumerate(columns["sort_by"]) if v is not None}
         self.live = self._live(queries.field("clusters")) if "clusters" in {f.name for f in queries.type} else {}
         self.cells = 0  # scores computed
         self.floor = np.full(self.count, -np.inf)
-        self.kept = _Rows.empty()
+        if "floor" in {f.name for f in queries.type}:
+            self.floor = pc.fill_null(queries.field("floor"), -np.inf).to_numpy(zero_copy_only=False).copy()
+            self.floor[list(self.orders)] = -np.inf
+        lengths = np.linalg.norm(self.vectors, axis=1)
+        self.longest = lengths.max()
+        # What a product in single precision can be off by, for an item of length 1: one rounding of each number, of
+        # each product and of each sum, by Cauchy and Schwarz. The rest of the 16 covers double precision and rounded scores.
+        self.off = lengths * (self.vectors.shape[1] + 16) * 2.0**-24
+        with np.errstate(over="ignore"):
+            self.singles = self.vectors.astype("float32")
+        self.step = max(FIRST_ROWS, 16 * self.most)
+        self._kept, self.waiting = _Rows.empty(), []
 
     def _live(self, clusters: pa.ListArray) -> dict:
         """Per cluster that some query names, which queries want it: those that name it, and those that name none."""
@@ -379,18 +402,30 @@ class _Best:
             self.take_items(_prepared(batch, self.cosine))
 
     def take_items(self, items: dict):
-        n, step = len(items["item_id"]), max(1, BLOCK_CELLS // self.count)
-        for start in range(0, n, step):
+        n, start, most = len(items["item_id"]), 0, max(1, BLOCK_CELLS // self.count)
+        while start < n:
+            step = min(self.step, most)
             self._take_block(_stretch(items, start, start + step))
+            start, self.step = start + step, min(2 * self.step, most)
 
     def _take_block(self, items: dict):
-        found = [self._scored(items, rows, queries) for rows, queries in self._meetings(items, len(items["item_id"]))]
-        if not found:
+        self.waiting += [self._scored(items, rows, queries) for rows, queries in self._meetings(items, len(items["item_id"]))]
+        if sum(len(r.query) for r in self.waiting) > len(self._kept.query) // 4:
+            self._settle()
+
+    def _settle(self):
+        if not self.waiting:
             return
-        self.kept = self.kept.plus(*found).best(self.limit)
-        full = np.bincount(self.kept.query, minlength=self.count) == self.limit
-        last = np.cumsum(np.bincount(self.kept.query, minlength=self.count)) - 1
-        self.floor[full] = self.kept.key[last[full]]
+        self._kept, self.waiting = self._kept.plus(*self.waiting).best(self.limit), []
+        counts = np.bincount(self._kept.query, minlength=self.count)
+        full = counts == self.limit
+        last = np.cumsum(counts) - 1
+        self.floor[full] = np.maximum(self.floor[full], self._kept.key[last[full]])
+
+    @property
+    def kept(self) -> "_Rows":
+        self._settle()
+        return self._kept
 
     def _meetings(self, items, n: int):
         """Which rows are scored for which queries: those of a pool, and of clusters that a query wants."""
@@ -414,11 +449,52 @@ class _Best:
 
     def _scored(self, items, rows: np.ndarray, queries: np.ndarray) -> "_Rows":
         """The rows that may be among the best of some of the queries."""
+        self.cells += len(rows) * len(queries)
+        if self.orders or not (items["longest"] <= SINGLE_LENGTH and self.longest <= SINGLE_LENGTH):
+            return self._scored_exactly(items, rows, queries)
+        return self._scored_singly(items, rows, queries)
+
+    def _scored_singly(self, items, rows: np.ndarray, queries: np.ndarray) -> "_Rows":
+        """As ``_scored_exactly``; only pairs that reach the floor in single precision, less what that can be off by, are scored in full."""
+        singles = items["singles"] if len(rows) == len(items["singles"]) else items["singles"][rows]
+        asked = self.singles if len(queries) == self.count else self.singles[queries]
+        near = singles @ asked.T
+        off = self.off[queries] * items["longest"] + 10.0**-SCORE_DIGITS
+
+        def passing():
+            least = np.nextafter((self.floor[queries] - off).astype("float32"), np.float32(-np.inf))
+            return np.flatnonzero(near >= least)
+
+        good = passing()
+        if self.most < len(rows) and len(good) > 4 * self.most * len(queries):
+            shown = near.copy()
+            barred = items["item_id"][rows][:, None] == self.barred[queries] if self.excluded else None
+            if barred is not None:
+                shown[barred & self.has_barred[queries]] = -np.inf
+            reached = np.partition(shown, len(rows) - self.most, axis=0)[len(rows) - self.most]
+            self.floor[queries] = np.maximum(self.floor[queries], reached - off)
+            good = passing()
+        if 16 * len(good) > near.size:
+            return self._scored_exactly(items, rows, queries)
+        row, at = np.divmod(good, len(queries))
+        row, query = rows[row], queries[at]
+        similarity = np.empty(len(row))
+        part = max(1, BLOCK_CELLS // self.vectors.shape[1])
+        for k in range(0, len(row), part):
+            i, q = row[k : k + part], query[k : k + part]
+            similarity[k : k + part] = np.einsum("ij,ij->i", items["vectors"][i], self.vectors[q])
+        similarity = np.round(similarity, SCORE_DIGITS)
+        keep = similarity >= self.floor[query]
+        if self.excluded:
+            keep &= ~(self.has_barred[query] & (items["item_id"][row] == self.barred[query]))
+        row, query, similarity = row[keep], query[keep], similarity[keep]
+        return _Rows(query, items["item_id"][row], similarity, similarity, items["price"][row], items["points"][row])
+
+    def _scored_exactly(self, items, rows: np.ndarray, queries: np.ndarray) -> "_Rows":
         everything = len(rows) == len(items["vectors"])
         vectors = items["vectors"] if everything else items["vectors"][rows]
         asked = self.vectors if len(queries) == self.count else self.vectors[queries]
         similarity = np.round(vectors @ asked.T, SCORE_DIGITS)
-        self.cells += similarity.size
         ids, price, points = items["item_id"][rows], items["price"][rows], items["points"][rows]
         key, barred = similarity, []
         if self.orders or self.excluded:

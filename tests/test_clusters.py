@@ -153,3 +153,34 @@ def test_cuts_bound_what_a_task_holds_and_computes(items, queries, dim):
     blocks, groups = knn._cut(items, queries, dim)
     rows, some = -(-items // blocks), -(-queries // groups)
     assert rows * some * dim <= knn.TASK_PRODUCTS and rows * dim * 8 <= knn.BLOCK_BYTES and some * dim * 8 <= knn.QUERY_BYTES
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e20, 1e200])
+def test_scores_in_single_precision_lose_no_row(scale):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 8)) * np.exp(rng.normal(size=(3000, 1)))
+    vectors[1500:] = vectors[:1500] + 1e-9 * rng.normal(size=(1500, 8))  # equal in single precision
+    asked = rng.normal(size=(40, 8))
+    nothing = {n: None for n in ("sort_by", "ascending", "price_min", "price_max", "min_points", "variety", "country")}
+    best = knn._Best(pa.array([{"query_id": i, "vector": q.tolist(), "fetch": 6, "exclude_id": i, **nothing} for i, q in enumerate(asked)]), cosine=False)
+    for rows in np.array_split(np.arange(3000), 3):
+        best.take(pa.RecordBatch.from_pydict({
+            "item_id": rows, "embedding": (vectors[rows] * scale).tolist(), "price": [None] * 1000, "points": [None] * 1000,
+            "variety": [None] * 1000, "country": [None] * 1000,
+        }))
+    scores = np.round(asked @ (vectors * scale).T, 12)
+    for q in range(40):
+        order = [i for i in np.lexsort((np.arange(3000), -scores[q])) if i != q][:6]
+        if scale >= 1:
+            assert best.kept.item[best.kept.query == q].tolist() == order
+        assert len(best.kept.item[best.kept.query == q]) == 6 and q not in best.kept.item[best.kept.query == q]
+
+
+def test_pairs_below_the_floor_are_not_scored_in_full(monkeypatch):
+    rng = np.random.default_rng(6)
+    full, einsum = [], np.einsum
+    monkeypatch.setattr(knn.np, "einsum", lambda spec, a, b: full.append(len(a)) or einsum(spec, a, b))
+    nothing = {n: None for n in ("exclude_id", "sort_by", "ascending", "price_min", "price_max", "min_points", "variety", "country")}
+    best = knn._Best(pa.array([{"query_id": i, "vector": rng.normal(size=3).tolist(), "fetch": 3, **nothing} for i in range(50)]), cosine=False)
+    best.take(batch(20_000))
+    assert 0 < sum(full) < best.cells // 20
