@@ -1,59 +1,44 @@
-"""Which of many texts stand anywhere in a text, in one walk over it (Aho and Corasick)."""
+"""Which of many texts stand anywhere in a text, in one walk over it."""
 
 import sys
-from collections import deque
 
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+KEYS = (8, 3, 2, 1)  # a needle is looked for where its first characters stand, as many as fit it
 
-class Automaton:
-    """A trie of the needles whose nodes also know where to go on after a mismatch."""
+
+class Needles:
+    """Texts by their first characters, with the lengths that texts of such a start have.
+
+    Memory is a key a text at most, whatever its length: ``needles`` itself, a
+    set or dict, is looked into and not copied.
+    """
 
     def __init__(self, needles):
-        self.moves: list[dict] = [{}]
-        self.ends: list[str | None] = [None]
+        self.needles = needles
+        lengths: dict[str, tuple] = {}
+        shared: dict[tuple, tuple] = {}  # few different ones
         for needle in needles:
-            node = 0
-            for c in needle:
-                step = self.moves[node].get(c)
-                if step is None:
-                    step = self.moves[node][c] = len(self.moves)
-                    self.moves.append({})
-                    self.ends.append(None)
-                node = step
-            if node:
-                self.ends[node] = needle
-        self.back = [0] * len(self.moves)
-        self.shorter = [0] * len(self.moves)  # the node of the next needle that ends here too
-        waiting = deque(self.moves[0].values())
-        while waiting:
-            node = waiting.popleft()
-            for c, step in self.moves[node].items():
-                back = self.back[node]
-                while back and c not in self.moves[back]:
-                    back = self.back[back]
-                back = self.moves[back].get(c, 0)
-                self.back[step] = back
-                self.shorter[step] = back if self.ends[back] is not None else self.shorter[back]
-                waiting.append(step)
+            n = len(needle)
+            if n:
+                key = needle[: next(k for k in KEYS if k <= n)]
+                have = lengths.get(key, ())
+                if n not in have:
+                    more = tuple(sorted((*have, n)))
+                    lengths[key] = shared.setdefault(more, more)
+        self.lengths = lengths
+        self.keys = sorted({len(k) for k in lengths})
 
     def found(self, text: str) -> list[str]:
         """The needles that the text holds, each once."""
-        moves, back, ends, shorter = self.moves, self.back, self.ends, self.shorter
-        node, hit = 0, set()
-        for c in text:
-            step = moves[node].get(c)
-            while step is None and node:
-                node = back[node]
-                step = moves[node].get(c)
-            node = step or 0
-            if node and (ends[node] is not None or shorter[node]):
-                hit.add(node)
-        out = set()
-        for node in hit:
-            while node and node not in out:
-                out.add(node)
-                node = shorter[node]
-        return [ends[node] for node in out if ends[node] is not None]
+        lengths, needles, out, end = self.lengths, self.needles, set(), len(text)
+        for key in self.keys:
+            for at in range(end - key + 1):
+                for n in lengths.get(text[at : at + key], ()):
+                    if at + n > end:
+                        break
+                    if (held := text[at : at + n]) in needles:
+                        out.add(held)
+        return list(out)

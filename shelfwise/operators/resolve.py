@@ -4,17 +4,18 @@ import math
 import re
 import re._parser as sre
 import sys
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import parse
 from shelfwise.functions.vectors import inner_product
-from shelfwise.operators.automaton import Automaton
+from shelfwise.operators.automaton import Needles
 from shelfwise.operators.filters import bounded_broadcast, with_ids
 from shelfwise.operators.payload import on_first_row, packed
 from shelfwise.session import checkpointed, small_table
@@ -25,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 3
 NEEDLE_BYTES = 8 << 20  # known values or identifiers that every task is sent at once
+PATTERNS = 1 << 14  # compiled patterns that a task keeps, of those that only some titles are tested against
 REGEX_SIGNS = r"[\\^$.|?*+()\[\]{}]"
 
 
@@ -64,8 +66,8 @@ def detect_values(requests: DataFrame, known: DataFrame, word_bounds: bool = Fal
     among values of one length the first in the catalogue wins. The test is
     plain containment; ``word_bounds`` asks for whole words.
 
-    The known values go to every task as one automaton, which finds all of them
-    in one walk over a text; no text is shuffled. Values too many for that are
+    The known values go to every task by their first characters, which finds all
+    of them in one walk over a text; no text is shuffled. Values too many for that are
     joined on their first characters.
     """
     named = known.where(F.length("value") > 0)
@@ -94,19 +96,19 @@ def _detected(requests: DataFrame, known: DataFrame, word_bounds: bool) -> DataF
     kind = requests.schema["query_id"].dataType.simpleString()
 
     def run(batches):
-        automaton = None
+        finder = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            if automaton is None:
+            if finder is None:
                 values = {}
                 for v in batch.column("known").slice(0, 1).flatten().to_pylist():
                     values.setdefault(v["low"], []).append(v)
-                automaton = Automaton(values)
+                finder = Needles(values)
             texts = batch.column("low").to_pylist()
             found = {"country": [], "variety": []}
             for text in texts:
-                hits = automaton.found(text)
+                hits = finder.found(text)
                 if word_bounds:
                     hits = [h for h in hits if re.search(rf"(?<!\w){re.escape(h)}(?!\w)", text)]
                 named = [v for h in hits for v in values[h]]
@@ -171,7 +173,7 @@ def first_title_match(
     Identifiers are patterns unless ``regex`` is off; one that is no valid
     pattern is taken literally. From every pattern a set of texts is derived of
     which each match holds one, as from ``(merlot|malbec) 20\\d\\d`` both names;
-    a plain text is its own. All of these make one automaton, so a title is walked
+    a plain text is its own. All of these are looked for together, so a title is walked
     over once and tested only against the identifiers it can match. Patterns
     without such texts are run on all titles. A task keeps the lowest item per
     identifier and stops testing what cannot be lower. Identifiers go to the
@@ -190,6 +192,8 @@ def first_title_match(
         return needs.select("identifier", F.lit(None).cast("long").alias("item_id"))
     passes = 1 if size <= NEEDLE_BYTES else math.ceil(1.5 * size / NEEDLE_BYTES)
     slot = F.pmod(F.xxhash64("identifier"), F.lit(passes))
+    if passes > 1:
+        titles = checkpointed(titles)
     parts = [_lowest_matches(titles, needs.where(slot == i) if passes > 1 else needs) for i in range(passes)]
     found = reduce(DataFrame.unionAll, parts)
     return found.groupBy("identifier").agg(F.min("item_id").alias("item_id"))
@@ -237,6 +241,53 @@ def required_texts(c: Column) -> Column:
     return F.pandas_udf(find, "array<string>")(c)
 
 
+class _Needs:
+    """The identifiers that titles are tested against, by number; what can be left in Arrow's columns is.
+
+    Of a plain text only the key it is found by is held, of a pattern the
+    compiled form while it is in use.
+    """
+
+    def __init__(self, needs: pa.StructArray):
+        self.identifiers = needs.field("identifier")
+        self.is_pattern = needs.field("is_pattern").to_numpy(zero_copy_only=False)
+        texts = needs.field("texts")
+        self.always = [n for n, missing in enumerate(texts.is_null().to_pylist()) if missing]
+        self.by_text, self.lows = {}, {}
+        of = pc.list_parent_indices(texts).to_pylist()
+        for n, text in zip(of, pc.list_flatten(texts).to_pylist()):
+            have = self.by_text.get(text)
+            if isinstance(have, list):
+                have.append(n)
+            else:
+                self.by_text[text] = n if have is None else [have, n]
+        lows = needs.field("low").take(pa.array(of, pa.int64()))
+        other = pc.fill_null(pc.not_equal(pc.list_flatten(texts), lows), True).to_numpy(zero_copy_only=False)
+        for at in other.nonzero()[0].tolist():
+            if not self.is_pattern[of[at]]:
+                self.lows[of[at]] = lows[at].as_py()
+        self.finder = Needles(self.by_text)
+        self.pattern = lru_cache(PATTERNS)(self._compiled)
+        self.kept = {n: self._compiled(n) for n in self.always}
+
+    def _compiled(self, n: int):
+        return compiled(self.identifiers[n].as_py())
+
+    def candidates(self, folded: str):
+        """Identifiers that a title may match, with the text it holds of them."""
+        for text in self.finder.found(folded):
+            of = self.by_text[text]
+            for n in of if isinstance(of, list) else (of,):
+                yield n, text
+        for n in self.always:
+            yield n, ""
+
+    def meets(self, n: int, text: str, title: str, low: str) -> bool:
+        if not self.is_pattern[n]:
+            return self.lows.get(n, text) in low
+        return (self.kept.get(n) or self.pattern(n)).search(title) is not None
+
+
 def _lowest_matches(titles: DataFrame, needs: DataFrame) -> DataFrame:
     """Per task, the lowest item whose title each identifier matches."""
     payload = packed(needs)
@@ -246,34 +297,22 @@ def _lowest_matches(titles: DataFrame, needs: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        automaton, lowest = None, {}
+        needs, lowest = None, {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            if automaton is None:
-                needs = batch.column("needs").slice(0, 1).flatten().to_pylist()
-                tests = {
-                    n["identifier"]: compiled(n["identifier"]).search if n["is_pattern"] else None for n in needs
-                }
-                lows = {n["identifier"]: n["low"] for n in needs}
-                by_text, always = {}, []
-                for n in needs:
-                    for text in n["texts"] or ():
-                        by_text.setdefault(text, []).append(n["identifier"])
-                    if n["texts"] is None:
-                        always.append(n["identifier"])
-                automaton = Automaton(by_text)
+            if needs is None:
+                needs = _Needs(batch.column("needs").slice(0, 1).flatten())
             ordered = batch.select(["item_id", "title", "low", "folded"]).sort_by("item_id")
             for item, title, low, folded in zip(*[c.to_pylist() for c in ordered.columns]):
-                for identifier in [i for hit in automaton.found(folded) for i in by_text[hit]] + always:
-                    if item < lowest.get(identifier, item + 1):
-                        test = tests[identifier]
-                        if lows[identifier] in low if test is None else test(title):
-                            lowest[identifier] = item
-        yield pa.RecordBatch.from_pydict(
-            {"identifier": list(lowest), "item_id": list(lowest.values())},
-            schema=pa.schema([("identifier", pa.string()), ("item_id", pa.int64())]),
-        )
+                for n, text in needs.candidates(folded):
+                    if item < lowest.get(n, item + 1) and needs.meets(n, text, title, low):
+                        lowest[n] = item
+        if needs is not None:
+            yield pa.RecordBatch.from_arrays(
+                [needs.identifiers.take(pa.array(list(lowest), pa.int64())), pa.array(list(lowest.values()), pa.int64())],
+                names=["identifier", "item_id"],
+            )
 
     return rows.mapInArrow(run, "identifier string, item_id long")
 

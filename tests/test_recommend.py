@@ -318,3 +318,32 @@ def test_bounds_that_all_queries_share_reach_the_items(spark, items):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert re.search(r"price#\d+ <= (cast\()?30\.0", plan) and not re.search(r"points#\d+ >=", plan)
     assert {(r.query_id, r.item_id) for r in found.collect()} == {(0, 0), (0, 4), (1, 1)}
+
+
+def test_needles_are_found_like_by_containment():
+    from shelfwise.operators.automaton import Needles
+
+    rng = np.random.default_rng(1)
+    needles = {"".join(rng.choice(list("ab"), n)) for n in (1, 2, 3, 5, 8, 9, 12) for _ in range(n + 3)} | {"", "é", "bé a"}
+    finder = Needles(needles)
+    for n in (0, 1, 2, 7, 8, 30, 200):
+        text = "".join(rng.choice(list("abbé "), n))
+        assert sorted(finder.found(text)) == sorted(x for x in needles if x and x in text)
+
+
+def test_many_identifiers_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 40_000
+    names = [f"{i * 7919 % 1_000_003:06d} vineyard reserve {i}" for i in range(n)]
+    needs = pa.StructArray.from_arrays(
+        [pa.array(names), pa.array(names), pa.array([False] * n), pa.array([[x] for x in names])], ["identifier", "low", "is_pattern", "texts"]
+    )
+    tracemalloc.start()
+    held = resolve._Needs(needs)
+    used, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [n for n, _ in held.candidates("xx " + names[77] + " yy")] == [77]
+    assert used < 600 * n and peak < 900 * n
