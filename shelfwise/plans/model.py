@@ -35,7 +35,7 @@ def build_items(items: DataFrame, directory: str, model_name: str = "given") ->
     spark = items.sparkSession
     joint = with_value_keys(with_id_span(items.withColumn("embedding", items["embedding"].cast("array<float>"))))
     clustered = [c for c in (*VALUE_KEYS.values(), "price", "item_id") if c in joint.columns]
-    by_span = joint.repartition(ID_SPAN).sortWithinPartitions(ID_SPAN, *clustered)
+    by_span = joint.hint("rebalance", ID_SPAN).sortWithinPartitions(ID_SPAN, *clustered)  # a span of wide rows is written by several tasks
     by_span.write.mode("overwrite").partitionBy(ID_SPAN).parquet(f"{directory}/items")
     stored = files.read_catalogue(spark, f"{directory}/items")
     files.write_vectors(stored, f"{directory}/vectors")

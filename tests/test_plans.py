@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from registry import bindings
 from registry.bindings import cat, raw, table, vectors
 from shelfwise.operators import cleaning, dedup, filters, keys, knn, resolve
+from shelfwise.plans.model import build_items
 from shelfwise.session import checkpointed, small_table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -140,3 +142,26 @@ def test_vectors_are_broadcast_by_their_bytes(spark):
     df = table(spark, SF_DIR, "part")
     assert filters.bounded_broadcast(df, 100_000, 384 * 8) is df
     assert filters.bounded_broadcast(df, 1_000, 384 * 8) is not df
+
+
+def test_a_span_of_wide_items_is_written_by_several_tasks(spark, tmp_path):
+    wide = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.sha2(F.concat("id", F.lit("-"), i.cast("string")), 256)))
+    items = spark.range(0, 1500, 1, 6).select(
+        F.col("id").alias("item_id"), wide.alias("description"), F.lit(1.0).alias("price"), F.lit("a").alias("variety"), F.lit("b").alias("country"),
+        F.array(F.lit(1.0)).alias("embedding"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        build_items(items, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    stored = spark.read.parquet(str(tmp_path / "items"))
+    assert len(stored.inputFiles()) > 2 and stored.count() == 1500
+
+
+def test_a_long_part_table_is_not_sent_to_every_task(spark, monkeypatch):
+    monkeypatch.setattr(bindings, "BROADCAST_ROWS", 100)
+    rows = cat(spark, SF_DIR).select("item_id", "title")
+    first_join = re.findall(r"(\w+Join) \[(?:p_partkey|vec_id)#\d+L\], \[vec_id", plan(rows))
+    assert first_join == ["SortMergeJoin"]
