@@ -8,6 +8,7 @@ engines read the same way.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.operators.filters import BROADCAST_ROWS
 from shelfwise.session import spread
 
 NBSP, ZWSP, BOM, BROKEN, QUOTE, LIGATURE, TAB = " ", "​", "﻿", "�", "’", "ﬁ", "\t"
@@ -80,6 +81,9 @@ def _derived(
     tables = {n: table(spark, sf_dir, n) for n in names}
     if wide:
         tables[names[0]] = spread(tables[names[0]])
+    if len(names) > 1 and tables[names[0]].count() > BROADCAST_ROWS:
+        # its keys and names compress to little, so by the size of its file it would be sent to every task
+        tables[names[0]] = tables[names[0]].hint("merge")
     marks = {n: "{" + n + "}" for n in names}
     return spark.sql(select.format(**marks, **texts), **tables)
 

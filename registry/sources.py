@@ -8,11 +8,12 @@ from registry.bindings import CAT_SQL, RAW_SQL, REQUEST_SQL, cat, raw, requests,
 from registry.cleaning import CLEAN_SQL
 from registry.recommend import RECOMMEND_SQL, THRESHOLD, rounded, workload
 from registry.search import ENCODER, VECTORS_SQL, _cells, _cells_sql
+from shelfwise.operators.resolve import all_known_values
 from shelfwise.plans.clean import clean_catalogue
 from shelfwise.plans.model import build_items, build_model, load_model
 from shelfwise.plans.recommend import Recommender
 from shelfwise.schemas import CLEAN, RAW
-from shelfwise.session import new_path
+from shelfwise.session import checkpointed, new_path
 from shelfwise.sources import catalogue as files
 from shelfwise.streaming.serve import request_stream, serve
 from shelfwise.vocab import NULL_TOKENS
@@ -170,6 +171,7 @@ def _(spark, sf):
 def _(spark, sf):
     inbox, out, progress = (new_path(spark, f"stream-{part}") for part in ("inbox", "out", "progress"))
     workload(spark).repartition(3, "query_id").write.json(inbox)
-    recommender = Recommender(cat(spark, sf), ENCODER, threshold=THRESHOLD)
+    items = checkpointed(cat(spark, sf))  # every batch scans them several times
+    recommender = Recommender(items, ENCODER, known=checkpointed(all_known_values(items)), threshold=THRESHOLD)
     serve(recommender, request_stream(spark, inbox, max_files=2), out, progress).awaitTermination()
     return rounded(spark.read.parquet(out).drop("batch_id"))
